@@ -22,18 +22,32 @@ def normalise_drug(c: Column | str, prefix: str) -> Column:
     return F.concat(F.lit(prefix), F.regexp_replace(F.lower(c), r"\s+", ""))
 
 
+def apply_rules(value: str, rules: Sequence[tuple[str, str]]) -> str:
+    """Sequential substring rules on one Python string (each rule sees the
+    output of the previous ones)."""
+    for needle, result in rules:
+        if needle in value:
+            value = result
+    return value
+
+
 def canonical_category(c: Column | str, rules: Sequence[tuple[str, str]], null_as: str | None = None) -> Column:
-    """Apply ordered substring rules ``(needle, result)``.
+    """Apply ordered substring rules ``(needle, result)`` sequentially.
 
-    Every rule rewrites the *current* value, so a later rule sees the output
-    of the earlier ones (sequential masked updates).  ``null_as`` replaces a
-    null before the rules run; a null that stays null is left alone.
+    Every rule rewrites the *current* value, so a later rule sees the output of
+    the earlier ones.  Because a rule's output is a constant, what the later
+    rules make of it is known when the plan is built: the sequential chain is
+    one flat CASE (first matching rule -> its precomputed final value), linear
+    in the number of rules.  ``null_as`` replaces a null before the rules run.
     """
     c = F.col(c) if isinstance(c, str) else c
     cur = F.coalesce(c, F.lit(null_as)) if null_as is not None else c
-    for needle, result in rules:
-        cur = F.when(cur.contains(needle), F.lit(result)).otherwise(cur)
-    return cur
+    expr = None
+    for i, (needle, result) in enumerate(rules):
+        final = apply_rules(result, rules[i + 1:])
+        cond = cur.contains(needle)
+        expr = F.when(cond, F.lit(final)) if expr is None else expr.when(cond, F.lit(final))
+    return cur if expr is None else expr.otherwise(cur)
 
 
 def title_case(c: Column | str) -> Column:

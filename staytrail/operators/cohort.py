@@ -147,7 +147,8 @@ def first_service(services: DataFrame, key: str = "hadm_id", order: str = "trans
     """Earliest row per ``key`` by ``order`` (ties: smallest ``value``), as a
     hash aggregate: ``min_by`` over a struct, no sort of the whole table."""
     cols = [order, value, *extra]
-    picked = services.groupBy(key).agg(F.min_by(F.struct(*cols), F.struct(order, value)).alias("_f"))
+    rank = F.struct(F.col(order).isNull(), F.col(order), F.col(value).isNull(), F.col(value))  # nulls last
+    picked = services.groupBy(key).agg(F.min_by(F.struct(*cols), rank).alias("_f"))
     return picked.select(key, *[F.col(f"_f.{c}").alias(c) for c in cols])
 
 

@@ -20,13 +20,14 @@ from ..functions.mathfns import bce_with_logits, sigmoid
 
 def pos_weight(df: DataFrame, y: str = "y") -> DataFrame:
     """negatives / positives (one row)."""
-    return df.agg(((F.count(F.lit(1)) - F.sum(F.col(y))) / F.sum(F.col(y))).cast("double").alias("pos_weight"))
+    return df.agg(F.try_divide((F.count(F.lit(1)) - F.sum(F.col(y))).cast("double"),
+                               F.sum(F.col(y)).cast("double")).alias("pos_weight"))
 
 
-def weighted_bce(df: DataFrame, logit: str, y: str, weight: Column | float) -> DataFrame:
+def weighted_bce(df: DataFrame, logit: str, y: str, weight: Column | float, keys: Sequence[str] = ()) -> DataFrame:
     """Mean and total per-row BCE-with-logits with a positive-class weight."""
     loss = bce_with_logits(logit, y, weight)
-    return df.agg(F.avg(loss).alias("mean_loss"), F.sum(loss).alias("total_loss"))
+    return df.groupBy(*keys).agg(F.avg(loss).alias("mean_loss"), F.sum(loss).alias("total_loss"))
 
 
 def predicted(p: Column | str, threshold: float = 0.5) -> Column:
@@ -35,71 +36,86 @@ def predicted(p: Column | str, threshold: float = 0.5) -> Column:
     return (p > F.lit(threshold)).cast("int")
 
 
-def confusion(df: DataFrame, p: str, y: str, threshold: float = 0.5) -> DataFrame:
+def confusion(df: DataFrame, p: str, y: str, threshold: float = 0.5, keys: Sequence[str] = ()) -> DataFrame:
     pr, yv = predicted(p, threshold), F.col(y)
-    return df.agg(
+    return df.groupBy(*keys).agg(
         F.sum(F.when((pr == 1) & (yv == 1), 1).otherwise(0)).cast("long").alias("tp"),
         F.sum(F.when((pr == 1) & (yv == 0), 1).otherwise(0)).cast("long").alias("fp"),
         F.sum(F.when((pr == 0) & (yv == 0), 1).otherwise(0)).cast("long").alias("tn"),
         F.sum(F.when((pr == 0) & (yv == 1), 1).otherwise(0)).cast("long").alias("fn"))
 
 
-def accuracy_f1(conf: DataFrame) -> DataFrame:
+def accuracy_f1(conf: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
     denom = 2 * tp + fp + fn
-    return conf.select(((tp + tn) / (tp + fp + tn + fn)).alias("accuracy"),
+    return conf.select(*keys, ((tp + tn) / (tp + fp + tn + fn)).alias("accuracy"),
                        F.when(denom == 0, F.lit(0.0)).otherwise(2 * tp / denom).alias("f1"))
 
 
-def _ranges(g: DataFrame, score: str, buckets: int) -> DataFrame:
-    """Bucket id per distinct score, higher scores in lower buckets."""
+def _ranges(g: DataFrame, score: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """Bucket id per distinct score within its group, higher scores in lower buckets."""
     fracs = [i / buckets for i in range(1, buckets)]
-    bounds = g.agg(F.percentile_approx(score, fracs, 10000).alias("_bounds"))
-    return (g.crossJoin(F.broadcast(bounds))
-             .withColumn("_bk", F.size(F.filter("_bounds", lambda x: x >= F.col(score)))).drop("_bounds"))
-
-
-def score_table(df: DataFrame, score: str, y: str, buckets: int = 256) -> DataFrame:
-    """Per distinct score: tp, n, and cumulative tp / n over all scores >= it."""
-    g = df.groupBy(score).agg(F.sum(F.col(y).cast("long")).alias("tp"), F.count(F.lit(1)).alias("n"))
-    g = _ranges(g, score, buckets)
-    tot = g.groupBy("_bk").agg(F.sum("tp").alias("_btp"), F.sum("n").alias("_bn"))
-    wb = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select("_bk", F.coalesce(F.sum("_btp").over(wb), F.lit(0)).alias("_otp"),
+    if keys:
+        bounds = g.groupBy(*keys).agg(F.percentile_approx(score, fracs, 10000).alias("_bounds"))
+        g = g.join(bounds, list(keys))
+    else:
+        g = g.crossJoin(F.broadcast(g.agg(F.percentile_approx(score, fracs, 10000).alias("_bounds"))))
+    return g.withColumn("_bk", F.size(F.filter("_bounds", lambda x: x >= F.col(score)))).drop("_bounds")
+
+
+def score_table(df: DataFrame, score: str, y: str, keys: Sequence[str] = (), buckets: int = 256) -> DataFrame:
+    """Per group and distinct score: tp, n, and cumulative tp / n over all scores >= it."""
+    keys = list(keys)
+    g = df.groupBy(*keys, score).agg(F.sum(F.col(y).cast("long")).alias("tp"), F.count(F.lit(1)).alias("n"))
+    g = _ranges(g, score, keys, buckets)
+    tot = g.groupBy(*keys, "_bk").agg(F.sum("tp").alias("_btp"), F.sum("n").alias("_bn"))
+    wb = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*keys, "_bk", F.coalesce(F.sum("_btp").over(wb), F.lit(0)).alias("_otp"),
                       F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_on"))
-    w = Window.partitionBy("_bk").orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return (g.join(F.broadcast(offs), "_bk")
-             .withColumn("cum_tp", F.col("_otp") + F.sum("tp").over(w))
-             .withColumn("cum_n", F.col("_on") + F.sum("n").over(w))
-             .drop("_bk", "_otp", "_on"))
+    w = Window.partitionBy(*keys, "_bk").orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    joined = g.join(offs if keys else F.broadcast(offs), [*keys, "_bk"])
+    return (joined.withColumn("cum_tp", F.col("_otp") + F.sum("tp").over(w))
+                  .withColumn("cum_n", F.col("_on") + F.sum("n").over(w))
+                  .drop("_bk", "_otp", "_on"))
 
 
-def average_precision(df: DataFrame, score: str, y: str, buckets: int = 256) -> DataFrame:
+def average_precision(df: DataFrame, score: str, y: str, keys: Sequence[str] = (), buckets: int = 256) -> DataFrame:
     """Sum over distinct scores (descending) of recall step x precision."""
-    t = score_table(df, score, y, buckets)
-    return t.agg((F.sum(F.col("tp") * F.col("cum_tp") / F.col("cum_n")) / F.sum("tp")).alias("average_precision"))
+    t = score_table(df, score, y, keys, buckets)
+    return t.groupBy(*keys).agg(F.try_divide(F.sum(F.col("tp") * F.col("cum_tp") / F.col("cum_n")),
+                                             F.sum("tp").cast("double")).alias("average_precision"))
 
 
-def roc_auc(df: DataFrame, score: str, y: str, buckets: int = 256) -> DataFrame:
+def roc_auc(df: DataFrame, score: str, y: str, keys: Sequence[str] = (), buckets: int = 256) -> DataFrame:
     """Trapezoidal area under the ROC curve with ties (one point per distinct score)."""
-    t = score_table(df, score, y, buckets).withColumn("fp", F.col("n") - F.col("tp"))
-    return t.agg((F.sum(F.col("fp") * (2 * F.col("cum_tp") - F.col("tp")))
-                  / (F.lit(2.0) * F.sum("tp") * F.sum("fp"))).alias("roc_auc"))
-
-
-def evaluate(df: DataFrame, logit: str = "logit", y: str = "y", weight: float | None = None,
-             mode: str = "score", threshold: float = 0.5) -> DataFrame:
-    """All metrics of one scored part, one row.  ``mode='thresholded'`` ranks the
-    0/1 predictions instead of the scores (the original behaviour)."""
-    d = df.withColumn("_p", sigmoid(logit))
+    t = score_table(df, score, y, keys, buckets).withColumn("fp", F.col("n") - F.col("tp"))
+    return t.groupBy(*keys).agg(F.try_divide(F.sum(F.col("fp") * (2 * F.col("cum_tp") - F.col("tp"))).cast("double"),
+                                             F.lit(2.0) * F.sum("tp") * F.sum("fp")).alias("roc_auc"))
+
+
+def evaluate(df: DataFrame, logit: str = "logit", y: str = "y", weight: float | DataFrame | None = None,
+             mode: str = "score", threshold: float = 0.5, keys: Sequence[str] = ()) -> DataFrame:
+    """All metrics per group of a scored part (one row per group).  ``weight`` is
+    the positive-class weight: a number, a one-row DataFrame with ``pos_weight``,
+    or None to use this part's own negatives/positives.  ``mode='thresholded'``
+    ranks the 0/1 predictions instead of the scores (the original behaviour)."""
+    keys = list(keys)
+    d = df.withColumn("_p", sigmoid(logit)).withColumn("_pred", predicted("_p", threshold).cast("double"))
     rank_col = "_p" if mode == "score" else "_pred"
-    d = d.withColumn("_pred", predicted("_p", threshold).cast("double"))
-    w = pos_weight(d, y) if weight is None else d.sparkSession.range(1).select(F.lit(float(weight)).alias("pos_weight"))
-    acc = accuracy_f1(confusion(d, "_p", y, threshold))
-    loss = weighted_bce(d.crossJoin(F.broadcast(w)), logit, y, F.col("pos_weight")).select("mean_loss")
-    ap = average_precision(d, rank_col, y)
-    auc = roc_auc(d, rank_col, y)
-    return acc.crossJoin(ap).crossJoin(auc).crossJoin(loss)
+    if weight is None:
+        w = pos_weight(d, y)
+    elif isinstance(weight, DataFrame):
+        w = weight.select("pos_weight")
+    else:
+        w = d.sparkSession.range(1).select(F.lit(float(weight)).alias("pos_weight"))
+    acc = accuracy_f1(confusion(d, "_p", y, threshold, keys), keys)
+    loss = weighted_bce(d.crossJoin(F.broadcast(w)), logit, y, F.col("pos_weight"), keys).select(
+        *keys, F.col("total_loss").alias("loss"))
+    ap = average_precision(d, rank_col, y, keys)
+    auc = roc_auc(d, rank_col, y, keys)
+    if not keys:
+        return acc.crossJoin(ap).crossJoin(auc).crossJoin(loss)
+    return acc.join(ap, keys).join(auc, keys).join(loss, keys)
 
 
 def fit_baseline(features: DataFrame, static_cols: Sequence[str], label: str = "label", max_iter: int = 50):

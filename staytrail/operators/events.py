@@ -177,12 +177,14 @@ def binned_events(charts: DataFrame, outputs: DataFrame, include_bmi: bool = Fal
     return d.withColumn("valuecat", bin_right_closed("ce_type", "valuenum", include_bmi))
 
 
-RUN_ORDER = [F.col("charttime").desc(), F.col("valuecat").asc_nulls_first()]
+def run_order() -> list[Column]:
+    """Latest first; equal times ordered by category (nulls first)."""
+    return [F.col("charttime").desc(), F.col("valuecat").asc_nulls_first()]
 
 
 def compress_runs(binned: DataFrame) -> DataFrame:
     """Per (type, stay), read latest first, keep only category change points."""
-    d = windows.drop_consecutive_repeats(binned, ["ce_type", "icustay_id"], RUN_ORDER, "valuecat")
+    d = windows.drop_consecutive_repeats(binned, ["ce_type", "icustay_id"], run_order(), "valuecat")
     return d.select("icustay_id", "charttime", "valuecat", "ce_type")
 
 

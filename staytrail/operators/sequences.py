@@ -95,10 +95,15 @@ def sequence_arrays(entities: DataFrame, events: DataFrame, key: str, code: str,
     return normalise_time_arrays(arrays, f"{prefix}_times"), dictionary
 
 
-def densify_grid(df: DataFrame, entities: DataFrame, key: str, pos: str, length: int, fill_cols: dict) -> DataFrame:
-    """Long form of the padded grid: every entity x position 0..length-1, with
-    absent cells filled.  Each entity row is expanded locally (no cartesian join)."""
-    grid = entities.select(key).withColumn(pos, F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
+def densify_grid(df: DataFrame, entities: DataFrame, key: str, pos: str, fill_cols: dict,
+                 length: DataFrame | None = None) -> DataFrame:
+    """Long form of the padded grid: every entity x position 0..L-1, absent cells
+    filled.  L (default: longest sequence in ``df``) is a one-row broadcast and
+    each entity row is expanded locally with ``sequence`` (no cartesian join)."""
+    if length is None:
+        length = df.agg((F.max(pos) + 1).cast("int").alias("_L"))
+    grid = (entities.select(key).crossJoin(F.broadcast(length))
+            .select(key, F.explode(F.sequence(F.lit(0), F.col("_L") - 1)).alias(pos)))
     out = grid.join(df.select(key, pos, *fill_cols.keys()), [key, pos], "left")
     return out.na.fill(fill_cols)
 

@@ -53,17 +53,29 @@ def test_subjects(features: DataFrame, key: str = "icustay_id", subject: str = "
 
 
 def category_values(df: DataFrame, cols: Sequence[str], max_categories: int = 1000) -> dict[str, list[str]]:
-    """Distinct values per categorical column (a bounded driver read: the column
-    names of a one-hot encoding must be known when the plan is built)."""
-    out = {}
-    for c in cols:
-        vals = [r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().limit(max_categories + 1).collect()]
+    """Distinct values per categorical column, all columns in one job (a bounded
+    driver read: the column names of a one-hot encoding must be known when the
+    plan is built; more than ``max_categories`` values per column is an error)."""
+    cols = list(cols)
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v"))
+                                          for c in cols])).alias("p")).select("p.c", "p.v")
+    distinct = pairs.filter(F.col("v").isNotNull()).distinct()
+    rows = distinct.limit(max_categories * len(cols) + 1).collect()
+    out: dict[str, list[str]] = {c: [] for c in cols}
+    for r in rows:
+        out[r["c"]].append(r["v"])
+    for c, vals in out.items():
         if len(vals) > max_categories:
             raise ValueError(f"{c}: more than {max_categories} categories")
-        out[c] = sorted(vals)
+        vals.sort()
     return out
 
 
+def dummy_name(col: str, value: str) -> str:
+    """``<COL>_<value>`` with every run of non-alphanumerics as one underscore."""
+    return f"{col.upper()}_{re.sub(r'[^0-9A-Za-z]+', '_', value)}"
+
+
 def one_hot(df: DataFrame, categories: Mapping[str, Sequence[str]], baselines: Mapping[str, str] | None = None,
             drop_source: bool = True) -> DataFrame:
     """One 0/1 column ``<COL>_<value>`` per category (null -> all 0), baseline
@@ -74,7 +86,7 @@ def one_hot(df: DataFrame, categories: Mapping[str, Sequence[str]], baselines: M
         for v in vals:
             if baselines.get(c) == v:
                 continue
-            cols.append(F.when(F.col(c) == F.lit(v), F.lit(1)).otherwise(F.lit(0)).alias(f"{c.upper()}_{v}"))
+            cols.append(F.when(F.col(c) == F.lit(v), F.lit(1)).otherwise(F.lit(0)).alias(dummy_name(c, v)))
     out = df.select("*", *cols)
     return out.drop(*categories.keys()) if drop_source else out
 

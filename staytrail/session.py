@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: settings every session of this library wants; UTC keeps timestamp
 #: arithmetic identical across machines and engines.
@@ -63,3 +63,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, "staytrail-scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint in the
+    shared checkpoint folder (survives executor loss; never a local checkpoint).
+    Use for a stage that feeds several consumers."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
