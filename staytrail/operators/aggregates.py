@@ -13,7 +13,8 @@ def value_counts(df: DataFrame, col: str, out: str = "n") -> DataFrame:
     return df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).cast("long").alias(out))
 
 
-def lump_rare(df: DataFrame, cols: Sequence[str], min_count: int, other: str) -> DataFrame:
+def lump_rare(df: DataFrame, cols: Sequence[str], min_count: int, other: str,
+              materialize_input: bool = True) -> DataFrame:
     """Replace values seen fewer than ``min_count`` times by ``other``; nulls stay.
 
     One scan counts every listed column (explode of (column, value) pairs, hash
@@ -22,8 +23,14 @@ def lump_rare(df: DataFrame, cols: Sequence[str], min_count: int, other: str) ->
     are joined back; the join is a plain equi-join and AQE broadcasts it at run
     time when the frequent set is small, else keeps it a skew-split sort-merge
     join.  A per-value window count would put a hot value in one task.
+
+    The input is read twice (counts, join-back), so by default it is first
+    materialised with a reliable checkpoint instead of being recomputed.
     """
     cols = list(cols)
+    if materialize_input:
+        from ..session import materialize
+        df = materialize(df)
     pairs = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("_c"), F.col(c).cast("string").alias("_v")) for c in cols])).alias("_p"))
     freq = (pairs.select("_p._c", "_p._v").filter(F.col("_v").isNotNull())

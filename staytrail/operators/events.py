@@ -57,16 +57,40 @@ def plausible(ce_type: Column | str = "ce_type", v: Column | str = "valuenum") -
     return ok
 
 
+ITEM_RULES_SCHEMA = "itemid INT, ce_type STRING, unit_op STRING, lo DOUBLE, hi DOUBLE, selected BOOLEAN"
+
+
+def item_rules(spark) -> DataFrame:
+    """The fixed per-item rule table (116 rows)."""
+    return spark.createDataFrame(rules.item_rule_rows(), ITEM_RULES_SCHEMA)
+
+
+def convert_by_op(op: Column | str, v: Column | str) -> Column:
+    """Metric value from a unit operation name (fractions only when <= 1)."""
+    op = F.col(op) if isinstance(op, str) else op
+    v = F.col(v) if isinstance(v, str) else v
+    return (F.when(op == "f_to_c", (v - F.lit(32.0)) * F.lit(5.0) / F.lit(9.0))
+             .when(op == "lb_to_kg", v / F.lit(2.205))
+             .when(op == "oz_to_kg", v / F.lit(35.274))
+             .when(op == "inch_to_cm", v * F.lit(2.54))
+             .when((op == "frac_to_perc") & (v <= F.lit(1.0)), v * F.lit(100.0))
+             .otherwise(v))
+
+
 def clean_chart_events(df: DataFrame, items: Sequence[int] = tuple(rules.RELEVANT_IDS)) -> DataFrame:
     """Raw chart events -> (subject_id, hadm_id, icustay_id, charttime, valuenum, ce_type).
 
+    The listed-item filter is pushed to the scan; the per-item rules (type, unit
+    operation, plausible range) come from a broadcast of the fixed 116-row rule
+    table, so conversion and range check are a few column expressions in the
+    same codegen stage (no shuffle, and no large CASE repeated per reference).
     Row-local only, so the same function serves batch and streaming ingest."""
-    d = observed(df, items)
-    d = d.withColumn("valuenum", convert_units("itemid", "valuenum", rules.UNIT_RULES, rules.FRACTION_INSPIRED_OXYGEN))
-    d = d.withColumn("ce_type", label_items("itemid"))
-    d = d.filter(plausible("ce_type", "valuenum"))
-    return d.select("subject_id", "hadm_id", stay_id_from_text("icustay_id").alias("icustay_id"), "charttime",
-                    "valuenum", "ce_type")
+    d = observed(df, items).join(F.broadcast(item_rules(df.sparkSession)), "itemid")
+    d = d.withColumn("valuenum", convert_by_op("unit_op", "valuenum"))
+    v = F.col("valuenum")
+    ok = (v > F.lit(0.0)) & F.coalesce(v >= F.col("lo"), F.lit(True)) & F.coalesce(v <= F.col("hi"), F.lit(True))
+    return d.filter(ok).select("subject_id", "hadm_id", stay_id_from_text("icustay_id").alias("icustay_id"),
+                               "charttime", "valuenum", "ce_type")
 
 
 # -- output events ------------------------------------------------------------

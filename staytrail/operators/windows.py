@@ -2,9 +2,10 @@
 
 Partitioning notes (for 100 TB scale):
 * ``trailing_count`` partitions by (key, time bucket) instead of key alone: each
-  row is copied once into the next bucket as narrow context (key, time), so a
-  hot key is spread over as many tasks as it has buckets, and the result is
-  exact because the frame never reaches further back than one bucket.
+  row is also emitted once into the next bucket as narrow context (key, time),
+  from the same scan, so a hot key is spread over as many tasks as it has
+  buckets, and the result is exact because the frame never reaches further
+  back than one bucket.
 * ``latest_per_group`` is a hash aggregate (``min_by``), so partial aggregation
   runs before the shuffle and a hot group never lands whole in one task.
 """
@@ -22,20 +23,28 @@ from ..functions.timefns import MICROS_PER_DAY, epoch_micros
 def trailing_count(df: DataFrame, key: str, ts: str, min_days: int = 1, max_days: int = 365,
                    out: str = "n_recent") -> DataFrame:
     """For each row: rows of the same key whose ``ts`` lies ``min_days``..``max_days``
-    *whole* (floored) days earlier.  floor(d) in [a, b] <=> a days <= d < b+1 days."""
+    *whole* (floored) days earlier.  floor(d) in [a, b] <=> a days <= d < b+1 days.
+
+    One scan: every row is emitted twice by ``explode`` -- itself in its time
+    bucket and a narrow copy (key and time only) in the next bucket -- and the
+    range window runs per (key, bucket).  The frame never reaches back further
+    than one bucket, so the count is exact while a hot key is split over as
+    many tasks as it has buckets."""
     hi = min_days * MICROS_PER_DAY                   # at least this far back
     lo = (max_days + 1) * MICROS_PER_DAY - 1         # at most this far back
     width = (max_days + 1) * MICROS_PER_DAY          # bucket width > frame length
-    base = (df.withColumn("_t", epoch_micros(ts))
-              .withColumn("_b", F.floor(F.col("_t") / F.lit(width)).cast("long"))
-              .withColumn("_own", F.lit(True)))
-    context = (base.filter(F.col("_t").isNotNull())
-               .select(key, "_t", (F.col("_b") + 1).alias("_b"), F.lit(False).alias("_own")))
-    both = base.unionByName(context, allowMissingColumns=True)
+    others = [c for c in df.columns if c != key]
+    t = epoch_micros(ts)
+    b = F.floor(t / F.lit(width)).cast("long")
+    own = F.struct(F.lit(True).alias("own"), b.alias("bk"))
+    ctx = F.struct(F.lit(False).alias("own"), (b + 1).alias("bk"))
+    rows = (df.withColumn("_t", t)
+              .withColumn("_x", F.explode(F.when(t.isNull(), F.array(own)).otherwise(F.array(own, ctx))))
+              .select(key, "_t", F.col("_x.own").alias("_own"), F.col("_x.bk").alias("_b"),
+                      *[F.when(F.col("_x.own"), F.col(c)).alias(c) for c in others]))
     w = Window.partitionBy(key, "_b").orderBy("_t").rangeBetween(-lo, -hi)
-    counted = both.withColumn(out, F.when(F.col("_t").isNull(), F.lit(0)).otherwise(
-        F.count("_t").over(w)).cast("long"))
-    return counted.filter("_own").drop("_t", "_b", "_own")
+    counted = rows.withColumn(out, F.when(F.col("_t").isNull(), F.lit(0)).otherwise(F.count("_t").over(w)).cast("long"))
+    return counted.filter("_own").select(*df.columns, out)
 
 
 def next_value(df: DataFrame, key: str, order: Sequence[Column], value: str, out: str) -> DataFrame:

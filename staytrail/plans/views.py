@@ -87,6 +87,14 @@ def _float_text(c: Column) -> Column:
     return c.cast("double").cast("string")
 
 
+def _intime() -> Column:
+    return F.timestamp_add("HOUR", F.lit(12), F.col("o_orderdate"))
+
+
+def _outtime(k: Column) -> Column:
+    return F.timestamp_add("HOUR", (k % 7).cast("int"), F.timestamp_add("DAY", (k % 9 + 1).cast("int"), _intime()))
+
+
 def _ntz(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
@@ -106,12 +114,9 @@ class TestViews:
     def stays(self) -> DataFrame:
         o = self.table("orders")
         k = F.col("o_orderkey")
-        intime = F.timestamp_add("HOUR", F.lit(12), F.col("o_orderdate"))
-        outtime = F.timestamp_add("HOUR", (k % 7).cast("int"),
-                                  F.timestamp_add("DAY", (k % 9 + 1).cast("int"), intime))
         return o.select(
             F.col("o_custkey").alias("subject_id"), k.alias("hadm_id"), k.alias("icustay_id"),
-            intime.alias("intime"), outtime.alias("outtime"),
+            _intime().alias("intime"), _outtime(k).alias("outtime"),
             ((k % 9 + 1) + (k % 7) / F.lit(24.0)).alias("los"))
 
     @cached_property
@@ -130,7 +135,6 @@ class TestViews:
     def admissions(self) -> DataFrame:
         o, c, n = self.table("orders"), self.table("customer"), self.table("nation")
         k = F.col("o_orderkey")
-        stays = self.stays.select("hadm_id", F.col("outtime").alias("dischtime"))
         location = F.when(k % 211 == 0, F.lit(RARE_LOCATION)).otherwise(_map(F.col("o_orderpriority"),
                                                                               LOCATION_BY_PRIORITY))
         insurance = F.when(F.col("c_custkey") % 97 == 0, F.lit(RARE_INSURANCE)).otherwise(
@@ -145,8 +149,7 @@ class TestViews:
                         marital.alias("marital_status"),
                         _pick(ETHNICITIES, F.col("n_nationkey") % 12).alias("ethnicity"),
                         F.timestamp_add("HOUR", ((k % 4) * 5).cast("int"), F.col("o_orderdate")).alias("admittime"),
-                        _pick(ADMISSION_TYPES, k % 3).alias("admission_type"))
-                .join(stays, "hadm_id"))
+                        _pick(ADMISSION_TYPES, k % 3).alias("admission_type"), _outtime(k).alias("dischtime")))
 
     def _lines(self) -> DataFrame:
         li = self.table("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_shipdate")

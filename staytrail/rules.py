@@ -201,3 +201,22 @@ def bin_rules(include_bmi: bool = False) -> list[tuple[str, float, float, str]]:
         for lo, hi, lab in zip(edges[:-1], edges[1:], labels):
             rows.append((t, float(lo), float(hi), lab))
     return rows
+
+
+def item_rule_rows() -> list[tuple[int, str, str | None, float | None, float | None, bool]]:
+    """(itemid, ce_type, unit_op, lo, hi, selected) per typed chart item: the
+    per-item view of the lists above (a fixed 116-row table)."""
+    ops = {}
+    for op, ids in UNIT_RULES:
+        for i in ids:
+            ops[i] = op
+    bounds = {}
+    for types, lo, hi in PLAUSIBLE_RULES:
+        for t in types:
+            bounds[t] = (lo, hi)
+    rows = []
+    for t, ids in CHART_TYPES.items():
+        lo, hi = bounds.get(t, (None, None))
+        for i in ids:
+            rows.append((i, t, ops.get(i), lo, hi, t in SELECTED_TYPES))
+    return rows

@@ -65,9 +65,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "staytrail-scratch", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint in the
-    shared checkpoint folder (survives executor loss; never a local checkpoint).
-    Use for a stage that feeds several consumers."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Compute ``df`` once and cut its lineage: write it as a Parquet table in
+    the shared checkpoint folder and read it back (one job; survives executor
+    loss; later reads get column pruning and filter pushdown).  Never a local
+    checkpoint or a machine-local folder on a cluster.  Use for a stage that
+    feeds several consumers."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
