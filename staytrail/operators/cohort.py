@@ -17,6 +17,7 @@ from .. import rules
 from ..functions import strings, timefns
 from ..functions.mathfns import flag_to_int
 from . import windows
+from .ordered import Key
 from .aggregates import lump_rare
 
 
@@ -62,10 +63,13 @@ def eligible(df: DataFrame, positive: str = "positive", dod: str = "dod", out: s
 
 def next_gap_label(df: DataFrame, key: str = "subject_id", start: str = "intime", end: str = "outtime",
                    tie: str = "icustay_id", within_days: int = rules.READMIT_WITHIN_DAYS,
-                   gap: str = "days_to_next", label: str = "positive") -> DataFrame:
+                   gap: str = "days_to_next", label: str = "positive",
+                   bucket_us: int = 30 * timefns.MICROS_PER_DAY) -> DataFrame:
     """Whole days from this stay's end to the start of the next-ending stay of the
-    same key; label = gap <= ``within_days`` (no next stay -> False)."""
-    nxt = windows.next_value(df, key, [F.col(end).asc(), F.col(tie).desc()], start, "_next_start")
+    same key; label = gap <= ``within_days`` (no next stay -> False).  The next
+    stay is found per (key, 30-day range of end time) plus a carry across
+    ranges, so a key with very many stays is not one task."""
+    nxt = windows.next_value(df, key, [Key(end), Key(tie, asc=False)], start, "_next_start", width=bucket_us)
     return (nxt.withColumn(gap, timefns.whole_days_between(end, "_next_start"))
                .withColumn(label, F.coalesce(F.col(gap) <= F.lit(within_days), F.lit(False)))
                .drop("_next_start"))

@@ -16,6 +16,7 @@ from .. import rules
 from ..functions import timefns
 from ..functions.mathfns import convert_units
 from . import windows
+from .ordered import Key
 from .aggregates import daily_sum, pivot_mean
 
 
@@ -201,14 +202,15 @@ def binned_events(charts: DataFrame, outputs: DataFrame, include_bmi: bool = Fal
     return d.withColumn("valuecat", bin_right_closed("ce_type", "valuenum", include_bmi))
 
 
-def run_order() -> list[Column]:
+def run_order() -> list[Key]:
     """Latest first; equal times ordered by category (nulls first)."""
-    return [F.col("charttime").desc(), F.col("valuecat").asc_nulls_first()]
+    return [Key("charttime", asc=False), Key("valuecat", nulls_first=True)]
 
 
-def compress_runs(binned: DataFrame) -> DataFrame:
-    """Per (type, stay), read latest first, keep only category change points."""
-    d = windows.drop_consecutive_repeats(binned, ["ce_type", "icustay_id"], run_order(), "valuecat")
+def compress_runs(binned: DataFrame, bucket_us: int = timefns.MICROS_PER_DAY) -> DataFrame:
+    """Per (type, stay), read latest first, keep only category change points
+    (two-level: per (type, stay, day) plus a carry across days)."""
+    d = windows.drop_consecutive_repeats(binned, ["ce_type", "icustay_id"], run_order(), "valuecat", bucket_us)
     return d.select("icustay_id", "charttime", "valuecat", "ce_type")
 
 

@@ -37,9 +37,10 @@ def charts_prescriptions(cohort: DataFrame, chart_outputs: DataFrame, meds: Data
     return lump_rare(d, ["valuecat"], min_count, rules.RARE_CODE)
 
 
-def sequence_positions(df: DataFrame, key: str, t: str, code: str) -> DataFrame:
-    """0-based position per key by time ascending (nulls last), ties by code."""
-    return windows.sequence_position(df, key, t, code, "pos")
+def sequence_positions(df: DataFrame, key: str, t: str, code: str, width: float = 24.0) -> DataFrame:
+    """0-based position per key by time ascending (nulls last), ties by code;
+    ``width`` (in units of ``t``) splits a long sequence over several tasks."""
+    return windows.sequence_position(df, key, t, code, "pos", width)
 
 
 def truncate_sequences(df: DataFrame, key: str, q: float, pos: str = "pos") -> DataFrame:
@@ -85,9 +86,9 @@ def normalise_time_arrays(df: DataFrame, col: str) -> DataFrame:
 
 
 def sequence_arrays(entities: DataFrame, events: DataFrame, key: str, code: str, t: str, q: float,
-                    prefix: str) -> tuple[DataFrame, DataFrame]:
+                    prefix: str, width: float = 24.0) -> tuple[DataFrame, DataFrame]:
     """Events -> (key, <prefix>, <prefix>_times) padded arrays + code dictionary."""
-    d = sequence_positions(events, key, t, code)
+    d = sequence_positions(events, key, t, code, width)
     if q < 1.0:
         d = truncate_sequences(d, key, q)
     enc, dictionary = dictionary_encode(d, code)

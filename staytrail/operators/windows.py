@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefns import MICROS_PER_DAY, epoch_micros
+from . import ordered
+from .ordered import Key
 
 
 def trailing_count(df: DataFrame, key: str, ts: str, min_days: int = 1, max_days: int = 365,
@@ -47,10 +49,12 @@ def trailing_count(df: DataFrame, key: str, ts: str, min_days: int = 1, max_days
     return counted.filter("_own").select(*df.columns, out)
 
 
-def next_value(df: DataFrame, key: str, order: Sequence[Column], value: str, out: str) -> DataFrame:
-    """Value of the following row of the same key in ``order``."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn(out, F.lead(value).over(w))
+def next_value(df: DataFrame, key: str | Sequence[str], order: Sequence[Key], value: str, out: str,
+               width: float) -> DataFrame:
+    """Value of the following row of the same key in ``order`` (two-level, see
+    ``ordered``; ``width`` is the bucket width of the leading order column, in
+    microseconds for timestamps)."""
+    return ordered.neighbour(df, key, order, value, width, out, following=True)
 
 
 def fill_forward(df: DataFrame, key: str, order: Sequence[str | Column], c: str, out: str | None = None) -> DataFrame:
@@ -71,15 +75,13 @@ def fill_both(df: DataFrame, key: str, order: Sequence[str | Column], c: str) ->
     return df.withColumn(c, F.coalesce(ff, bf))
 
 
-def drop_consecutive_repeats(df: DataFrame, keys: Sequence[str], order: Sequence[Column], c: str) -> DataFrame:
+def drop_consecutive_repeats(df: DataFrame, keys: Sequence[str], order: Sequence[Key], c: str,
+                             width: float) -> DataFrame:
     """Keep change points of ``c`` within ``keys`` in ``order``; a null is never
-    equal to anything, so null rows and the rows after them are kept."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    prev = F.lag(c).over(w)
-    first = F.row_number().over(w) == 1
-    return (df.withColumn("_prev", prev).withColumn("_first", first)
-              .filter(F.col("_first") | F.col(c).isNull() | F.col("_prev").isNull() | (F.col(c) != F.col("_prev")))
-              .drop("_prev", "_first"))
+    equal to anything, so null rows and the rows after them are kept (the first
+    row of a key has no previous value and is kept too)."""
+    d = ordered.neighbour(df, keys, order, c, width, "_prev", following=False)
+    return d.filter(F.col(c).isNull() | F.col("_prev").isNull() | (F.col(c) != F.col("_prev"))).drop("_prev")
 
 
 def latest_per_group(df: DataFrame, keys: Sequence[str], ts: str, tie: str) -> DataFrame:
@@ -101,10 +103,11 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: str, tie: str, de
     return agg.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
-def sequence_position(df: DataFrame, key: str, order: str, tie: str, out: str = "pos") -> DataFrame:
-    """0-based position within ``key`` by ``order`` ascending (nulls last), then ``tie``."""
-    w = Window.partitionBy(key).orderBy(F.col(order).asc_nulls_last(), F.col(tie).asc_nulls_first())
-    return df.withColumn(out, (F.row_number().over(w) - 1).cast("int"))
+def sequence_position(df: DataFrame, key: str, order: str, tie: str, out: str = "pos",
+                      width: float = 1.0) -> DataFrame:
+    """0-based position within ``key`` by ``order`` ascending (nulls last), then
+    ``tie`` (nulls first); two-level, buckets of ``width`` units of ``order``."""
+    return ordered.position(df, key, [Key(order), Key(tie, nulls_first=True)], width, out)
 
 
 def first_n(df: DataFrame, key: str, order: str, tie: str, n: int) -> DataFrame:

@@ -82,12 +82,12 @@ class Flow:
     @cached_property
     def dp_arrays(self) -> tuple[DataFrame, DataFrame]:
         return seq_ops.sequence_arrays(self.cohort.select("icustay_id"), self.codes, "icustay_id", "icd9_code",
-                                       "days_to_out", rules.DP_QUANTILE, "dp")
+                                       "days_to_out", rules.DP_QUANTILE, "dp", width=30.0)
 
     @cached_property
     def cp_arrays(self) -> tuple[DataFrame, DataFrame]:
         return seq_ops.sequence_arrays(self.cohort.select("icustay_id"), self.cp, "icustay_id", "valuecat",
-                                       "hours_to_out", rules.CP_QUANTILE, "cp")
+                                       "hours_to_out", rules.CP_QUANTILE, "cp", width=24.0)
 
     @cached_property
     def split(self) -> DataFrame:
