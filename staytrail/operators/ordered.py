@@ -110,3 +110,64 @@ def neighbour(df: DataFrame, key: str | Sequence[str], keys: Sequence[Key], valu
     j = _join_back(d, cross, ks)
     return (j.withColumn(out, F.when(F.col("_has"), F.col("_in")).otherwise(F.col("_cross")))
              .drop("_bk", "_in", "_has", "_cross"))
+
+
+def running_sum(df: DataFrame, key: str | Sequence[str], keys: Sequence[Key], value: str, width: float, out: str,
+                suffix: bool = False) -> DataFrame:
+    """Sum of ``value`` from the first row of the key up to this row (or, with
+    ``suffix``, from this row to the last), in the order of ``keys``."""
+    ks = _keys(key)
+    d = df.withColumn("_bk", bucket_of(df, keys[0], width))
+    w = Window.partitionBy(*ks, "_bk").orderBy(*[k.order() for k in keys])
+    frame = w.rowsBetween(0, Window.unboundedFollowing) if suffix else w.rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_in", F.sum(value).over(frame))
+    tot = d.groupBy(*ks, "_bk").agg(F.sum(value).alias("_tot"))
+    wb = Window.partitionBy(*ks).orderBy("_bk")
+    others = wb.rowsBetween(1, Window.unboundedFollowing) if suffix else wb.rowsBetween(Window.unboundedPreceding, -1)
+    carry = tot.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(ks)], F.col("_bk").alias("_b"),
+                       F.sum("_tot").over(others).alias("_carry"))
+    j = _join_back(d, carry, ks)
+    return (j.withColumn(out, F.when(F.col("_carry").isNull(), F.col("_in"))
+                         .otherwise(F.coalesce(F.col("_in"), F.lit(0)) + F.col("_carry")))
+             .drop("_bk", "_in", "_carry"))
+
+
+def fill_nulls(df: DataFrame, key: str | Sequence[str], keys: Sequence[Key], value: str, width: float, out: str,
+               backward: bool = False) -> DataFrame:
+    """Last non-null ``value`` up to this row (forward fill) or, with
+    ``backward``, first non-null from this row on, within the key."""
+    ks = _keys(key)
+    d = df.withColumn("_bk", bucket_of(df, keys[0], width))
+    w = Window.partitionBy(*ks, "_bk").orderBy(*[k.order() for k in keys])
+    if backward:
+        d = d.withColumn("_in", F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    else:
+        d = d.withColumn("_in", F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rank = _rank_struct(df, keys)
+    nn = d.filter(F.col(value).isNotNull())
+    edge = F.min_by(F.col(value), rank) if backward else F.max_by(F.col(value), rank)
+    ends = nn.groupBy(*ks, "_bk").agg(edge.alias("_end"))
+    allb = d.select(*ks, "_bk").distinct().join(ends, [*ks, "_bk"], "left")
+    wb = Window.partitionBy(*ks).orderBy("_bk")
+    if backward:
+        c = F.first("_end", ignorenulls=True).over(wb.rowsBetween(1, Window.unboundedFollowing))
+    else:
+        c = F.last("_end", ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, -1))
+    carry = allb.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(ks)], F.col("_bk").alias("_b"), c.alias("_carry"))
+    j = _join_back(d, carry, ks)
+    return j.withColumn(out, F.coalesce(F.col("_in"), F.col("_carry"))).drop("_bk", "_in", "_carry")
+
+
+def ranked(vals: DataFrame, order_col: str, out: str, partitions: int = 64) -> DataFrame:
+    """0-based rank of the (distinct) rows of ``vals`` by ``order_col``, for any
+    orderable type: range partitioning (sampled bounds) gives contiguous,
+    ordered ranges; each range is numbered on its own and the per-range counts
+    (``partitions`` rows) are prefix-summed into offsets."""
+    r = vals.repartitionByRange(partitions, order_col).withColumn("_pid", F.spark_partition_id())
+    counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    offs = counts.select("_pid", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    w = Window.partitionBy("_pid").orderBy(order_col)
+    return (r.join(F.broadcast(offs), "_pid")
+             .withColumn(out, (F.col("_off") + F.row_number().over(w) - 1).cast("long"))
+             .drop("_pid", "_off"))

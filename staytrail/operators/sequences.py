@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import strings, timefns
 from ..functions.arrays import pad_array
-from . import windows
+from . import ordered, windows
 from .aggregates import exact_quantile, group_sizes, lump_rare
 from .events import stay_id_from_text
 
@@ -53,12 +53,11 @@ def truncate_sequences(df: DataFrame, key: str, q: float, pos: str = "pos") -> D
 def dictionary_encode(df: DataFrame, code: str, idx: str = "idx") -> tuple[DataFrame, DataFrame]:
     """Sorted distinct codes -> 1..n (0 is the pad / unknown code).
 
-    Returns (encoded rows, dictionary(idx, code)).  The distinct set is ranked by
-    a window without a partition: it is the *vocabulary*, not the rows, and it
-    is bounded by the number of distinct codes that survived rare-value lumping
-    (at most rows / min_count + 1)."""
+    Returns (encoded rows, dictionary(idx, code)).  The distinct codes are ranked
+    in parallel (range partitions numbered on their own plus offsets), so a
+    large vocabulary is never ordered in one task."""
     vocab = df.select(code).filter(F.col(code).isNotNull()).distinct()
-    dictionary = vocab.select(F.row_number().over(Window.orderBy(code)).cast("int").alias(idx), code)
+    dictionary = ordered.ranked(vocab, code, "_r").select((F.col("_r") + 1).cast("int").alias(idx), code)
     enc = df.join(dictionary, code, "left").withColumn(idx, F.coalesce(F.col(idx), F.lit(0)))
     return enc, dictionary
 
@@ -109,26 +108,7 @@ def densify_grid(df: DataFrame, entities: DataFrame, key: str, pos: str, fill_co
     return out.na.fill(fill_cols)
 
 
-def unique_time_grid(df: DataFrame, t: str, out: str = "t_idx", buckets: int = 64) -> DataFrame:
-    """Sorted unique values of ``t`` with their 0-based index.
-
-    Exact and parallel: distinct values are cut into ``buckets`` ranges by
-    approximate quantiles, counted per range, the (few) range counts are
-    prefix-summed, and each value is ranked inside its range plus the offset."""
-    vals = df.select(F.col(t).alias("_t")).filter(F.col("_t").isNotNull()).distinct()
-    return global_rank(vals, "_t", out, buckets).withColumnRenamed("_t", t)
-
-
-def global_rank(vals: DataFrame, order_col: str, out: str, buckets: int = 64) -> DataFrame:
-    """0-based rank of distinct ``order_col`` values, without a one-task window."""
-    fracs = [i / buckets for i in range(1, buckets)]
-    bounds = vals.agg(F.percentile_approx(order_col, fracs, 10000).alias("_bounds"))
-    b = (vals.crossJoin(F.broadcast(bounds))
-         .withColumn("_bk", F.size(F.filter("_bounds", lambda x: x < F.col(order_col)))).drop("_bounds"))
-    counts = b.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"))
-    offs = counts.select("_bk", (F.sum("_n").over(Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)))
-                         .alias("_off"))
-    ranked = b.join(F.broadcast(offs), "_bk").withColumn(
-        out, (F.coalesce(F.col("_off"), F.lit(0)) + F.row_number().over(Window.partitionBy("_bk").orderBy(order_col))
-              - 1).cast("long"))
-    return ranked.drop("_bk", "_off")
+def unique_time_grid(df: DataFrame, t: str, out: str = "t_idx", partitions: int = 64) -> DataFrame:
+    """Sorted unique values of ``t`` with their 0-based index (parallel exact rank)."""
+    vals = df.select(t).filter(F.col(t).isNotNull()).distinct()
+    return ordered.ranked(vals, t, out, partitions)

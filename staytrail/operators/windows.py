@@ -57,22 +57,24 @@ def next_value(df: DataFrame, key: str | Sequence[str], order: Sequence[Key], va
     return ordered.neighbour(df, key, order, value, width, out, following=True)
 
 
-def fill_forward(df: DataFrame, key: str, order: Sequence[str | Column], c: str, out: str | None = None) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out or c, F.last(c, ignorenulls=True).over(w))
+def fill_forward(df: DataFrame, key: str, order: Sequence[str], c: str, out: str | None = None,
+                 width: float = 1.0) -> DataFrame:
+    """Last non-null ``c`` so far within ``key`` (two-level over ranges of the
+    leading order column)."""
+    return ordered.fill_nulls(df, key, [Key(o) for o in order], c, width, out or c)
 
 
-def fill_backward(df: DataFrame, key: str, order: Sequence[str | Column], c: str, out: str | None = None) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumn(out or c, F.first(c, ignorenulls=True).over(w))
+def fill_backward(df: DataFrame, key: str, order: Sequence[str], c: str, out: str | None = None,
+                  width: float = 1.0) -> DataFrame:
+    """First non-null ``c`` from this row on within ``key``."""
+    return ordered.fill_nulls(df, key, [Key(o) for o in order], c, width, out or c, backward=True)
 
 
-def fill_both(df: DataFrame, key: str, order: Sequence[str | Column], c: str) -> DataFrame:
-    """Forward fill, then backward fill what is still missing (one window spec)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    ff = F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    bf = F.first(c, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return df.withColumn(c, F.coalesce(ff, bf))
+def fill_both(df: DataFrame, key: str, order: Sequence[str], c: str, width: float = 1.0) -> DataFrame:
+    """Forward fill, then backward fill what is still missing."""
+    d = fill_forward(df, key, order, c, "_ff", width)
+    d = fill_backward(d, key, order, c, "_bf", width)
+    return d.withColumn(c, F.coalesce("_ff", "_bf")).drop("_ff", "_bf")
 
 
 def drop_consecutive_repeats(df: DataFrame, keys: Sequence[str], order: Sequence[Key], c: str,
@@ -116,22 +118,21 @@ def first_n(df: DataFrame, key: str, order: str, tie: str, n: int) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def time_delta(df: DataFrame, key: str, pos: str, t: str, out: str = "delta") -> DataFrame:
+def time_delta(df: DataFrame, key: str, pos: str, t: str, out: str = "delta", width: float = 64.0) -> DataFrame:
     """t minus the previous t of the key (the first keeps its own t), clamped at 0."""
-    w = Window.partitionBy(key).orderBy(pos)
-    return df.withColumn(out, F.greatest(F.col(t) - F.coalesce(F.lag(t).over(w), F.lit(0.0)), F.lit(0.0)))
+    d = ordered.neighbour(df, key, [Key(pos)], t, width, "_prev_t", following=False)
+    return d.withColumn(out, F.greatest(F.col(t) - F.coalesce("_prev_t", F.lit(0.0)), F.lit(0.0))).drop("_prev_t")
 
 
 def exp_decay_recency(df: DataFrame, key: str, pos: str, delta: str, group: str, x: str | None = None,
-                      rate: float = 1.0, out: str = "recency") -> DataFrame:
+                      rate: float = 1.0, out: str = "recency", width: float = 64.0) -> DataFrame:
     """Recency weight per (key, group): sum of x_i * exp(-rate * sum of deltas from
     step i to the end of the sequence).  Equals what an exponentially decayed
-    state accumulates from each input."""
-    w = Window.partitionBy(key).orderBy(pos).rowsBetween(0, Window.unboundedFollowing)
+    state accumulates from each input.  The suffix sum is two-level."""
     xv = F.lit(1.0) if x is None else F.col(x)
-    decayed = df.withColumn("_s", F.sum(delta).over(w)).withColumn(
-        "_w", xv * F.exp(-F.greatest(F.col("_s") * F.lit(rate), F.lit(0.0))))
-    return decayed.groupBy(key, group).agg(F.sum("_w").alias(out))
+    d = ordered.running_sum(df, key, [Key(pos)], delta, width, "_s", suffix=True)
+    d = d.withColumn("_w", xv * F.exp(-F.greatest(F.col("_s") * F.lit(rate), F.lit(0.0))))
+    return d.groupBy(key, group).agg(F.sum("_w").alias(out))
 
 
 def sort_mixed(df: DataFrame, spec: Sequence[tuple[str, bool]], nulls: str = "last") -> DataFrame:

@@ -37,3 +37,37 @@ def test_neighbour_matches_lead_lag(spark, data, width, following):
     want = {r.id: r.v for r in data.select("id", fn("c").over(w).alias("v")).collect()}
     got = {r.id: r.v for r in neighbour(data, "k", keys, "c", width, "v", following).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("width,suffix", [(0.5, False), (7.0, True), (1e9, True)])
+def test_running_sum(spark, data, width, suffix):
+    from staytrail.operators.ordered import running_sum
+    d = data.withColumn("x", F.col("id") % 7)
+    keys = [Key("t"), Key("id")]
+    w = Window.partitionBy("k").orderBy(F.col("t").asc_nulls_last(), "id")
+    frame = w.rowsBetween(0, Window.unboundedFollowing) if suffix else w.rowsBetween(Window.unboundedPreceding, 0)
+    want = {r.id: r.s for r in d.select("id", F.sum("x").over(frame).alias("s")).collect()}
+    got = {r.id: r.s for r in running_sum(d, "k", keys, "x", width, "s", suffix).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("width,backward", [(0.5, False), (7.0, True), (3.0, False), (1e9, True)])
+def test_fill_nulls(spark, data, width, backward):
+    from staytrail.operators.ordered import fill_nulls
+    keys = [Key("t"), Key("id")]
+    w = Window.partitionBy("k").orderBy(F.col("t").asc_nulls_last(), "id")
+    if backward:
+        e = F.first("c", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    else:
+        e = F.last("c", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    want = {r.id: r.f for r in data.select("id", e.alias("f")).collect()}
+    got = {r.id: r.f for r in fill_nulls(data, "k", keys, "c", width, "f", backward).collect()}
+    assert got == want
+
+
+def test_ranked_strings(spark):
+    from staytrail.operators.ordered import ranked
+    vals = spark.createDataFrame([(f"code{i:05d}",) for i in range(0, 3000, 3)], "c string")
+    got = sorted((r.r, r.c) for r in ranked(vals, "c", "r", 7).collect())
+    assert [c for _, c in got] == sorted(f"code{i:05d}" for i in range(0, 3000, 3))
+    assert [r for r, _ in got] == list(range(1000))

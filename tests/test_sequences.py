@@ -54,7 +54,7 @@ def test_hashed_rank_equals_global_order(spark):
 
 def test_unique_time_grid(spark):
     df = spark.createDataFrame([(float(i % 37) / 3,) for i in range(300)], "t double")
-    got = sorted((r.t, r.t_idx) for r in sequences.unique_time_grid(df, "t", "t_idx", buckets=8).collect())
+    got = sorted((r.t, r.t_idx) for r in sequences.unique_time_grid(df, "t", "t_idx", partitions=8).collect())
     assert [i for _, i in got] == list(range(37))
 
 
