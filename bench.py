@@ -22,7 +22,7 @@ HEADLINE = [
     "anti_join_boundary_days",     # stage 3: output events, daily sums, boundary days
     "drop_consecutive_repeats",    # stage 5: derive, bin, run compression
     "group_sizes",                 # stage 6: charts + prescriptions per stay
-    "build_feature_table",         # stage 7: arrays, split, feature table
+    "feature_table",               # stage 7: arrays, split, feature table (array columns)
     "average_precision",           # scoring
     "roc_auc",
 ]
@@ -37,7 +37,8 @@ def main() -> None:
 
     spark = get_session(f"local[{cpus}]", int(cpus) * 2,
                         extra={"spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g"})
-    qs = catalog.queries()
+    qs = dict(catalog.queries())
+    qs["feature_table"] = catalog.feature_table
     # warm-up on the smallest data (JIT, class loading), not timed
     smoke = "/root/testdata/sf0.001"
     if os.path.isdir(smoke):

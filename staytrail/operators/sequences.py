@@ -91,8 +91,13 @@ def sequence_arrays(entities: DataFrame, events: DataFrame, key: str, code: str,
     if q < 1.0:
         d = truncate_sequences(d, key, q)
     enc, dictionary = dictionary_encode(d, code)
+    # times are divided by the largest time before collecting (pads are 0 and
+    # times are >= 0, so this equals dividing the padded arrays by their max)
+    m = enc.agg(F.max(F.coalesce(F.col(t), F.lit(0.0))).alias("_m"))
+    enc = (enc.crossJoin(F.broadcast(m))
+              .withColumn(t, F.try_divide(F.coalesce(F.col(t), F.lit(0.0)), F.col("_m"))).drop("_m"))
     arrays = pad_sequences(entities, enc, key, "pos", "idx", t, prefix, f"{prefix}_times")
-    return normalise_time_arrays(arrays, f"{prefix}_times"), dictionary
+    return arrays, dictionary
 
 
 def densify_grid(df: DataFrame, entities: DataFrame, key: str, pos: str, fill_cols: dict,

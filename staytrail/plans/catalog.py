@@ -969,9 +969,15 @@ def test_subjects(spark, sf):
 
 @register("build_feature_table", B(FEATURE_TEXT_SQL, "cohort", "dp_arrays", "cp_arrays", "split"))
 def build_feature_table(spark, sf):
+    """The feature table (arrays rendered as text for the SQL comparison)."""
     return _feature_text(Flow(spark, sf).features)
 
 
+def feature_table(spark, sf):
+    """The feature table as the library produces it (array columns)."""
+    return Flow(spark, sf).features
+
+
 STATIC_NUMERIC = ["los", "num_recent_admissions", "age", "pre_icu_los", "elective_surgery"]
 
 

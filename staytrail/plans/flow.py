@@ -46,7 +46,9 @@ class Flow:
     # stage 2: codes
     @cached_property
     def codes(self) -> DataFrame:
-        return self._stage(code_ops.diag_proc(self.cohort, self.v.diagnoses, self.v.procedures, self.v.admissions))
+        # the lumping inside reads a materialised input; its output is a cheap
+        # broadcast join over it, so it is not written a second time
+        return code_ops.diag_proc(self.cohort, self.v.diagnoses, self.v.procedures, self.v.admissions)
 
     # stages 3-5: events
     @cached_property
@@ -76,7 +78,7 @@ class Flow:
     # stage 6: prescriptions
     @cached_property
     def cp(self) -> DataFrame:
-        return self._stage(seq_ops.charts_prescriptions(self.cohort, self.runs, self.v.meds))
+        return seq_ops.charts_prescriptions(self.cohort, self.runs, self.v.meds)
 
     # stage 7: arrays, split, features
     @cached_property
