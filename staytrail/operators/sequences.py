@@ -10,6 +10,7 @@ from ..functions import strings, timefns
 from ..functions.arrays import pad_array
 from . import ordered, windows
 from .aggregates import exact_quantile, group_sizes, lump_rare
+from ..session import materialize
 from .events import stay_id_from_text
 
 
@@ -87,10 +88,14 @@ def normalise_time_arrays(df: DataFrame, col: str) -> DataFrame:
 def sequence_arrays(entities: DataFrame, events: DataFrame, key: str, code: str, t: str, q: float,
                     prefix: str, width: float = 24.0) -> tuple[DataFrame, DataFrame]:
     """Events -> (key, <prefix>, <prefix>_times) padded arrays + code dictionary."""
-    d = sequence_positions(events, key, t, code, width)
+    # the positioned table feeds the quantile, the vocabulary and the encoding,
+    # and the encoded table feeds the time maximum, the pad length and the
+    # arrays: each is computed once (stage tables in the checkpoint folder)
+    d = materialize(sequence_positions(events, key, t, code, width), f"{prefix}_positions")
     if q < 1.0:
         d = truncate_sequences(d, key, q)
     enc, dictionary = dictionary_encode(d, code)
+    enc = materialize(enc, f"{prefix}_encoded")
     # times are divided by the largest time before collecting (pads are 0 and
     # times are >= 0, so this equals dividing the padded arrays by their max)
     m = enc.agg(F.max(F.coalesce(F.col(t), F.lit(0.0))).alias("_m"))

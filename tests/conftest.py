@@ -5,7 +5,9 @@ from datetime import datetime
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+TESTS_DIR = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
+sys.path.insert(0, TESTS_DIR)
 
 
 @pytest.fixture(scope="session")
