@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import strings, timefns
 from .aggregates import lump_rare
+from .joins import left_join_many
 
 
 def union_tagged(tables: Mapping[str, DataFrame], code: str = "icd9_code") -> DataFrame:
@@ -38,9 +39,11 @@ def point_in_time_history(stays: DataFrame, history: DataFrame, key: str = "subj
     end.  Left equi-join on the key then the as-of filter *after* the join: a stay
     whose rows are all in the future disappears, a stay without rows keeps one
     null row.  History rows are deduplicated first, which cannot change the
-    deduplicated result and shrinks the fan-out of the many-to-many join."""
+    deduplicated result and shrinks the fan-out of the many-to-many join.  The
+    outer join is an inner join plus unmatched stays, so a subject with very
+    many codes can be split by AQE's skew handling."""
     hist = history.dropDuplicates()
-    return known_by(stays.join(hist, key, "left"), known_at, as_of)
+    return known_by(left_join_many(stays, hist, key), known_at, as_of)
 
 
 def diag_proc(cohort: DataFrame, diagnoses: DataFrame, procedures: DataFrame, admissions: DataFrame,

@@ -12,6 +12,7 @@ from . import ordered, windows
 from .aggregates import exact_quantile, group_sizes, lump_rare
 from ..session import materialize
 from .events import stay_id_from_text
+from .joins import left_join_many
 
 
 def prescriptions(meds: DataFrame) -> DataFrame:
@@ -23,8 +24,9 @@ def prescriptions(meds: DataFrame) -> DataFrame:
 
 
 def left_join_stay_events(stays: DataFrame, events: DataFrame, key: str = "icustay_id") -> DataFrame:
-    """Every stay with its events; stays without events keep one null row."""
-    return stays.join(events, key, "left")
+    """Every stay with its events; stays without events keep one null row (a
+    skew-splittable form of the left outer join)."""
+    return left_join_many(stays, events, key)
 
 
 def charts_prescriptions(cohort: DataFrame, chart_outputs: DataFrame, meds: DataFrame,

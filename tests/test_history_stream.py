@@ -37,3 +37,13 @@ def test_stream_equals_batch(spark):
     key = lambda r: (r.icustay_id, r.charttime, r.ce_type, round(r.valuenum, 9))
     assert sorted(map(key, streamed.collect())) == sorted(map(key, batch.collect()))
     assert len([f for f in os.listdir(out) if f.endswith(".parquet")]) >= 2  # several micro-batches
+
+
+def test_left_join_many_equals_left_join(spark):
+    from staytrail.operators.joins import left_join_many
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (3, "d")], "k long, l string")
+    right = spark.createDataFrame([(1, 10)] * 50 + [(3, 30), (4, 40), (None, 0)], "k long, r int")
+    want = sorted(map(tuple, left.join(right, "k", "left").collect()), key=str)
+    got = left_join_many(left, right, "k")
+    assert got.columns == left.join(right, "k", "left").columns
+    assert sorted(map(tuple, got.collect()), key=str) == want
