@@ -98,9 +98,19 @@ def select_regex(df: DataFrame, pattern: str, ignore_case: bool = True) -> list[
 
 
 def build_features(cohort: DataFrame, dp_arrays: DataFrame, cp_arrays: DataFrame,
-                   categories: Mapping[str, Sequence[str]], seed: int = rules.SPLIT_SEED) -> DataFrame:
-    """One row per stay: key, subject, label, static features, both sequences, split."""
-    oh = one_hot(cohort, categories, rules.ONE_HOT_BASELINES)
+                   categories: Mapping[str, Sequence[str]], seed: int = rules.SPLIT_SEED,
+                   encode_gender: bool = False) -> DataFrame:
+    """One row per stay: key, subject, label, static features, both sequences, split.
+
+    By default gender does not reach the static features (the static pattern
+    asks for ``GENDER_M`` but gender is not one-hot encoded); ``encode_gender``
+    adds the ``GENDER_M`` indicator."""
+    cats = dict(categories)
+    baselines = dict(rules.ONE_HOT_BASELINES)
+    if encode_gender:
+        cats["gender"] = ["F", "M"]
+        baselines["gender"] = "F"
+    oh = one_hot(cohort, cats, baselines)
     static = select_regex(oh.drop("subject_id", "hadm_id", "icustay_id", "intime", "outtime", "gender", "positive"),
                           rules.STATIC_PATTERN)
     split = grouped_split(cohort, "subject_id", rules.SPLIT_CUTS, seed)

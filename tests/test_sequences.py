@@ -73,3 +73,20 @@ def test_densify(spark):
     df = spark.createDataFrame([(1, 0, 5), (1, 2, 6)], "k long, pos int, idx int")
     got = sorted((r.k, r.pos, r.idx) for r in sequences.densify_grid(df, ent, "k", "pos", {"idx": 0}).collect())
     assert got == [(1, 0, 5), (1, 1, 0), (1, 2, 6), (2, 0, 0), (2, 1, 0), (2, 2, 0)]
+
+
+def test_gender_encoding_optional(spark):
+    from pyspark.sql import functions as F
+    cohort = spark.createDataFrame(
+        [(1, 10, "M", True, 2.0, 0, 30.0, 0.1, 0, "Emergency Room Admit", "Medicare", "Single", "White"),
+         (2, 20, "F", False, 1.0, 1, 40.0, 0.0, 1, "Clinic Referral/Premature", "Private", "Single", "Asian")],
+        "subject_id long, icustay_id long, gender string, positive boolean, los double, num_recent_admissions long,"
+        " age double, pre_icu_los double, elective_surgery int, admission_location string, insurance string,"
+        " marital_status string, ethnicity string")
+    arr = spark.createDataFrame([(10,), (20,)], "icustay_id long")
+    cats = split.category_values(cohort, ["admission_location", "insurance", "marital_status", "ethnicity"])
+    plain = split.build_features(cohort, arr, arr, cats)
+    with_g = split.build_features(cohort, arr, arr, cats, encode_gender=True)
+    assert "GENDER_M" not in plain.columns and "GENDER_M" in with_g.columns
+    assert {r.icustay_id: r.GENDER_M for r in with_g.collect()} == {10: 1.0, 20: 0.0}
+    assert "ADMISSION_LOCATION_Emergency_Room_Admit" not in plain.columns
