@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import timefns
-from ..functions.mathfns import convert_units
 from . import windows
 from .ordered import Key
 from .aggregates import daily_sum, pivot_mean
