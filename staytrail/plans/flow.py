@@ -23,11 +23,21 @@ from .views import OBSCURE_CUTOFF_YEAR, TestViews
 
 
 class Flow:
-    def __init__(self, spark: SparkSession, sf_dir: str, compat: bool = False, materialize_stages: bool = True):
+    """All stages from a set of source tables.
+
+    ``sources`` is any object with the DataFrame attributes stays, patients,
+    admissions, services, diagnoses, procedures, items, chart, outputs, meds --
+    e.g. ``sources.clinical.clinical_sources(spark, dir)`` for the source CSV
+    layout; by default the stand-in views over the test tables in ``sf_dir``.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str | None = None, compat: bool = False,
+                 materialize_stages: bool = True, sources=None, dob_cutoff_year: int | None = None):
         self.spark = spark
-        self.v = TestViews(spark, sf_dir)
+        self.v = sources if sources is not None else TestViews(spark, sf_dir)
         self.compat = compat
         self.materialize_stages = materialize_stages
+        self.dob_cutoff_year = dob_cutoff_year or (OBSCURE_CUTOFF_YEAR if sources is None else 2000)
 
     def _stage(self, df: DataFrame) -> DataFrame:
         """Stages read by several later stages are computed once (checkpoint)."""
@@ -36,12 +46,12 @@ class Flow:
     # stage 1: cohort
     @cached_property
     def cohort_base(self) -> DataFrame:
-        return cohort_ops.link_stays_patients(self.v.stays, self.v.patients, dob_cutoff_year=OBSCURE_CUTOFF_YEAR)
+        return cohort_ops.link_stays_patients(self.v.stays, self.v.patients, dob_cutoff_year=self.dob_cutoff_year)
 
     @cached_property
     def cohort(self) -> DataFrame:
         return self._stage(cohort_ops.build_cohort(self.v.stays, self.v.patients, self.v.admissions, self.v.services,
-                                                   dob_cutoff_year=OBSCURE_CUTOFF_YEAR, compat=self.compat))
+                                                   dob_cutoff_year=self.dob_cutoff_year, compat=self.compat))
 
     # stage 2: codes
     @cached_property
