@@ -23,25 +23,27 @@ from .ordered import Key
 
 
 def trailing_count(df: DataFrame, key: str, ts: str, min_days: int = 1, max_days: int = 365,
-                   out: str = "n_recent") -> DataFrame:
+                   out: str = "n_recent", bucket_days: int | None = None) -> DataFrame:
     """For each row: rows of the same key whose ``ts`` lies ``min_days``..``max_days``
     *whole* (floored) days earlier.  floor(d) in [a, b] <=> a days <= d < b+1 days.
 
-    One scan: every row is emitted twice by ``explode`` -- itself in its time
-    bucket and a narrow copy (key and time only) in the next bucket -- and the
-    range window runs per (key, bucket).  The frame never reaches back further
-    than one bucket, so the count is exact while a hot key is split over as
-    many tasks as it has buckets."""
+    One scan: every row is emitted by ``explode`` into its own time bucket and,
+    as a narrow copy (key and time only), into the next k buckets, where k
+    buckets cover the frame; the range window runs per (key, bucket).  The
+    count is exact, and a hot key is split over as many tasks as it has
+    buckets (``bucket_days``, default one frame length: k = 1; smaller buckets
+    split finer at the cost of more copies)."""
     hi = min_days * MICROS_PER_DAY                   # at least this far back
     lo = (max_days + 1) * MICROS_PER_DAY - 1         # at most this far back
-    width = (max_days + 1) * MICROS_PER_DAY          # bucket width > frame length
+    width = (bucket_days or (max_days + 1)) * MICROS_PER_DAY
+    k = -(-lo // width)                              # buckets the frame can reach back
     others = [c for c in df.columns if c != key]
     t = epoch_micros(ts)
     b = F.floor(t / F.lit(width)).cast("long")
     own = F.struct(F.lit(True).alias("own"), b.alias("bk"))
-    ctx = F.struct(F.lit(False).alias("own"), (b + 1).alias("bk"))
+    ctx = [F.struct(F.lit(False).alias("own"), (b + i).alias("bk")) for i in range(1, k + 1)]
     rows = (df.withColumn("_t", t)
-              .withColumn("_x", F.explode(F.when(t.isNull(), F.array(own)).otherwise(F.array(own, ctx))))
+              .withColumn("_x", F.explode(F.when(t.isNull(), F.array(own)).otherwise(F.array(own, *ctx))))
               .select(key, "_t", F.col("_x.own").alias("_own"), F.col("_x.bk").alias("_b"),
                       *[F.when(F.col("_x.own"), F.col(c)).alias(c) for c in others]))
     w = Window.partitionBy(key, "_b").orderBy("_t").rangeBetween(-lo, -hi)

@@ -77,8 +77,9 @@ def test_trailing_count_matches_plain_window(spark):
     us = F.unix_micros(F.col("outtime").cast("timestamp"))
     w = Window.partitionBy("subject_id").orderBy(us).rangeBetween(-(366 * 86400000000 - 1), -86400000000)
     want = {r["icustay_id"]: r["n"] for r in df.select("icustay_id", F.count("*").over(w).alias("n")).collect()}
-    for parts in ("1", "4", "37"):
+    for parts, bucket_days in (("1", None), ("4", 30), ("37", 100), ("4", 366)):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
-        got = {r["icustay_id"]: r["n"] for r in windows.trailing_count(df, "subject_id", "outtime", 1, 365, "n").collect()}
+        got = {r["icustay_id"]: r["n"] for r in
+               windows.trailing_count(df, "subject_id", "outtime", 1, 365, "n", bucket_days).collect()}
         assert got == want
     spark.conf.set("spark.sql.shuffle.partitions", "4")
