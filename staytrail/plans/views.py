@@ -102,6 +102,8 @@ def _ntz(text: str) -> Column:
 class TestViews:
     """Lazily built clinical views over one scale-factor folder."""
 
+    __test__ = False  # not a pytest test class
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
