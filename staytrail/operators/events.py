@@ -61,13 +61,10 @@ ITEM_RULES_SCHEMA = "itemid INT, ce_type STRING, unit_op STRING, lo DOUBLE, hi D
 
 
 def item_rules(spark) -> DataFrame:
-    """The fixed per-item rule table (116 rows), built from literals on the JVM
-    side (no Python worker is started to materialise it)."""
-    def row(i, t, op, lo, hi, sel):
-        return F.struct(F.lit(i).cast("int").alias("itemid"), F.lit(t).cast("string").alias("ce_type"),
-                        F.lit(op).cast("string").alias("unit_op"), F.lit(lo).cast("double").alias("lo"),
-                        F.lit(hi).cast("double").alias("hi"), F.lit(sel).cast("boolean").alias("selected"))
-    return spark.range(1).select(F.inline(F.array(*[row(*r) for r in rules.item_rule_rows()])))
+    """The fixed per-item rule table (116 rows).  Built with ``createDataFrame``:
+    measured faster than an equivalent literal-array expression, whose large
+    generated code costs seconds per query."""
+    return spark.createDataFrame(rules.item_rule_rows(), ITEM_RULES_SCHEMA)
 
 
 def convert_by_op(op: Column | str, v: Column | str) -> Column:
