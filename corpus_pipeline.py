@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from staytrail.llm import mixing, quality, sharding
+from staytrail.llm import minhash, mixing, quality, sharding
 from staytrail.llm.common import stage
 
 
@@ -18,6 +18,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_quality(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.85 or more)."""
+    return minhash.dedup_rows(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the production mix takes them."""
     return mixing.mix_rows(docs)
@@ -30,6 +35,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_duplicates),
     ("mixing", mix_sources),
     ("sharding", shard),
 ]

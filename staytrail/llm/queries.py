@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, tokens, urls, warc
+from . import minhash, mixing, quality, sharding, tokens, urls, warc
 from .common import fresh_path
 
 
@@ -19,6 +20,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of documents at a similarity of 0.85 of their five-word shingles."""
+    found = minhash.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict for every url of pages."""
     return urls.judge_urls(_table(spark, sf_dir, "pages", "page_id", "url"))
@@ -82,6 +89,7 @@ FROM p
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_minhash": op2_minhash,
     "op4_url_filter": op4_url_filter,
     "op5_warc_archive": op5_warc_archive,
     "op7_mixing": op7_mixing,
