@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, quality, sharding, tokens, urls, warc
+from . import minhash, mixing, quality, sharding, suffix, tokens, urls, warc
 from .common import fresh_path
 
 
@@ -26,6 +26,11 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of documents that repeated strings of 100 bytes cover."""
+    return suffix.remove_repeats(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict for every url of pages."""
     return urls.judge_urls(_table(spark, sf_dir, "pages", "page_id", "url"))
@@ -90,6 +95,7 @@ FROM p
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_minhash": op2_minhash,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_warc_archive": op5_warc_archive,
     "op7_mixing": op7_mixing,
