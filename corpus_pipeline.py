@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from staytrail.llm import minhash, mixing, quality, sharding
+from staytrail.llm import decontam, minhash, mixing, quality, sharding
 from staytrail.llm.common import stage
 
 
@@ -23,6 +23,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return minhash.dedup_rows(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return decontam.clean_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the production mix takes them."""
     return mixing.mix_rows(docs)
@@ -36,6 +41,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_rules),
     ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontaminate),
     ("mixing", mix_sources),
     ("sharding", shard),
 ]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, quality, sharding, suffix, tokens, urls, warc
+from . import decontam, lines, minhash, mixing, quality, sharding, suffix, tokens, urls, warc
 from .common import fresh_path
 
 
@@ -44,6 +44,13 @@ def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents with a template that recurs across texts, dropped."""
+    found = lines.dedup_lines(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.octet_length("kept").cast("long").alias("kept_bytes"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the production mix takes from every document."""
     return mixing.mix_documents(_table(spark, sf_dir, "documents", "doc_id", "source", "text"))
@@ -59,6 +66,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of benchmark, with the item and the place."""
+    return decontam.find_contamination(_table(spark, sf_dir, "documents", "doc_id", "text"),
+                                       _table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS sk,
@@ -98,9 +111,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_warc_archive": op5_warc_archive,
+    "op6_line_dedup": op6_line_dedup,
     "op7_mixing": op7_mixing,
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_SQL}
