@@ -173,7 +173,7 @@ def merge_starts(docs: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, i
     return list(zip(d[at].tolist(), s[at].tolist(), (s[np.append(at[1:], len(s)) - 1] + 1).tolist()))
 
 
-def _repeated_keys(docs: DataFrame, length: int) -> DataFrame:
+def _repeated_keys(docs: DataFrame, length: int, hot_keys: int) -> DataFrame:
     """(th, runs, hot): per text the runs whose key the corpus holds at two places at least; rows with a null th name
     keys with many places instead.  A text may come in several rows."""
     parts = shuffle_partitions(docs.sparkSession)
@@ -228,9 +228,9 @@ def _repeated_keys(docs: DataFrame, length: int) -> DataFrame:
             many = (places > 1) | (np.maximum.reduceat(count, np.flatnonzero(head)) > 1)
             pick = many[group] & place & (count == 1)      # others were sent by their own task already
             yield _by_text(doc[pick], run[pick], 1)
-            hot = key[head][total >= HOT_KEYS]
+            hot = key[head][total >= hot_keys]
             if len(hot):
-                yield _row(0, None, b"".join((hot.astype("<u8").tobytes(), total[total >= HOT_KEYS].astype("<u8").tobytes())))
+                yield _row(0, None, b"".join((hot.astype("<u8").tobytes(), total[total >= hot_keys].astype("<u8").tobytes())))
 
         for b in batches:
             passed = []
@@ -411,9 +411,10 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     raise ValueError("no seed tells all texts apart")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False, hot_keys: int = HOT_KEYS) -> DataFrame:
     """Per row of ``docs`` (``doc_id``, ``text``): doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with
-    ``with_text`` also spans (array of [start, end) byte offsets) and kept (the remaining bytes).
+    ``with_text`` also spans (array of [start, end) byte offsets) and kept (the remaining bytes).  ``length`` is at
+    least twice GRAM; ``hot_keys`` only decides how work is dealt out.
 
     Every byte is removed that a string of ``length`` bytes covers which also starts earlier: in a row with a
     smaller doc_id or earlier in the same row.  Null ids come last; rows with equal ids count in the order in which
@@ -429,7 +430,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     classes = stage(rows.groupBy("th").agg(F.min("seq").alias("seq")), "classes")
     firsts = stage(rows.join(classes.select("seq"), "seq").select("seq", F.xxhash64("doc_id").alias("dk"), "th", "n_bytes"), "firsts")
 
-    found = stage(_repeated_keys(texts, length), "runs")
+    found = stage(_repeated_keys(texts, length, hot_keys), "runs")
     hot = [np.frombuffer(bytes(r["runs"]), "<u8").reshape(2, -1) for r in found.filter("th is null").toLocalIterator()]
     hot = np.concatenate(hot, axis=1) if hot else np.empty((2, 0), np.uint64)
     hot = np.sort(hot[0][np.argsort(hot[1])[::-1][:HOT_MOST]])

@@ -121,12 +121,15 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", cache: s
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer)
+        seen: set[str] = set()  # equal rows come to one task
         for b in batches:
+            new = [(d, count(t.as_py())) for d, t in zip(b.column(0).to_pylist(), b.column(1)) if d not in seen and not seen.add(d)]
             yield pa.RecordBatch.from_arrays([
-                pa.array([kind] * b.num_rows, pa.string()), b.column(0).cast(pa.string()),
-                pa.array([count(t.as_py()) for t in b.column(1)], pa.int64())], ["tokenizer", "digest", "n_tokens"])
+                pa.array([kind] * len(new), pa.string()), pa.array([d for d, _ in new], pa.string()),
+                pa.array([n for _, n in new], pa.int64())], ["tokenizer", "digest", "n_tokens"])
 
-    texts.select("digest", "_t").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache, kind)
+    encoded = texts.select("digest", "_t").mapInArrow(encode, CACHE_SCHEMA)
+    encoded.dropDuplicates(["digest"]).write.mode("append").parquet(cache)
+    counts = stage(read_cache(spark, cache, kind), "counts")  # so that the join below deals both sides anew and can split hot digests
     return narrow.join(counts, "digest", "left").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -1,0 +1,60 @@
+import base64
+import hashlib
+
+import pytest
+
+from staytrail.llm import warc
+
+SCHEMA = "page_id long, url string, html string, rec_no long, sha256 string, record string"
+ROWS = [(1, "http://a/1", "<p>x</p>"), (2, "http://a/2", "<p>x</p>"), (5, "http://a/5", "<p>x</p>"), (3, None, None), (4, "http://b", ""),
+        (None, "http://c", "<p>x</p>"), (6, "http://d\r\nEvil: 1", "ünï 😀\r\n\r\nWARC/1.0"), (7, "u", "solo" * 5000), (8, "u", "twice"), (8, "u", "twice")]
+
+
+def archive(spark, tmp_path, rows, **kw):
+    pages = spark.createDataFrame([(*r, None, None, None) for r in rows], SCHEMA)
+    path = f"file://{tmp_path}/archive"
+    warc.write_archive(pages, path, **kw)
+    return path
+
+
+@pytest.mark.parametrize("least", [0, 6])
+def test_round_trip(spark, tmp_path, least):
+    path = archive(spark, tmp_path, ROWS, min_payload=least)
+    out = warc.read_archive(spark, path).collect()
+    want = []
+    for i, (page, _, html) in enumerate(ROWS):
+        data = (html or "").encode()
+        same = [(p if p is not None else -1, j, p) for j, (p, _, h) in enumerate(ROWS) if (h or "").encode() == data]
+        last = max(same)
+        revisit = len(data) >= least and last[1] != i
+        want.append((page or -1, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(),
+                     "revisit" if revisit else "response", last[2] if revisit else -1))
+    got = [(r.page_id or -1, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to or -1) for r in out]
+    assert sorted(got) == sorted(want)
+    assert sorted(str(r.url) for r in out) == sorted(str(u) for _, u, _ in ROWS)
+    for r in out:
+        header, _, rest = bytes(r.record).partition(b"\r\n\r\n")
+        fields = warc.parse_header(header + b"\r\n\r\n")
+        n = int(fields["Content-Length"])
+        assert rest[n:] == b"\r\n\r\n" and n == (0 if r.record_type == "revisit" else r.payload_bytes)
+
+
+def test_each_payload_is_stored_once(spark, tmp_path):
+    path = archive(spark, tmp_path, ROWS)
+    assert spark.read.parquet(f"{path}/payloads").count() == len({(h or "") for _, _, h in ROWS})
+    assert spark.read.parquet(f"{path}/headers").count() == len(ROWS)
+
+
+def test_damage_is_noticed(spark, tmp_path):
+    import zstandard
+
+    path = archive(spark, tmp_path, ROWS[:1])
+    digest = hashlib.sha256(b"<p>x</p>").hexdigest()
+    bad = bytearray(zstandard.ZstdCompressor().compress(b"<p>y</p>"))
+    spark.createDataFrame([(digest, bad)], warc.PAYLOADS).write.mode("overwrite").parquet(f"{path}/payloads")
+    with pytest.raises(Exception, match="is damaged"):
+        warc.read_archive(spark, path).collect()
+
+
+def test_empty(spark, tmp_path):
+    assert warc.read_archive(spark, archive(spark, tmp_path, [])).collect() == []
