@@ -29,7 +29,3 @@ def pad_array(c: Column | str, length: Column | int, fill) -> Column:
     cut = F.slice(c, 1, n)
     return F.concat(cut, F.array_repeat(F.lit(fill), (n - F.size(cut)).cast("int")))
 
-
-def normalise_array(c: Column | str, denom: Column) -> Column:
-    """Divide every element by ``denom``."""
-    return F.transform(_c(c), lambda x: x / denom)

@@ -42,24 +42,3 @@ def flag_to_int(c: Column | str) -> Column:
 def fill_null(c: Column | str, value) -> Column:
     return F.coalesce(_c(c), F.lit(value))
 
-
-def convert_units(item: Column | str, v: Column | str, unit_rules, fraction_items) -> Column:
-    """Convert a value to metric units from ``(op, item ids)`` rules.
-
-    ``frac_to_perc`` only applies to values <= 1.
-    """
-    item, v = _c(item), _c(v)
-    ops = {
-        "f_to_c": lambda x: (x - F.lit(32.0)) * F.lit(5.0) / F.lit(9.0),
-        "lb_to_kg": lambda x: x / F.lit(2.205),
-        "oz_to_kg": lambda x: x / F.lit(35.274),
-        "inch_to_cm": lambda x: x * F.lit(2.54),
-        "frac_to_perc": lambda x: x * F.lit(100.0),
-    }
-    out = v
-    for op, ids in unit_rules:
-        cond = item.isin(list(ids))
-        if op == "frac_to_perc":
-            cond = cond & (v <= F.lit(1.0))
-        out = F.when(cond, ops[op](v)).otherwise(out)
-    return out

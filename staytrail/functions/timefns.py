@@ -50,14 +50,6 @@ def fractional_hours(a: Column | str, b: Column | str, clamp: bool = True) -> Co
     return clamp_negative(x) if clamp else x
 
 
-def add_days(c: Column | str, days: Column | int) -> Column:
-    return F.timestamp_add("DAY", days if isinstance(days, Column) else F.lit(days), _c(c))
-
-
-def add_hours(c: Column | str, hours: Column | int) -> Column:
-    return F.timestamp_add("HOUR", hours if isinstance(hours, Column) else F.lit(hours), _c(c))
-
-
 def shift_obscured_birthdate(c: Column | str, cutoff_year: int, years: int, days: int) -> Column:
     """Dates before ``cutoff_year`` move forward ``years`` years (a 29 February
     clips to 28 February) and then back ``days`` days."""

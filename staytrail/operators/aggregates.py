@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .joins import lookup_join
+from .ordered import cumulative
+
 
 def value_counts(df: DataFrame, col: str, out: str = "n") -> DataFrame:
     """Frequency of every non-null value."""
@@ -20,29 +24,27 @@ def lump_rare(df: DataFrame, cols: Sequence[str], min_count: int, other: str,
     One scan counts every listed column (explode of (column, value) pairs, hash
     aggregate with map-side combine, so a hot value is pre-aggregated before the
     shuffle).  Only the *frequent* values (at most rows / min_count per column)
-    are joined back; the join is a plain equi-join and AQE broadcasts it at run
-    time when the frequent set is small, else keeps it a skew-split sort-merge
-    join.  A per-value window count would put a hot value in one task.
+    are looked up again, with ``lookup_join``: broadcast when their counted
+    number is small, else dealt by value and salt, so the rows of a hot value
+    are never gathered.
 
-    The input is read twice (counts, join-back), so by default it is first
-    materialised with a reliable checkpoint instead of being recomputed.
+    The input is read twice (counts, lookup), so by default it is written once
+    to the shared folder instead of being recomputed.
     """
     cols = list(cols)
     if materialize_input:
-        from ..session import materialize
-        df = materialize(df)
+        df = materialize(df, "lump_input")
     pairs = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("_c"), F.col(c).cast("string").alias("_v")) for c in cols])).alias("_p"))
-    freq = (pairs.select("_p._c", "_p._v").filter(F.col("_v").isNotNull())
-            .groupBy("_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") >= F.lit(min_count)))
-    out = df
+    freq = materialize(pairs.select("_p._c", "_p._v").filter(F.col("_v").isNotNull())
+                       .groupBy("_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
+                       .filter(F.col("_n") >= F.lit(min_count)), "frequent")
+    out, order = df, df.columns
     for c in cols:
-        keep = freq.filter(F.col("_c") == F.lit(c)).select(F.col("_v").alias(f"_k_{c}"))
-        out = (out.join(keep, F.col(c) == F.col(f"_k_{c}"), "left")
-                  .withColumn(c, F.when(F.col(c).isNotNull() & F.col(f"_k_{c}").isNull(), F.lit(other))
-                              .otherwise(F.col(c)))
-                  .drop(f"_k_{c}"))
+        keep = freq.filter(F.col("_c") == F.lit(c)).select(F.col("_v").alias(c), F.lit(True).alias("_keep"))
+        out = (lookup_join(out, keep, c)
+               .withColumn(c, F.when(F.col(c).isNotNull() & F.col("_keep").isNull(), F.lit(other)).otherwise(F.col(c)))
+               .select(*order))
     return out
 
 
@@ -62,9 +64,21 @@ def group_sizes(df: DataFrame, key: str, out: str = "n") -> DataFrame:
 
 
 def exact_quantile(df: DataFrame, col: str, q: float, out: str = "q") -> DataFrame:
-    """Exact linear-interpolated quantile (one row).  ``percentile`` is exact;
-    ``percentile_approx`` would give a different answer."""
-    return df.agg(F.percentile(F.col(col), F.lit(q)).alias(out))
+    """Exact linear-interpolated quantile (one row; null without values).  Values
+    are counted (hash aggregate), the distinct ones get running counts range by
+    range, and only the one or two at the wanted ranks are kept, so no task holds
+    all of them."""
+    counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+    t = cumulative(counts, [F.col(col).asc()], ["_n"])
+    n = t.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))
+    at = (F.col("_total") - 1) * F.lit(float(q))
+    low, high = F.floor(at), F.ceil(at)
+    t = t.crossJoin(F.broadcast(n))  # one row
+    holds = lambda k: (F.col("cum__n") - F.col("_n") <= k) & (k < F.col("cum__n"))
+    ends = t.filter(holds(low) | holds(high)).agg(
+        F.max(F.when(holds(low), F.col(col))).cast("double").alias("_lo"),
+        F.max(F.when(holds(high), F.col(col))).cast("double").alias("_hi"), F.max(at - low).alias("_part"))
+    return ends.select((F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")).alias(out))
 
 
 def max_normalise(df: DataFrame, c: str, out: str | None = None) -> DataFrame:

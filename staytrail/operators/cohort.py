@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import strings, timefns
 from ..functions.mathfns import flag_to_int
+from ..session import materialize
 from . import windows
 from .ordered import Key
 from .aggregates import lump_rare
@@ -82,8 +83,8 @@ def link_stays_patients(stays: DataFrame, patients: DataFrame, *, dob_cutoff_yea
     df = exclude_died_in_stay(df)
     df = windows.trailing_count(df, "subject_id", "outtime", rules.RECENT_MIN_DAYS, rules.RECENT_MAX_DAYS,
                                 out="num_recent_admissions")
-    df = min_age(with_age(df))
-    df = next_gap_label(df)
+    # the label reads the adults twice (next stay in the range, and across ranges)
+    df = next_gap_label(materialize(min_age(with_age(df)), "adults"))
     df = eligible(df)
     drop = ["dob", "days_to_next"] + ([] if keep_dod else ["dod"])
     return df.drop(*drop)
@@ -91,39 +92,37 @@ def link_stays_patients(stays: DataFrame, patients: DataFrame, *, dob_cutoff_yea
 
 def attrition(stays: DataFrame, patients: DataFrame, *, dob_cutoff_year: int = 2000) -> DataFrame:
     """Funnel table: distinct subjects, distinct stays, positives and early deaths
-    after each cohort step.  One scan: every row carries the step flags and the
-    counts are conditional aggregates."""
+    after each cohort step.
+
+    Stays and patients are joined once and written with their step flags; the
+    adults among them get their label, and the six rows come from one conditional
+    aggregate over all rows."""
     df = join_stays_patients(stays, with_birthdate_shift(patients, "dob", dob_cutoff_year))
-    df = df.withColumn("_alive", ~died_in_stay())
-    alive = df.filter("_alive")
-    alive = windows.trailing_count(alive, "subject_id", "outtime", rules.RECENT_MIN_DAYS, rules.RECENT_MAX_DAYS,
-                                   out="num_recent_admissions")
-    alive = with_age(alive).withColumn("_adult", F.col("age") >= F.lit(float(rules.MIN_AGE_YEARS)))
-    adults = next_gap_label(alive.filter("_adult"))
-    adults = adults.withColumn("_early", early_death()).withColumn("_elig", F.col("positive") | ~F.col("_early"))
-
-    def counts(d: DataFrame, step: int, name: str, cond: Column | None = None) -> DataFrame:
-        d = d if cond is None else d.filter(cond)
-        return d.agg(F.lit(step).alias("step"), F.lit(name).alias("stage"),
-                     F.countDistinct("subject_id").cast("long").alias("subjects"),
-                     F.countDistinct("icustay_id").cast("long").alias("stays"))
-
-    base = [counts(df, 1, "joined"), counts(alive, 2, "survived_stay"), counts(alive, 3, "adult", F.col("_adult")),
-            counts(adults, 6, "eligible", F.col("_elig"))]
-    flags = adults.agg(F.lit(4).alias("step"), F.lit("positive").alias("stage"),
-                       F.lit(None).cast("long").alias("subjects"),
-                       F.sum(F.col("positive").cast("long")).alias("stays"))
-    deaths = adults.agg(F.lit(5).alias("step"), F.lit("early_death").alias("stage"),
-                        F.lit(None).cast("long").alias("subjects"),
-                        F.sum(F.col("_early").cast("long")).alias("stays"))
-    out = base[0]
-    for d in base[1:] + [flags, deaths]:
-        out = out.unionByName(d)
-    return out
+    df = with_age(df).withColumn("_alive", ~died_in_stay())
+    df = df.withColumn("_adult", F.col("_alive") & F.coalesce(F.col("age") >= F.lit(float(rules.MIN_AGE_YEARS)), F.lit(False)))
+    df = materialize(df.select("subject_id", "icustay_id", "intime", "outtime", "dod", "_alive", "_adult"), "attrition")
+    adults = next_gap_label(df.filter("_adult")).withColumn("_early", early_death())
+    cols = ["subject_id", "icustay_id", "_alive", "_adult"]
+    flags = adults.select(*cols, "positive", "_early", (F.col("positive") | ~F.col("_early")).alias("_eligible"))
+    no = F.lit(False)
+    flags = flags.unionByName(df.filter("not _adult").select(*cols, no.alias("positive"), no.alias("_early"), no.alias("_eligible")))
+    steps = [("joined", F.lit(True)), ("survived_stay", F.col("_alive")), ("adult", F.col("_adult")), ("positive", F.col("positive")),
+             ("early_death", F.col("_early")), ("eligible", F.col("_eligible"))]
+    aggs = []
+    for i, (name, cond) in enumerate(steps):
+        if name in ("positive", "early_death"):
+            aggs += [F.lit(None).cast("long").alias(f"s{i}"), F.sum(cond.cast("long")).alias(f"n{i}")]
+        else:
+            aggs += [F.countDistinct(F.when(cond, F.col(c))).cast("long").alias(f"{x}{i}") for x, c in (("s", "subject_id"), ("n", "icustay_id"))]
+    one = flags.agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(i + 1).alias("step"), F.lit(name).alias("stage"), F.col(f"s{i}").alias("subjects"),
+                              F.col(f"n{i}").alias("stays")) for i, (name, _) in enumerate(steps)])
+    return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def expect_counts(funnel: DataFrame, expected: dict[str, tuple[int | None, int]]) -> list[str]:
-    """Compare a funnel with expected (subjects, stays) per stage; returns problems."""
+    """Compare a funnel (six rows) with expected (subjects, stays) per stage; returns
+    problems.  ``Flow.check_attrition`` raises on them."""
     got = {r["stage"]: (r["subjects"], r["stays"]) for r in funnel.collect()}
     problems = []
     for stage, (subj, stays) in expected.items():
@@ -148,8 +147,10 @@ def canonicalise_categories(df: DataFrame) -> DataFrame:
 
 def first_service(services: DataFrame, key: str = "hadm_id", order: str = "transfertime",
                   value: str = "curr_service", extra: Sequence[str] = ("subject_id",)) -> DataFrame:
-    """Earliest row per ``key`` by ``order`` (ties: smallest ``value``), as a
-    hash aggregate: ``min_by`` over a struct, no sort of the whole table."""
+    """Earliest row per ``key`` by ``order`` (ties: smallest ``value``) with
+    ``min_by`` over a struct: combined before the shuffle, so a hot key costs one
+    row a task (Spark runs it as a sort-based aggregate, as structs can't be
+    updated in place)."""
     cols = [order, value, *extra]
     rank = F.struct(F.col(order).isNull(), F.col(order), F.col(value).isNull(), F.col(value))  # nulls last
     picked = services.groupBy(key).agg(F.min_by(F.struct(*cols), rank).alias("_f"))

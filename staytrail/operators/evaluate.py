@@ -3,19 +3,22 @@
 Average precision and ROC AUC need cumulative counts over scores in
 descending order.  They are computed without a one-task global window: rows
 are first pre-aggregated per distinct score (hash aggregate, so a hot score
-is combined map-side), the distinct scores are cut into ranges by
-approximate quantiles, per-range totals are prefix-summed (a few hundred
-rows), and running sums inside each range add their range offset.
+is combined map-side), the distinct scores are dealt by ranges that are written
+once, per-range totals are prefix-summed, and running sums inside each range
+add their range offset (``ordered.cumulative``).  One such table serves both
+metrics.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.mathfns import bce_with_logits, sigmoid
+from ..session import materialize
+from .ordered import cumulative
 
 
 def pos_weight(df: DataFrame, y: str = "y") -> DataFrame:
@@ -52,45 +55,29 @@ def accuracy_f1(conf: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
                        F.when(denom == 0, F.lit(0.0)).otherwise(2 * tp / denom).alias("f1"))
 
 
-def _ranges(g: DataFrame, score: str, keys: Sequence[str], buckets: int) -> DataFrame:
-    """Bucket id per distinct score within its group, higher scores in lower buckets."""
-    fracs = [i / buckets for i in range(1, buckets)]
-    if keys:
-        bounds = g.groupBy(*keys).agg(F.percentile_approx(score, fracs, 10000).alias("_bounds"))
-        g = g.join(bounds, list(keys))
-    else:
-        g = g.crossJoin(F.broadcast(g.agg(F.percentile_approx(score, fracs, 10000).alias("_bounds"))))
-    return g.withColumn("_bk", F.size(F.filter("_bounds", lambda x: x >= F.col(score)))).drop("_bounds")
-
-
-def score_table(df: DataFrame, score: str, y: str, keys: Sequence[str] = (), buckets: int = 256) -> DataFrame:
+def score_table(df: DataFrame, score: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
     """Per group and distinct score: tp, n, and cumulative tp / n over all scores >= it."""
-    keys = list(keys)
     g = df.groupBy(*keys, score).agg(F.sum(F.col(y).cast("long")).alias("tp"), F.count(F.lit(1)).alias("n"))
-    g = _ranges(g, score, keys, buckets)
-    tot = g.groupBy(*keys, "_bk").agg(F.sum("tp").alias("_btp"), F.sum("n").alias("_bn"))
-    wb = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select(*keys, "_bk", F.coalesce(F.sum("_btp").over(wb), F.lit(0)).alias("_otp"),
-                      F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_on"))
-    w = Window.partitionBy(*keys, "_bk").orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    joined = g.join(offs if keys else F.broadcast(offs), [*keys, "_bk"])
-    return (joined.withColumn("cum_tp", F.col("_otp") + F.sum("tp").over(w))
-                  .withColumn("cum_n", F.col("_on") + F.sum("n").over(w))
-                  .drop("_bk", "_otp", "_on"))
+    return cumulative(g, [F.col(score).desc()], ["tp", "n"], keys)
+
+
+def ranking_metrics(df: DataFrame, score: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
+    """average_precision (sum over distinct scores, descending, of recall step x
+    precision) and roc_auc (trapezoidal, one point per distinct score) per group,
+    from one pass over one score table."""
+    t = score_table(df, score, y, keys).withColumn("fp", F.col("n") - F.col("tp"))
+    return t.groupBy(*keys).agg(
+        F.try_divide(F.sum(F.col("tp") * F.col("cum_tp") / F.col("cum_n")), F.sum("tp").cast("double")).alias("average_precision"),
+        F.try_divide(F.sum(F.col("fp") * (2 * F.col("cum_tp") - F.col("tp"))).cast("double"),
+                     F.lit(2.0) * F.sum("tp") * F.sum("fp")).alias("roc_auc"))
 
 
-def average_precision(df: DataFrame, score: str, y: str, keys: Sequence[str] = (), buckets: int = 256) -> DataFrame:
-    """Sum over distinct scores (descending) of recall step x precision."""
-    t = score_table(df, score, y, keys, buckets)
-    return t.groupBy(*keys).agg(F.try_divide(F.sum(F.col("tp") * F.col("cum_tp") / F.col("cum_n")),
-                                             F.sum("tp").cast("double")).alias("average_precision"))
+def average_precision(df: DataFrame, score: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
+    return ranking_metrics(df, score, y, keys).drop("roc_auc")
 
 
-def roc_auc(df: DataFrame, score: str, y: str, keys: Sequence[str] = (), buckets: int = 256) -> DataFrame:
-    """Trapezoidal area under the ROC curve with ties (one point per distinct score)."""
-    t = score_table(df, score, y, keys, buckets).withColumn("fp", F.col("n") - F.col("tp"))
-    return t.groupBy(*keys).agg(F.try_divide(F.sum(F.col("fp") * (2 * F.col("cum_tp") - F.col("tp"))).cast("double"),
-                                             F.lit(2.0) * F.sum("tp") * F.sum("fp")).alias("roc_auc"))
+def roc_auc(df: DataFrame, score: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
+    return ranking_metrics(df, score, y, keys).drop("average_precision")
 
 
 def evaluate(df: DataFrame, logit: str = "logit", y: str = "y", weight: float | DataFrame | None = None,
@@ -108,14 +95,18 @@ def evaluate(df: DataFrame, logit: str = "logit", y: str = "y", weight: float |
         w = weight.select("pos_weight")
     else:
         w = d.sparkSession.range(1).select(F.lit(float(weight)).alias("pos_weight"))
-    acc = accuracy_f1(confusion(d, "_p", y, threshold, keys), keys)
-    loss = weighted_bce(d.crossJoin(F.broadcast(w)), logit, y, F.col("pos_weight"), keys).select(
-        *keys, F.col("total_loss").alias("loss"))
-    ap = average_precision(d, rank_col, y, keys)
-    auc = roc_auc(d, rank_col, y, keys)
+    pr, yv = F.col("_pred"), F.col(y)
+    d = materialize(d.crossJoin(F.broadcast(w)), "scored")  # one row; the table serves both aggregates below
+    cells = {"tp": (1, 1), "fp": (1, 0), "tn": (0, 0), "fn": (0, 1)}
+    flat = d.groupBy(*keys).agg(
+        *[F.sum(F.when((pr == p) & (yv == c), 1).otherwise(0)).cast("long").alias(name) for name, (p, c) in cells.items()],
+        F.sum(bce_with_logits(logit, y, F.col("pos_weight"))).alias("loss"))
+    acc = accuracy_f1(flat, [*keys, "loss"])
+    ranks = ranking_metrics(d, rank_col, y, keys)
+    order = [*keys, "accuracy", "f1", "average_precision", "roc_auc", "loss"]
     if not keys:
-        return acc.crossJoin(ap).crossJoin(auc).crossJoin(loss)
-    return acc.join(ap, keys).join(auc, keys).join(loss, keys)
+        return acc.crossJoin(F.broadcast(ranks)).select(*order)  # one row each
+    return acc.join(ranks, keys).select(*order)
 
 
 def fit_baseline(features: DataFrame, static_cols: Sequence[str], label: str = "label", max_iter: int = 50):

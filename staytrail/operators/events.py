@@ -1,8 +1,7 @@
 """Measured events: select, convert, check, type, sum, derive, bin, compress.
 
-All rules come from ``staytrail.rules`` and are applied as column expressions
-(``isin`` lists become hash-set lookups), so cleaning is one narrow pass in a
-single whole-stage-codegen span: no join to a rule table and no shuffle.
+All rules come from ``staytrail.rules``; the per-item ones are a fixed table of
+116 rows that is broadcast, so cleaning is one narrow pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import timefns
+from ..session import materialize
 from . import windows
 from .ordered import Key
 from .aggregates import daily_sum, pivot_mean
@@ -32,31 +32,6 @@ def observed(df: DataFrame, items: Sequence[int], stay: str = "icustay_id", valu
     return df.filter(F.col(stay).isNotNull() & F.col(value).isNotNull() & F.col(item).isin(list(items)) & positive)
 
 
-def label_items(item: Column | str = "itemid") -> Column:
-    """Item id -> event type (null when the id is in no list)."""
-    item = F.col(item) if isinstance(item, str) else item
-    expr = None
-    for t, ids in rules.CHART_TYPES.items():
-        cond = item.isin(ids)
-        expr = F.when(cond, F.lit(t)) if expr is None else expr.when(cond, F.lit(t))
-    return expr
-
-
-def plausible(ce_type: Column | str = "ce_type", v: Column | str = "valuenum") -> Column:
-    """True when a (converted) value is inside its type's range and positive."""
-    t = F.col(ce_type) if isinstance(ce_type, str) else ce_type
-    v = F.col(v) if isinstance(v, str) else v
-    ok = v > F.lit(0.0)
-    for types, lo, hi in rules.PLAUSIBLE_RULES:
-        bad = None
-        if lo is not None:
-            bad = v < F.lit(lo)
-        if hi is not None:
-            bad = (v > F.lit(hi)) if bad is None else (bad | (v > F.lit(hi)))
-        ok = ok & ~(t.isin(types) & bad)
-    return ok
-
-
 ITEM_RULES_SCHEMA = "itemid INT, ce_type STRING, unit_op STRING, lo DOUBLE, hi DOUBLE, selected BOOLEAN"
 
 
@@ -79,6 +54,18 @@ def convert_by_op(op: Column | str, v: Column | str) -> Column:
              .otherwise(v))
 
 
+def label_items(df: DataFrame) -> DataFrame:
+    """Rows with the event type of their item, ``ce_type`` (null when the id is in no list)."""
+    types = item_rules(df.sparkSession).select("itemid", "ce_type")
+    return df.join(F.broadcast(types), "itemid", "left")
+
+
+def converted(df: DataFrame, value: str = "valuenum", out: str = "converted") -> DataFrame:
+    """Rows of listed items with ``value`` in metric units."""
+    ops = item_rules(df.sparkSession).select("itemid", "unit_op")
+    return df.join(F.broadcast(ops), "itemid").withColumn(out, convert_by_op("unit_op", value)).drop("unit_op")
+
+
 def clean_chart_events(df: DataFrame, items: Sequence[int] = tuple(rules.RELEVANT_IDS)) -> DataFrame:
     """Raw chart events -> (subject_id, hadm_id, icustay_id, charttime, valuenum, ce_type).
 
@@ -149,6 +136,7 @@ def derive_bmi(chart: DataFrame) -> DataFrame:
     then backward within subject (ordered by stay, then time)."""
     wh = chart.filter(F.col("ce_type").isin("WEIGHT", "HEIGHT"))
     p = pivot_mean(wh, ["subject_id", "icustay_id", "charttime"], "ce_type", "valuenum", ["HEIGHT", "WEIGHT"])
+    p = materialize(p, "weights")  # each fill reads it several times
     p = windows.fill_both(p, "subject_id", ["icustay_id", "charttime"], "HEIGHT")
     p = p.na.drop("any")
     return p.select("subject_id", "icustay_id", "charttime",
@@ -173,7 +161,8 @@ def derive_total_if_missing(chart: DataFrame, total: str = "GCS_TOTAL", parts: S
 
 
 def replace_with_derived(chart: DataFrame, include_bmi_source: bool = True) -> DataFrame:
-    """Derived BMI and GCS totals replace their source rows; other types pass."""
+    """Derived BMI and GCS totals replace their source rows; other types pass.  Reads
+    ``chart`` three times: give it a written table."""
     sources = ["WEIGHT", "HEIGHT", *GCS_PARTS, "GCS_TOTAL"]
     base = chart.select("subject_id", "icustay_id", "charttime", "valuenum", "ce_type")
     others = base.filter(~F.col("ce_type").isin(sources))
@@ -210,7 +199,8 @@ def run_order() -> list[Key]:
 
 def compress_runs(binned: DataFrame, bucket_us: int = timefns.MICROS_PER_DAY) -> DataFrame:
     """Per (type, stay), read latest first, keep only category change points
-    (two-level: per (type, stay, day) plus a carry across days)."""
+    (two-level: per (type, stay, day) plus a carry across days).  Reads ``binned``
+    twice: give it a written table."""
     d = windows.drop_consecutive_repeats(binned, ["ce_type", "icustay_id"], run_order(), "valuecat", bucket_us)
     return d.select("icustay_id", "charttime", "valuecat", "ce_type")
 
@@ -223,6 +213,6 @@ def last_only(runs: DataFrame) -> DataFrame:
 def charts_outputs(chart_raw: DataFrame, outputs_raw: DataFrame, d_items: DataFrame, stays: DataFrame,
                    include_bmi: bool = False) -> DataFrame:
     """Raw chart + output events -> compressed (icustay_id, charttime, valuecat, ce_type)."""
-    charts = replace_with_derived(clean_chart_events(chart_raw))
+    charts = replace_with_derived(materialize(clean_chart_events(chart_raw), "chart_clean"))
     outs = reduce_outputs(outputs_raw, d_items, stays)
-    return compress_runs(binned_events(charts, outs, include_bmi))
+    return compress_runs(materialize(binned_events(charts, outs, include_bmi), "binned"))

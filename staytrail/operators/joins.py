@@ -3,6 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import materialize
+
+#: rows of a lookup table up to which it is broadcast (its size is counted first)
+BROADCAST_ROWS = 500_000
+#: parts into which the rows of a key are dealt when the lookup table is larger
+SALTS = 32
 
 
 def left_join_many(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -18,3 +26,19 @@ def left_join_many(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     matched = left.join(right, key, "inner")
     unmatched = left.join(right.select(key).distinct(), key, "left_anti")
     return matched.unionByName(unmatched, allowMissingColumns=True)
+
+
+def lookup_join(df: DataFrame, table: DataFrame, key: str, how: str = "left", broadcast_rows: int | None = None,
+                salts: int = SALTS) -> DataFrame:
+    """``df`` joined to ``table`` (one row per ``key``) so that a hot key never lands in one task.
+
+    The table is computed once and counted.  If small it is broadcast and the
+    rows of ``df`` don't move; beyond that the rows are dealt by key and a salt
+    that follows from the row, and each table row is repeated for every salt.
+    Both ways give the same rows; a null key matches nothing."""
+    table = materialize(table, "lookup")
+    if table.count() <= (BROADCAST_ROWS if broadcast_rows is None else broadcast_rows):
+        return df.join(F.broadcast(table), key, how)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts)))
+    spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return salted.join(spread, [key, "_salt"], how).drop("_salt")

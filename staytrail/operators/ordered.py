@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefns import epoch_micros
+from ..session import materialize
 
 LAST_BUCKET = 2 ** 62
 
@@ -55,6 +56,16 @@ def bucket_of(df: DataFrame, lead: Key, width: float) -> Column:
     return F.when(x.isNull(), F.lit(-LAST_BUCKET if lead.nulls_first else LAST_BUCKET)).otherwise(b)
 
 
+def _negated(df: DataFrame, col: str) -> Column:
+    """A value that falls as ``col`` rises, exact for every numeric and time type."""
+    kind = dict(df.dtypes)[col]
+    if kind.startswith("timestamp"):
+        return -epoch_micros(col)
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return -F.col(col).cast("decimal(20,0)")
+    return -F.col(col)
+
+
 def _rank_struct(df: DataFrame, keys: Sequence[Key]) -> Column:
     """A struct whose natural ascending order is the sort order of ``keys``
     (descending keys must be numeric or timestamps)."""
@@ -62,7 +73,7 @@ def _rank_struct(df: DataFrame, keys: Sequence[Key]) -> Column:
     for i, k in enumerate(keys):
         c = F.col(k.col)
         fields.append((c.isNotNull() if k.nulls_first else c.isNull()).alias(f"n{i}"))
-        fields.append((c if k.asc else -_numeric(df, k.col)).alias(f"v{i}"))
+        fields.append((c if k.asc else _negated(df, k.col)).alias(f"v{i}"))
     return F.struct(*fields)
 
 
@@ -158,16 +169,40 @@ def fill_nulls(df: DataFrame, key: str | Sequence[str], keys: Sequence[Key], val
     return j.withColumn(out, F.coalesce(F.col("_in"), F.col("_carry"))).drop("_bk", "_in", "_carry")
 
 
-def ranked(vals: DataFrame, order_col: str, out: str, partitions: int = 64) -> DataFrame:
+def in_ranges(df: DataFrame, order: Sequence[Column], partitions: int | None = None) -> DataFrame:
+    """``df`` dealt by ranges of ``order`` and written with the number of the range
+    as ``_pid``, so that all later steps see one and the same set of ranges (their
+    sampled bounds would differ if the exchange ran twice)."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()), "ranges")
+
+
+def cumulative(df: DataFrame, order: Sequence[Column], cols: Sequence[str], keys: Sequence[str] = (),
+               partitions: int | None = None) -> DataFrame:
+    """``df`` with ``cum_<c>`` for each of ``cols``: the sum over all rows of the same
+    ``keys`` up to this one in ``order`` (which must tell the key's rows apart).
+
+    Rows are dealt by ranges of (keys, order); each range is summed up on its own
+    and gets what its keys' earlier ranges hold from a table of one row per range
+    and key, so neither a key nor the whole order is one task."""
+    keys, order = list(keys), list(order)
+    r = in_ranges(df, [*map(F.col, keys), *order], partitions)
+    totals = r.groupBy(*keys, "_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_pid").alias("_range"),
+                         *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in cols])
+    cond = F.col("_pid") == F.col("_range")
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    within = Window.partitionBy("_pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = r.join(offs if keys else F.broadcast(offs), cond)  # without keys: one row per range
+    for c in cols:
+        out = out.withColumn(f"cum_{c}", F.col(f"_o_{c}") + F.sum(c).over(within))
+    return out.drop("_pid", "_range", *[f"_k{i}" for i in range(len(keys))], *[f"_o_{c}" for c in cols])
+
+
+def ranked(vals: DataFrame, order_col: str, out: str, partitions: int | None = None) -> DataFrame:
     """0-based rank of the (distinct) rows of ``vals`` by ``order_col``, for any
-    orderable type: range partitioning (sampled bounds) gives contiguous,
-    ordered ranges; each range is numbered on its own and the per-range counts
-    (``partitions`` rows) are prefix-summed into offsets."""
-    r = vals.repartitionByRange(partitions, order_col).withColumn("_pid", F.spark_partition_id())
-    counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offs = counts.select("_pid", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    w = Window.partitionBy("_pid").orderBy(order_col)
-    return (r.join(F.broadcast(offs), "_pid")
-             .withColumn(out, (F.col("_off") + F.row_number().over(w) - 1).cast("long"))
-             .drop("_pid", "_off"))
+    orderable type (see ``cumulative``; by default one range per shuffle partition)."""
+    ranks = cumulative(vals.withColumn("_one", F.lit(1)), [F.col(order_col).asc()], ["_one"], (), partitions)
+    return ranks.withColumn(out, (F.col("cum__one") - 1).cast("long")).drop("_one", "cum__one")

@@ -12,7 +12,7 @@ from . import ordered, windows
 from .aggregates import exact_quantile, group_sizes, lump_rare
 from ..session import materialize
 from .events import stay_id_from_text
-from .joins import left_join_many
+from .joins import left_join_many, lookup_join
 
 
 def prescriptions(meds: DataFrame) -> DataFrame:
@@ -57,11 +57,13 @@ def dictionary_encode(df: DataFrame, code: str, idx: str = "idx") -> tuple[DataF
     """Sorted distinct codes -> 1..n (0 is the pad / unknown code).
 
     Returns (encoded rows, dictionary(idx, code)).  The distinct codes are ranked
-    in parallel (range partitions numbered on their own plus offsets), so a
-    large vocabulary is never ordered in one task."""
+    in parallel (ranges numbered on their own plus offsets), so a large
+    vocabulary is never ordered in one task, and looked up with ``lookup_join``,
+    so the rows of a hot code are never gathered.  Reads ``df`` twice."""
     vocab = df.select(code).filter(F.col(code).isNotNull()).distinct()
     dictionary = ordered.ranked(vocab, code, "_r").select((F.col("_r") + 1).cast("int").alias(idx), code)
-    enc = df.join(dictionary, code, "left").withColumn(idx, F.coalesce(F.col(idx), F.lit(0)))
+    dictionary = materialize(dictionary, "dictionary")
+    enc = lookup_join(df, dictionary, code).withColumn(idx, F.coalesce(F.col(idx), F.lit(0)))
     return enc, dictionary
 
 
@@ -70,7 +72,7 @@ def pad_sequences(entities: DataFrame, df: DataFrame, key: str, pos: str, idx: s
     """Equal-length 0-padded code and time arrays for every entity.  The length
     is the longest kept sequence, a one-row broadcast.  A null time is 0."""
     seq = df.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(idx).alias("c"),
+        F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(idx).alias("c"),
                                              F.coalesce(F.col(t), F.lit(0.0)).alias("t")))).alias("_s"))
     length = df.agg((F.max(pos) + 1).cast("int").alias("_L"))
     out = (entities.select(key).join(seq, key, "left").crossJoin(F.broadcast(length))
@@ -81,23 +83,23 @@ def pad_sequences(entities: DataFrame, df: DataFrame, key: str, pos: str, idx: s
     return out
 
 
-def normalise_time_arrays(df: DataFrame, col: str) -> DataFrame:
-    """Divide a time-array column by its global maximum element (one-row broadcast)."""
-    m = df.agg(F.max(F.array_max(col)).alias("_m"))
-    return df.crossJoin(F.broadcast(m)).withColumn(col, F.transform(col, lambda x: x / F.col("_m"))).drop("_m")
+def encoded_sequence(events: DataFrame, key: str, code: str, t: str, q: float, prefix: str,
+                     width: float = 24.0) -> tuple[DataFrame, DataFrame]:
+    """Events -> (rows with ``pos`` and ``idx``, code dictionary): positioned, cut at the
+    ``q`` quantile of lengths and encoded.  The positioned table feeds the quantile
+    and the cut, the kept one the vocabulary and the encoding, and the encoded one
+    what comes after: each is computed once."""
+    d = materialize(sequence_positions(events, key, t, code, width), f"{prefix}_positions")
+    if q < 1.0:
+        d = materialize(truncate_sequences(d, key, q), f"{prefix}_kept")
+    enc, dictionary = dictionary_encode(d, code)
+    return materialize(enc, f"{prefix}_encoded"), dictionary
 
 
 def sequence_arrays(entities: DataFrame, events: DataFrame, key: str, code: str, t: str, q: float,
                     prefix: str, width: float = 24.0) -> tuple[DataFrame, DataFrame]:
     """Events -> (key, <prefix>, <prefix>_times) padded arrays + code dictionary."""
-    # the positioned table feeds the quantile, the vocabulary and the encoding,
-    # and the encoded table feeds the time maximum, the pad length and the
-    # arrays: each is computed once (stage tables in the checkpoint folder)
-    d = materialize(sequence_positions(events, key, t, code, width), f"{prefix}_positions")
-    if q < 1.0:
-        d = truncate_sequences(d, key, q)
-    enc, dictionary = dictionary_encode(d, code)
-    enc = materialize(enc, f"{prefix}_encoded")
+    enc, dictionary = encoded_sequence(events, key, code, t, q, prefix, width)
     # times are divided by the largest time before collecting (pads are 0 and
     # times are >= 0, so this equals dividing the padded arrays by their max)
     m = enc.agg(F.max(F.coalesce(F.col(t), F.lit(0.0))).alias("_m"))
@@ -120,7 +122,7 @@ def densify_grid(df: DataFrame, entities: DataFrame, key: str, pos: str, fill_co
     return out.na.fill(fill_cols)
 
 
-def unique_time_grid(df: DataFrame, t: str, out: str = "t_idx", partitions: int = 64) -> DataFrame:
+def unique_time_grid(df: DataFrame, t: str, out: str = "t_idx", partitions: int | None = None) -> DataFrame:
     """Sorted unique values of ``t`` with their 0-based index (parallel exact rank)."""
     vals = df.select(t).filter(F.col(t).isNotNull()).distinct()
     return ordered.ranked(vals, t, out, partitions)

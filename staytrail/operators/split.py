@@ -9,21 +9,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..session import materialize
+from .joins import lookup_join
+from .ordered import ranked
 
 
 def hashed_rank(keys: DataFrame, key: str, seed: int, out: str = "rank") -> DataFrame:
     """0-based rank of distinct keys in md5(key:seed) order, computed in two levels:
-    4096 buckets by the first three hex digits (uniform by construction), a
-    prefix sum over the bucket counts (4096 rows), then a row number inside
-    each bucket plus its offset.  Exact, and no single task sees all keys."""
+    buckets by the leading bits of the hash (uniform by construction, 16 a shuffle
+    partition, 2**20 at most), a prefix sum over the bucket counts, then a row
+    number inside each bucket plus its offset.  Exact, and no single task sees
+    all keys."""
+    bits = min(20, max(8, (16 * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
     h = keys.select(key).distinct().withColumn(
         "_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))))
-    h = h.withColumn("_bk", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
+    h = h.withColumn("_bk", F.shiftright(F.conv(F.substring("_h", 1, 5), 16, 10).cast("int"), 20 - bits))
     counts = h.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"))
     offs = counts.select("_bk", F.coalesce(F.sum("_n").over(
         Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     w = Window.partitionBy("_bk").orderBy("_h", key)
-    return (h.join(F.broadcast(offs), "_bk")
+    return (h.join(offs, "_bk")
              .withColumn(out, (F.col("_off") + F.row_number().over(w) - 1).cast("long"))
              .drop("_bk", "_off", "_h"))
 
@@ -31,13 +36,13 @@ def hashed_rank(keys: DataFrame, key: str, seed: int, out: str = "rank") -> Data
 def grouped_split(df: DataFrame, key: str = "subject_id", cuts: Sequence[float] = rules.SPLIT_CUTS,
                   seed: int = rules.SPLIT_SEED, out: str = "split") -> DataFrame:
     """(key, split): shuffled distinct keys cut at floor(c1*n) and floor(c2*n)."""
-    ranked = hashed_rank(df, key, seed, "_r")
-    n = ranked.agg(F.count(F.lit(1)).alias("_cnt"))
+    order = hashed_rank(df, key, seed, "_r")
+    n = order.agg(F.count(F.lit(1)).alias("_cnt"))
     c1, c2 = float(cuts[0]), float(cuts[1])
     part = (F.when(F.col("_r") < F.floor(F.lit(c1) * F.col("_cnt")), F.lit("train"))
             .when(F.col("_r") < F.floor(F.lit(c2) * F.col("_cnt")), F.lit("validate"))
             .otherwise(F.lit("test")))
-    return ranked.crossJoin(F.broadcast(n)).select(key, part.alias(out))
+    return order.crossJoin(F.broadcast(n)).select(key, part.alias(out))  # one row
 
 
 def attach_split(df: DataFrame, split_table: DataFrame, key: str = "subject_id") -> DataFrame:
@@ -72,15 +77,20 @@ def category_values(df: DataFrame, cols: Sequence[str], max_categories: int = 10
 
 
 def dummy_name(col: str, value: str) -> str:
-    """``<COL>_<value>`` with every run of non-alphanumerics as one underscore."""
-    return f"{col.upper()}_{re.sub(r'[^0-9A-Za-z]+', '_', value)}"
+    """``<COL>_<value>``, the value as it is."""
+    return f"{col.upper()}_{value}"
 
 
 def one_hot(df: DataFrame, categories: Mapping[str, Sequence[str]], baselines: Mapping[str, str] | None = None,
             drop_source: bool = True) -> DataFrame:
     """One 0/1 column ``<COL>_<value>`` per category (null -> all 0), baseline
-    categories dropped."""
+    categories dropped.  Column names that differ in case only are an error."""
     baselines = baselines or {}
+    names = {c.lower() for c in df.columns}
+    for name in [dummy_name(c, v) for c, vals in categories.items() for v in vals if baselines.get(c) != v]:
+        if name.lower() in names:
+            raise ValueError(f"column {name} would exist twice")
+        names.add(name.lower())
     cols = []
     for c, vals in categories.items():
         for v in vals:
@@ -91,6 +101,24 @@ def one_hot(df: DataFrame, categories: Mapping[str, Sequence[str]], baselines: M
     return out.drop(*categories.keys()) if drop_source else out
 
 
+def one_hot_indices(df: DataFrame, cols: Sequence[str], baselines: Mapping[str, str] | None = None,
+                    out: str = "hot") -> tuple[DataFrame, DataFrame]:
+    """The same encoding for any number of categories: ``out`` is the sorted array of
+    the positions that are 1, and the second table names the positions
+    (``idx``, ``feature``).  Nothing is read by the driver."""
+    baselines = dict(baselines or {})
+    pairs = lambda d: F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])
+    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "one_hot")
+    long = rows.select("_row", F.explode(pairs(rows)).alias("p")).select("_row", "p.c", "p.v").filter(F.col("v").isNotNull())
+    for c, v in baselines.items():
+        long = long.filter((F.col("c") != c) | (F.col("v") != v))
+    long = long.select("_row", F.concat(F.upper("c"), F.lit("_"), F.col("v")).alias("feature"))
+    names = ranked(long.select("feature").distinct(), "feature", "idx").select(F.col("idx").cast("int").alias("idx"), "feature")
+    hot = lookup_join(long, names, "feature", "inner").groupBy("_row").agg(F.sort_array(F.collect_list("idx")).alias(out))
+    encoded = rows.join(hot, "_row", "left").withColumn(out, F.coalesce(out, F.array().cast("array<int>")))
+    return encoded.drop("_row"), names
+
+
 def select_regex(df: DataFrame, pattern: str, ignore_case: bool = True) -> list[str]:
     """Column names matching ``pattern`` (metadata only, no job)."""
     rx = re.compile(pattern, re.IGNORECASE if ignore_case else 0)
@@ -115,7 +143,16 @@ def build_features(cohort: DataFrame, dp_arrays: DataFrame, cp_arrays: DataFrame
                           rules.STATIC_PATTERN)
     split = grouped_split(cohort, "subject_id", rules.SPLIT_CUTS, seed)
     feats = (oh.select("icustay_id", "subject_id", F.col("positive").cast("double").alias("label"),
-                       *[F.col(f"`{c}`").cast("double").alias(c) for c in static])
+                       *[F.col("`" + c.replace("`", "``") + "`").cast("double").alias(c) for c in static])
              .join(dp_arrays, "icustay_id", "left").join(cp_arrays, "icustay_id", "left")
              .join(split, "subject_id", "left"))
     return feats
+
+
+def last_category_features(stays: DataFrame, last_only: DataFrame, labels: Sequence[str],
+                           key: str = "icustay_id", category: str = "valuecat") -> DataFrame:
+    """(key, one 0/1 column per label): whether the stay's most recent category of some
+    type is the label.  ``labels`` is the fixed list of bin labels."""
+    found = last_only.filter(F.col(category).isin(list(labels))).select(key, category)
+    wide = found.groupBy(key).agg(*[F.max((F.col(category) == v).cast("int")).alias(v) for v in labels])
+    return stays.select(key).join(wide, key, "left").na.fill(0, list(labels))

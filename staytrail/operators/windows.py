@@ -6,8 +6,12 @@ Partitioning notes (for 100 TB scale):
   from the same scan, so a hot key is spread over as many tasks as it has
   buckets, and the result is exact because the frame never reaches further
   back than one bucket.
-* ``latest_per_group`` is a hash aggregate (``min_by``), so partial aggregation
-  runs before the shuffle and a hot group never lands whole in one task.
+* ``latest_per_group`` and ``first_per_group`` are ``min_by`` aggregates over a
+  struct: partial aggregation runs before the shuffle, so a hot group never lands
+  whole in one task (Spark runs them sort-based, as structs can't be updated in
+  place).
+* ``first_n`` is the one plain window per key; Catalyst puts a group limit of n
+  rows before its shuffle, so a task gets n rows of a key from each task at most.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefns import MICROS_PER_DAY, epoch_micros
+from ..session import materialize
 from . import ordered
 from .ordered import Key
 
@@ -59,22 +64,31 @@ def next_value(df: DataFrame, key: str | Sequence[str], order: Sequence[Key], va
     return ordered.neighbour(df, key, order, value, width, out, following=True)
 
 
+def _default_width(df: DataFrame, order: Sequence[str], width: float | None) -> float:
+    """A day of a time column, one unit of a number."""
+    if width is not None:
+        return width
+    return float(MICROS_PER_DAY) if dict(df.dtypes)[order[0]].startswith("timestamp") else 1.0
+
+
 def fill_forward(df: DataFrame, key: str, order: Sequence[str], c: str, out: str | None = None,
-                 width: float = 1.0) -> DataFrame:
-    """Last non-null ``c`` so far within ``key`` (two-level over ranges of the
-    leading order column)."""
+                 width: float | None = None) -> DataFrame:
+    """Last non-null ``c`` so far within ``key`` (two-level over ranges of ``width``
+    of the leading order column, by default a day or one unit)."""
+    width = _default_width(df, order, width)
     return ordered.fill_nulls(df, key, [Key(o) for o in order], c, width, out or c)
 
 
 def fill_backward(df: DataFrame, key: str, order: Sequence[str], c: str, out: str | None = None,
-                  width: float = 1.0) -> DataFrame:
+                  width: float | None = None) -> DataFrame:
     """First non-null ``c`` from this row on within ``key``."""
+    width = _default_width(df, order, width)
     return ordered.fill_nulls(df, key, [Key(o) for o in order], c, width, out or c, backward=True)
 
 
-def fill_both(df: DataFrame, key: str, order: Sequence[str], c: str, width: float = 1.0) -> DataFrame:
+def fill_both(df: DataFrame, key: str, order: Sequence[str], c: str, width: float | None = None) -> DataFrame:
     """Forward fill, then backward fill what is still missing."""
-    d = fill_forward(df, key, order, c, "_ff", width)
+    d = materialize(fill_forward(df, key, order, c, "_ff", width), "filled")
     d = fill_backward(d, key, order, c, "_bf", width)
     return d.withColumn(c, F.coalesce("_ff", "_bf")).drop("_ff", "_bf")
 
@@ -89,8 +103,7 @@ def drop_consecutive_repeats(df: DataFrame, keys: Sequence[str], order: Sequence
 
 
 def latest_per_group(df: DataFrame, keys: Sequence[str], ts: str, tie: str) -> DataFrame:
-    """Row with the latest ``ts`` per group (ties: smallest ``tie``, nulls first),
-    as a hash aggregate."""
+    """Row with the latest ``ts`` per group (ties: smallest ``tie``, nulls first)."""
     cols = [c for c in df.columns if c not in keys]
     order = F.struct((-epoch_micros(ts)).alias("t"), F.col(tie).alias("k"))
     agg = df.groupBy(*keys).agg(F.min_by(F.struct(*cols), order).alias("_r"))

@@ -25,7 +25,7 @@ from ..operators import events as event_ops
 from ..operators import sequences as seq_ops
 from ..operators import split as split_ops
 from ..operators import windows
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import files
 from ..streaming import ingest
 from . import oracle as O
@@ -83,13 +83,29 @@ def readmission_cohort(spark, sf):
 @register("scan_typed_csv", B("SELECT * FROM v_stays", "v_stays"))
 def scan_typed_csv(spark, sf):
     path = scratch_path(spark, "stays_csv")
-    files.write_csv(TestViews(spark, sf).stays, path)
+    s = TestViews(spark, sf).stays
+    wide = s.select("outtime", F.lit("x").alias("first_careunit"), "icustay_id", "subject_id", F.lit(1).alias("row_id"), "los",
+                    "hadm_id", F.lit(None).cast("string").alias("last_careunit"), "intime")
+    files.write_csv(wide, path)  # more columns, in another order
     return files.read_events_csv(spark, path, STAYS_SCHEMA)
 
 
+# The header of a raw chart file.
+CHART_HEADER = ["ROW_ID", "SUBJECT_ID", "HADM_ID", "ICUSTAY_ID", "ITEMID", "CHARTTIME", "STORETIME", "CGID", "VALUE", "VALUENUM",
+                "VALUEUOM", "WARNING", "ERROR", "RESULTSTATUS", "STOPPED"]
+
+
+def _as_chart_file(chart: DataFrame) -> DataFrame:
+    """The rows in the layout of a raw chart file: all its columns, unused ones as some text or empty."""
+    have = {c.upper() for c in chart.columns}
+    fill = {"ROW_ID": F.lit("1"), "VALUE": F.lit("as, text"), "VALUEUOM": F.lit("bpm")}
+    return chart.select(*[F.col(c.lower()).alias(c) if c in have else fill.get(c, F.lit(None).cast("string")).alias(c)
+                          for c in CHART_HEADER])
+
+
 def _chart_ingest(spark, sf, per_trigger):
     raw, out, ckpt = (scratch_path(spark, n) for n in ("chart_raw", "chart_clean", "chart_ckpt"))
-    files.write_csv(TestViews(spark, sf).chart.repartition(4), raw)
+    files.write_csv(_as_chart_file(TestViews(spark, sf).chart).repartition(4), raw)
     return ingest.ingest_once(spark, raw, out, ckpt, CHART_SCHEMA, event_ops.clean_chart_events, per_trigger)
 
 
@@ -135,6 +151,18 @@ def feature_bundle_write(spark, sf):
     return _feature_text(spark.read.parquet(f"{out}/features"))
 
 
+@register("feature_bundle_dictionaries", B("SELECT 'dp' AS which, idx, icd9_code AS code FROM dict_dp UNION ALL "
+                                           "SELECT 'cp', idx, valuecat FROM dict_cp", "dict_dp", "dict_cp"))
+def feature_bundle_dictionaries(spark, sf):
+    """Both code dictionaries as the bundle holds them."""
+    f = Flow(spark, sf)
+    out = scratch_path(spark, "features")
+    files.write_features(f.features, f.dp_arrays[1], f.cp_arrays[1], out)
+    d, c = spark.read.parquet(f"{out}/dict_dp"), spark.read.parquet(f"{out}/dict_cp")
+    return d.select(F.lit("dp").alias("which"), "idx", F.col("icd9_code").alias("code")).unionByName(
+        c.select(F.lit("cp").alias("which"), "idx", F.col("valuecat").alias("code")))
+
+
 # -- metric tables (per model = document language, per epoch = document source) --
 def _metric_history(spark, sf) -> DataFrame:
     s = TestViews(spark, sf).scores
@@ -180,10 +208,25 @@ def _round_history(df: DataFrame) -> DataFrame:
 
 @register("metrics_csv_scan", B(HISTORY_ROUNDED, "metric_history"))
 def metrics_csv_scan(spark, sf):
+    """Metric files of several models read back, the model taken from the folder's name."""
     root = scratch_path(spark, "metrics")
-    files.write_stage(_metric_history(spark, sf), root, fmt="csv", partition_by=["model"])
-    back = files.read_events_csv(spark, root, METRIC_SCHEMA + ", model STRING")
-    return _round_history(back)
+    runs = _metric_history(spark, sf).withColumn("run", F.concat("model", F.lit("_training_results"))).drop("model")
+    files.write_stage(runs, root, fmt="csv", partition_by=["run"])
+    return _round_history(files.read_metrics(spark, [f"{root}/*"], METRIC_SCHEMA, r"([^/=]+?)_training_results"))
+
+
+@register("metrics_epoch_numbers", B("""
+SELECT model, epoch AS name, row_number() OVER (PARTITION BY model ORDER BY epoch) AS epoch,
+       round(accuracy_scores, 6) AS accuracy_scores FROM metric_history""", "metric_history"))
+def metrics_epoch_numbers(spark, sf):
+    """A metric history that grew by two appends, its epochs numbered."""
+    path = scratch_path(spark, "metric_history")
+    h = materialize(_metric_history(spark, sf), "metric_history")
+    for part in (0, 1):
+        files.append_metrics(h.filter(F.length("epoch") % 2 == part), path)
+    back = files.read_events_csv(spark, path, "model STRING, " + METRIC_SCHEMA)
+    return files.number_epochs(back.withColumnRenamed("epoch", "name"), "name").select(
+        "model", "name", "epoch", r6("accuracy_scores").alias("accuracy_scores"))
 
 
 # phases: documents split into train/validate/test by the grouped split on doc_id
@@ -266,7 +309,7 @@ def _adults(spark, sf) -> DataFrame:
     df = filter_not_died_in_stay(spark, sf)
     df = windows.trailing_count(df, "subject_id", "outtime", rules.RECENT_MIN_DAYS, rules.RECENT_MAX_DAYS,
                                 out="num_recent_admissions")
-    return cohort_ops.min_age(cohort_ops.with_age(df))
+    return materialize(cohort_ops.min_age(cohort_ops.with_age(df)), "adults")
 
 
 @register("filter_min_age", B("SELECT * FROM adult", "adult"))
@@ -319,7 +362,7 @@ def filter_by_type(spark, sf):
 
 @register("truncate_long_sequences", B("SELECT * FROM cp_trunc", "cp_trunc"))
 def truncate_long_sequences(spark, sf):
-    d = seq_ops.sequence_positions(Flow(spark, sf).cp, "icustay_id", "hours_to_out", "valuecat")
+    d = materialize(seq_ops.sequence_positions(Flow(spark, sf).cp, "icustay_id", "hours_to_out", "valuecat"), "positions")
     return seq_ops.truncate_sequences(d, "icustay_id", rules.CP_QUANTILE)
 
 
@@ -335,7 +378,7 @@ O.cte("cats", ["cohort"], "\nUNION ALL\n".join(
     f"SELECT '{c.upper()}' AS col, {c} AS val FROM cohort WHERE {c} IS NOT NULL GROUP BY {c}"
     for c in rules.CATEGORY_COLUMNS))
 O.cte("one_hot_long", ["cohort", "cats"], """
-SELECT c.icustay_id, k.col || '_' || regexp_replace(k.val, '[^0-9A-Za-z]+', '_', 'g') AS feature,
+SELECT c.icustay_id, k.col || '_' || k.val AS feature,
        CASE WHEN (CASE k.col """ + " ".join(f"WHEN '{c.upper()}' THEN c.{c}" for c in rules.CATEGORY_COLUMNS) + """ END) = k.val
             THEN 1 ELSE 0 END AS value
 FROM cohort c CROSS JOIN cats k
@@ -406,6 +449,15 @@ def left_join_first_service(spark, sf):
     return j.select("subject_id", "hadm_id", "icustay_id", "transfertime", "curr_service", "surgery")
 
 
+@register("elective_surgery_compat", B("""
+SELECT b.icustay_id, CASE WHEN f.curr_service IS NULL THEN NULL ELSE false END AS surgery
+FROM cbase b LEFT JOIN fserv f ON b.subject_id = f.subject_id AND b.hadm_id = f.hadm_id""", "cbase", "fserv"))
+def elective_surgery_compat(spark, sf):
+    """The service flag as the original rule's precedence gives it: never true."""
+    f = Flow(spark, sf)
+    return cohort_ops.left_join_first_service(f.cohort_base, f.v.services, compat=True).select("icustay_id", "surgery")
+
+
 @register("join_codes_admissions", B("SELECT * FROM codes_adm", "codes_adm"))
 def join_codes_admissions(spark, sf):
     return _codes_adm(spark, sf)
@@ -425,6 +477,18 @@ def anti_join_boundary_days(spark, sf):
     return Flow(spark, sf).outputs_reduced.withColumn("valuenum", r6("valuenum"))
 
 
+O.cte("out_obs_c", ["v_outputs", "items_sel"], O.CTES["out_obs"][1].replace("AND value > 0", "AND value <> 0"))
+O.cte("out_daily_c", ["out_obs_c"], O.CTES["out_daily"][1].replace("FROM out_obs ", "FROM out_obs_c "))
+O.cte("out_reduced_c", ["out_daily_c", "v_stays"], O.CTES["out_reduced"][1].replace("FROM out_daily o", "FROM out_daily_c o"))
+
+
+@register("outputs_compat", B("SELECT icustay_id, charttime, round(valuenum, 6) AS valuenum, ce_type FROM out_reduced_c",
+                              "out_reduced_c"))
+def outputs_compat(spark, sf):
+    """Output events as the original rule's precedence keeps them: negative values count."""
+    return Flow(spark, sf, compat=True).outputs_reduced.withColumn("valuenum", r6("valuenum"))
+
+
 @register("left_join_stay_events", B("""
 SELECT c.icustay_id, e.valuecat, e.charttime FROM cohort c LEFT JOIN cp_events e ON c.icustay_id = e.icustay_id""",
                                      "cohort", "cp_events"))
@@ -454,9 +518,7 @@ FROM cohort c CROSS JOIN (SELECT CAST(unnest(range(0, (SELECT max(pos) + 1 FROM
 LEFT JOIN cp_enc e ON c.icustay_id = e.icustay_id AND g.pos = e.pos""", "cohort", "cp_enc"))
 def densify_sequence_grid(spark, sf):
     f = Flow(spark, sf)
-    d = seq_ops.truncate_sequences(seq_ops.sequence_positions(f.cp, "icustay_id", "hours_to_out", "valuecat"),
-                                   "icustay_id", rules.CP_QUANTILE)
-    enc, _ = seq_ops.dictionary_encode(d, "valuecat")
+    enc, _ = seq_ops.encoded_sequence(f.cp, "icustay_id", "valuecat", "hours_to_out", rules.CP_QUANTILE, "cp")
     enc = enc.select("icustay_id", "pos", "idx", r6(F.coalesce("hours_to_out", F.lit(0.0))).alias("t"))
     return seq_ops.densify_grid(enc, f.cohort, "icustay_id", "pos", {"idx": 0, "t": 0.0})
 
@@ -528,7 +590,10 @@ def attrition_counts(spark, sf):
 
 @register("drop_duplicates", B("SELECT * FROM codes_dedup", "codes_dedup"))
 def drop_duplicates(spark, sf):
-    return point_in_time_history_join(spark, sf)
+    f = Flow(spark, sf)
+    h = code_ops.point_in_time_history(f.cohort.select("subject_id", "icustay_id", "outtime"), _codes_adm(spark, sf))
+    h = h.withColumn("days_to_out", timefns.fractional_days("dischtime", "outtime", clamp=True))
+    return agg_ops.drop_duplicates(h.select("icustay_id", "icd9_code", "days_to_out"))
 
 
 @register("class_balance_weight", B("SELECT (count(*) - sum(CAST(positive AS INTEGER))) / "
@@ -552,6 +617,21 @@ def metrics_by_model_phase(spark, sf):
     return t.select("model", "phase", *[r6(m).alias(m) for m in PHASE_METRICS])
 
 
+O.cte("g_thr", ["scored_pred"], "SELECT pred, sum(y) AS tp, count(*) AS n FROM scored_pred GROUP BY pred")
+O.cte("c_thr", ["g_thr"], """
+SELECT *, sum(tp) OVER (ORDER BY pred DESC ROWS UNBOUNDED PRECEDING) AS ctp,
+          sum(n) OVER (ORDER BY pred DESC ROWS UNBOUNDED PRECEDING) AS cn FROM g_thr""")
+
+
+@register("thresholded_metrics", B("""
+SELECT round(sum(tp * ctp / cn) / NULLIF(sum(tp), 0)::DOUBLE, 6) AS average_precision,
+       round(sum((n - tp) * (2 * ctp - tp)) / NULLIF(2.0::DOUBLE * sum(tp) * sum(n - tp), 0), 6) AS roc_auc FROM c_thr""", "c_thr"))
+def thresholded_metrics(spark, sf):
+    """Ranking metrics of the 0/1 predictions instead of the scores."""
+    m = eval_ops.evaluate(TestViews(spark, sf).scores, "logit", "y", mode="thresholded")
+    return m.select(r6("average_precision").alias("average_precision"), r6("roc_auc").alias("roc_auc"))
+
+
 @register("weighted_bce_loss", B("""
 SELECT round(avg(l), 6) AS mean_loss, round(sum(l), 6) AS total_loss FROM (
   SELECT pos_weight * y * (greatest(-logit, 0) + ln(1 + exp(-abs(logit))))
@@ -628,7 +708,8 @@ def first_per_group(spark, sf):
 
 def _wh(spark, sf) -> DataFrame:
     c = Flow(spark, sf).chart_clean.filter(F.col("ce_type").isin("WEIGHT", "HEIGHT"))
-    return agg_ops.pivot_mean(c, ["subject_id", "icustay_id", "charttime"], "ce_type", "valuenum", ["HEIGHT", "WEIGHT"])
+    return materialize(agg_ops.pivot_mean(c, ["subject_id", "icustay_id", "charttime"], "ce_type", "valuenum",
+                                          ["HEIGHT", "WEIGHT"]), "weights")
 
 
 @register("forward_fill", B("""
@@ -666,10 +747,7 @@ def sequence_position(spark, sf):
 
 
 def _cp_enc(spark, sf) -> DataFrame:
-    f = Flow(spark, sf)
-    d = seq_ops.truncate_sequences(seq_ops.sequence_positions(f.cp, "icustay_id", "hours_to_out", "valuecat"),
-                                   "icustay_id", rules.CP_QUANTILE)
-    enc, _ = seq_ops.dictionary_encode(d, "valuecat")
+    enc, _ = seq_ops.encoded_sequence(Flow(spark, sf).cp, "icustay_id", "valuecat", "hours_to_out", rules.CP_QUANTILE, "cp")
     return enc.select("icustay_id", "pos", "idx", F.coalesce("hours_to_out", F.lit(0.0)).alias("t"))
 
 
@@ -861,13 +939,12 @@ def truncate_to_day_midday(spark, sf):
 @register("convert_units", B(f"SELECT itemid, valuenum, {O.CONV} AS converted FROM chart_obs", "chart_obs"))
 def convert_units(spark, sf):
     c = event_ops.observed(TestViews(spark, sf).chart, rules.RELEVANT_IDS)
-    return c.select("itemid", "valuenum", mathfns.convert_units("itemid", "valuenum", rules.UNIT_RULES,
-                                                                 rules.FRACTION_INSPIRED_OXYGEN).alias("converted"))
+    return event_ops.converted(c).select("itemid", "valuenum", "converted")
 
 
 @register("label_item_type", B(f"SELECT itemid, {O.TYPE_CASE} AS ce_type FROM v_chart", "v_chart"))
 def label_item_type(spark, sf):
-    return TestViews(spark, sf).chart.select("itemid", event_ops.label_items("itemid").alias("ce_type"))
+    return event_ops.label_items(TestViews(spark, sf).chart.select("itemid")).select("itemid", "ce_type")
 
 
 @register("bin_right_closed", B("SELECT icustay_id, charttime, round(valuenum, 6) AS valuenum, ce_type, valuecat "
@@ -876,9 +953,18 @@ def bin_right_closed(spark, sf):
     return Flow(spark, sf).binned.withColumn("valuenum", r6("valuenum"))
 
 
+@register("bin_with_bmi", B(f"""
+SELECT icustay_id, charttime, round(valuenum, 6) AS valuenum, ce_type, {O.bin_case(include_bmi=True)} AS valuecat FROM (
+  SELECT icustay_id, charttime, valuenum, ce_type FROM charts_derived
+  UNION ALL SELECT icustay_id, charttime, valuenum, ce_type FROM out_reduced)
+WHERE ce_type = 'BMI' OR ce_type IN {O.BINNED_IN}""", "charts_derived", "out_reduced"))
+def bin_with_bmi(spark, sf):
+    return Flow(spark, sf, include_bmi=True).binned.withColumn("valuenum", r6("valuenum"))
+
+
 @register("derive_bmi", B("SELECT subject_id, icustay_id, charttime, round(valuenum, 6) AS valuenum, ce_type FROM bmi", "bmi"))
 def derive_bmi(spark, sf):
-    return event_ops.derive_bmi(Flow(spark, sf).chart_clean).withColumn("valuenum", r6("valuenum"))
+    return event_ops.derive_bmi(Flow(spark, sf).chart_stage).withColumn("valuenum", r6("valuenum"))
 
 
 @register("derive_total_if_missing", B("SELECT subject_id, icustay_id, charttime, round(valuenum, 6) AS valuenum, ce_type "
@@ -978,11 +1064,20 @@ def feature_table(spark, sf):
     return Flow(spark, sf).features
 
 
-STATIC_NUMERIC = ["los", "num_recent_admissions", "age", "pre_icu_los", "elective_surgery"]
+LAST_LABELS = [x for t in rules.BINNED_TYPES for x in rules.BIN_LABELS[t]]
+
+
+@register("last_category_features", B("SELECT c.icustay_id, " + ", ".join(
+    f"max(CASE WHEN l.valuecat = '{x}' THEN 1 ELSE 0 END) AS {x}" for x in LAST_LABELS)
+    + " FROM cohort c LEFT JOIN last_only l ON c.icustay_id = l.icustay_id GROUP BY c.icustay_id", "cohort", "last_only"))
+def last_category_features(spark, sf):
+    """Most recent category per type as 0/1 columns, the events' part of the baseline's input."""
+    return Flow(spark, sf).last_features
 
 
 def _baseline(spark, sf):
-    feats = Flow(spark, sf).features
+    f = Flow(spark, sf)
+    feats = materialize(f.features.join(f.last_features, "icustay_id"), "baseline")
     static = [c for c in feats.columns if c not in ("icustay_id", "subject_id", "label", "split", "dp", "dp_times", "cp",
                                                     "cp_times")]
     model = eval_ops.fit_baseline(split_ops.subset(feats, "train"), static, "label")
@@ -1002,6 +1097,7 @@ def score_and_evaluate(spark, sf):
     """All six metrics of the baseline on the test part (one row)."""
     feats, model = _baseline(spark, sf)
     scored = eval_ops.score_with(model, split_ops.subset(feats, "test")).withColumnRenamed("label", "y")
+    scored = scored.select("icustay_id", "y", "logit")
     train_w = eval_ops.pos_weight(split_ops.subset(feats, "train"), "label")
     return eval_ops.evaluate(scored, "logit", "y", weight=train_w)
 

@@ -1,9 +1,9 @@
 """The end-to-end build as lazily chained stages over the test views.
 
-Every attribute is a DataFrame (nothing runs until an action).  Stages read
-each other directly, so one job plans the whole chain and Catalyst prunes
-columns and pushes filters across stage boundaries; ``persist`` points can
-be added where a stage feeds several consumers on a real cluster.
+Every attribute is a DataFrame, computed when it is first read.  A stage that
+feeds several others (cohort, cleaned charts, binned rows, runs, sequences) is
+then written once to the shared folder; all other stages are plans that run
+with their action.
 """
 
 from __future__ import annotations
@@ -32,16 +32,26 @@ class Flow:
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str | None = None, compat: bool = False,
-                 materialize_stages: bool = True, sources=None, dob_cutoff_year: int | None = None):
+                 materialize_stages: bool = True, sources=None, dob_cutoff_year: int | None = None,
+                 include_bmi: bool = False, max_categories: int = 1000):
         self.spark = spark
         self.v = sources if sources is not None else TestViews(spark, sf_dir)
         self.compat = compat
         self.materialize_stages = materialize_stages
+        self.include_bmi = include_bmi
+        self.max_categories = max_categories
         self.dob_cutoff_year = dob_cutoff_year or (OBSCURE_CUTOFF_YEAR if sources is None else 2000)
 
-    def _stage(self, df: DataFrame) -> DataFrame:
-        """Stages read by several later stages are computed once (checkpoint)."""
-        return materialize(df) if self.materialize_stages else df
+    def _stage(self, df: DataFrame, name: str) -> DataFrame:
+        """Stages read by several later stages are computed once."""
+        return materialize(df, name) if self.materialize_stages else df
+
+    def check_attrition(self, expected: dict[str, tuple[int | None, int]]) -> None:
+        """Raise if the funnel differs from expected (subjects, stays) per step."""
+        funnel = cohort_ops.attrition(self.v.stays, self.v.patients, dob_cutoff_year=self.dob_cutoff_year)
+        problems = cohort_ops.expect_counts(funnel, expected)
+        if problems:
+            raise ValueError("; ".join(problems))
 
     # stage 1: cohort
     @cached_property
@@ -51,13 +61,13 @@ class Flow:
     @cached_property
     def cohort(self) -> DataFrame:
         return self._stage(cohort_ops.build_cohort(self.v.stays, self.v.patients, self.v.admissions, self.v.services,
-                                                   dob_cutoff_year=self.dob_cutoff_year, compat=self.compat))
+                                                   dob_cutoff_year=self.dob_cutoff_year, compat=self.compat), "cohort")
 
     # stage 2: codes
     @cached_property
     def codes(self) -> DataFrame:
-        # the lumping inside reads a materialised input; its output is a cheap
-        # broadcast join over it, so it is not written a second time
+        # the lumping inside reads a written input; its output is a lookup over
+        # it, so it is not written a second time
         return code_ops.diag_proc(self.cohort, self.v.diagnoses, self.v.procedures, self.v.admissions)
 
     # stages 3-5: events
@@ -65,9 +75,14 @@ class Flow:
     def chart_clean(self) -> DataFrame:
         return event_ops.clean_chart_events(self.v.chart)
 
+    @cached_property
+    def chart_stage(self) -> DataFrame:
+        """``chart_clean``, written: the derived types read it several times."""
+        return self._stage(self.chart_clean, "chart_clean")
+
     @cached_property
     def charts_derived(self) -> DataFrame:
-        return event_ops.replace_with_derived(self.chart_clean)
+        return event_ops.replace_with_derived(self.chart_stage)
 
     @cached_property
     def outputs_reduced(self) -> DataFrame:
@@ -75,11 +90,11 @@ class Flow:
 
     @cached_property
     def binned(self) -> DataFrame:
-        return event_ops.binned_events(self.charts_derived, self.outputs_reduced)
+        return event_ops.binned_events(self.charts_derived, self.outputs_reduced, self.include_bmi)
 
     @cached_property
     def runs(self) -> DataFrame:
-        return self._stage(event_ops.compress_runs(self.binned))
+        return self._stage(event_ops.compress_runs(self._stage(self.binned, "binned")), "runs")
 
     @cached_property
     def last_only(self) -> DataFrame:
@@ -107,7 +122,12 @@ class Flow:
 
     @cached_property
     def categories(self) -> dict:
-        return split_ops.category_values(self.cohort, rules.CATEGORY_COLUMNS)
+        return split_ops.category_values(self.cohort, rules.CATEGORY_COLUMNS, self.max_categories)
+
+    @cached_property
+    def last_features(self) -> DataFrame:
+        labels = [x for t in rules.BINNED_TYPES for x in rules.BIN_LABELS[t]]
+        return split_ops.last_category_features(self.cohort, self.last_only, labels)
 
     @cached_property
     def features(self) -> DataFrame:

@@ -137,10 +137,11 @@ FROM v_lines""")
 cte("v_procedures", ["v_lines"], "SELECT o_custkey AS subject_id, l_orderkey AS hadm_id, p_brand AS icd9_code FROM v_lines")
 
 cte("v_items", [], f"""
-SELECT CAST({_list(V.DISTINCT_URINE_IDS)}[p_partkey + 1] AS INTEGER) AS itemid,
+SELECT CAST(CASE WHEN p_partkey < {len(V.DISTINCT_URINE_IDS)} THEN {_list(V.DISTINCT_URINE_IDS)}[p_partkey + 1]
+                 ELSE p_partkey + {V.OTHER_ITEM_IDS} END AS INTEGER) AS itemid,
        CASE WHEN p_partkey % 6 = 5 THEN 'URINE ' || upper(p_name) ELSE {_list(V.ITEM_LABELS)}[p_partkey % 6 + 1] END AS label,
        'ml' AS unitname, 'outputevents' AS linksto
-FROM part WHERE p_partkey < {len(V.DISTINCT_URINE_IDS)}""")
+FROM part""")
 
 cte("v_events", [], f"""
 SELECT e.event_id, e.ts, e.user_id, e.value, o.o_orderkey, o.o_custkey,

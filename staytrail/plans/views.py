@@ -19,7 +19,7 @@ Mapping (stand-in rules, fixed):
   services     lineitem+part+orders: transfertime=l_shipdate, service from p_type
   diagnoses    lineitem+part+orders: code=' '||upper(p_name)||' '||p_size
   procedures   lineitem+part+orders: code=p_brand
-  items        part (first 122 part keys): the distinct urine item ids with labels
+  items        part: the distinct urine item ids for the first part keys, ids in no list for all others
   chart        events+orders: stay=user_id, item = (event_id%90)-th selected id,
                charttime = o_orderdate + (ts - 2024-01-01)/3
   outputs      events+orders: item = (event_id%133)-th urine id, value*25
@@ -65,6 +65,7 @@ SERVICE_BY_TYPE = {
     "LARGE": "CSURG", "STANDARD": "MED", "MEDIUM": "ORTHO", "PROMO": "NSURG", "SMALL": "CMED", "ECONOMY": "TRAUM",
 }
 ITEM_LABELS = ["Urine Out Foley", "Urine ml/hr", "Urine Out Nephrostomy hr", "Urine ml/kg", "Void"]
+OTHER_ITEM_IDS = 1_000_000  # items beyond: ids that no rule lists
 DISTINCT_URINE_IDS = list(dict.fromkeys(rules.URINE_OUTPUT))
 EVENT_EPOCH = "2024-01-01 00:00:00"
 OBSCURE_CUTOFF_YEAR = 1900
@@ -180,11 +181,13 @@ class TestViews:
     # -- items and events --------------------------------------------------
     @cached_property
     def items(self) -> DataFrame:
-        p = self.table("part").filter(F.col("p_partkey") < len(DISTINCT_URINE_IDS))
+        p = self.table("part")
         pk = F.col("p_partkey")
+        itemid = F.when(pk < len(DISTINCT_URINE_IDS), _pick(DISTINCT_URINE_IDS, pk % len(DISTINCT_URINE_IDS))).otherwise(
+            pk + OTHER_ITEM_IDS)
         label = F.when(pk % 6 == 5, F.concat(F.lit("URINE "), F.upper("p_name"))).otherwise(
             _pick(ITEM_LABELS, pk % 6))
-        return p.select(_pick(DISTINCT_URINE_IDS, pk).cast("int").alias("itemid"), label.alias("label"),
+        return p.select(itemid.cast("int").alias("itemid"), label.alias("label"),
                         F.lit("ml").alias("unitname"), F.lit("outputevents").alias("linksto"))
 
     def _events(self) -> DataFrame:

@@ -185,13 +185,6 @@ ITEM_LABEL_DROP = ["hr", "kg"]
 ITEM_LABEL_KEEP = "nephro"
 
 
-def chart_type_of(item_id: int) -> str | None:
-    for t, ids in CHART_TYPES.items():
-        if item_id in ids:
-            return t
-    return None
-
-
 def bin_rules(include_bmi: bool = False) -> list[tuple[str, float, float, str]]:
     """Flatten the bin edges into (type, lo, hi, label) rows, lo < v <= hi."""
     types = BINNED_TYPES + (["BMI"] if include_bmi else [])

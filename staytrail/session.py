@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,34 +45,76 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/staytrail-checkpoints") -> str:
-    """Return the shared checkpoint folder, setting ``fallback`` only if unset."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    target = conf_dir or fallback
-    sc.setCheckpointDir(target)
-    return sc.getCheckpointDir() or target
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as the URI it was given.
+
+    It is ``spark.checkpoint.dir``; only in local mode may that be unset, then a
+    new temporary folder is used and set.  On a cluster a missing setting is an
+    error, never a machine-local folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="staytrail-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Point reliable checkpoints at the shared folder unless a folder is set."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return spark.sparkContext.getCheckpointDir()
+
+
+#: scratch folders made by this process, by application id
+_MADE: dict[str, list[str]] = {}
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint directory (never machine-local
-    on a cluster: the checkpoint dir is the cluster's shared folder)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, "staytrail-scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+    """A new folder name under the shared folder; what is written there goes when
+    the application ends, or before with ``drop_scratch`` or ``scratch_scope``."""
+    path = f"{shared_dir(spark).rstrip('/')}/staytrail-scratch/{name}-{uuid.uuid4().hex[:12]}"
+    fs, p = _hadoop_path(spark, path)
+    fs.deleteOnExit(p)
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession, keep: int = 0) -> int:
+    """Delete this application's scratch folders, all but the first ``keep``; no
+    DataFrame that reads them may be used afterwards.  Returns their number."""
+    made = _MADE.get(spark.sparkContext.applicationId, [])
+    gone = made[keep:]
+    for path in gone:
+        fs, p = _hadoop_path(spark, path)
+        fs.delete(p, True)
+    del made[keep:]
+    return len(gone)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Within the scope stage tables may be made and read; at its end those made in it are deleted."""
+    before = len(_MADE.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        drop_scratch(spark, before)
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Compute ``df`` once and cut its lineage: write it as a Parquet table in
-    the shared checkpoint folder and read it back (one job; survives executor
-    loss; later reads get column pruning and filter pushdown).  Never a local
-    checkpoint or a machine-local folder on a cluster.  Use for a stage that
-    feeds several consumers."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    the shared folder and read it back (one job; survives executor loss; later
+    reads get column pruning and filter pushdown).  Never a local checkpoint or
+    a machine-local folder on a cluster.  Use for a stage that feeds several
+    consumers."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,8 +1,8 @@
 """Readers for the clinical source layout (one CSV file per table, with header).
 
-Each table is read with every column as text, only the named columns are
-selected (the CSV parser prunes the rest), and each is cast to its fixed type;
-timestamps are parsed as TIMESTAMP_NTZ.  Nothing is inferred.  Column names
+The named columns are found by header name and parsed as their fixed types
+(the CSV parser prunes the rest); timestamps are TIMESTAMP_NTZ.  Nothing is
+inferred, and a malformed record is an error.  Column names
 are lower-cased to the names the operators use.  Ids of stays that can be
 missing in event tables are kept as text (they hold float text such as
 "123.0") and converted by the operators after their not-null filter.
@@ -14,9 +14,8 @@ import os
 from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
+from .files import TIMESTAMP_FORMAT, read_events_csv
 
 # File name and (column, type) of every column read, per table.
 TABLES: dict[str, tuple[str, list[tuple[str, str]]]] = {
@@ -41,19 +40,14 @@ TABLES: dict[str, tuple[str, list[tuple[str, str]]]] = {
 }
 
 
+SPARK_TYPES = {"timestamp": "timestamp_ntz"}
+
+
 def read_table(spark: SparkSession, path: str, columns: list[tuple[str, str]],
                timestamp_format: str = TIMESTAMP_FORMAT) -> DataFrame:
-    """Named columns of a header CSV, cast to their fixed types."""
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    out = []
-    for name, typ in columns:
-        c = F.col(f"`{name}`")
-        if typ == "timestamp":
-            c = F.to_timestamp_ntz(c, F.lit(timestamp_format))
-        else:
-            c = c.cast(typ)
-        out.append(c.alias(name.lower()))
-    return raw.select(*out)
+    """Named columns of a header CSV as their fixed types; a malformed record is an error."""
+    schema = ", ".join(f"{name.lower()} {SPARK_TYPES.get(typ, typ)}" for name, typ in columns)
+    return read_events_csv(spark, path, schema, options={"timestampNTZFormat": timestamp_format})
 
 
 def clinical_sources(spark: SparkSession, data_dir: str, timestamp_format: str = TIMESTAMP_FORMAT,

@@ -9,23 +9,27 @@ the last committed batch and the file sink stays exactly-once.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..sources.files import TIMESTAMP_FORMAT
+from ..sources.files import CSV_OPTIONS, csv_header, header_schema, named_columns
 
 
 def ingest_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, schema: StructType | str,
                   transform: Callable[[DataFrame], DataFrame], max_files_per_trigger: int | None = None,
-                  available_now: bool = True):
-    """Start a file-to-Parquet stream; returns the StreamingQuery."""
-    reader = (spark.readStream.schema(schema).option("header", True).option("timestampFormat", TIMESTAMP_FORMAT)
-              .option("timestampNTZFormat", TIMESTAMP_FORMAT))
+                  available_now: bool = True, header: Sequence[str] | None = None):
+    """Start a file-to-Parquet stream; returns the StreamingQuery.
+
+    Columns are bound by name as in ``read_events_csv``: ``header`` names the
+    files' columns in order, by default those of the files already there.  A file
+    with another header and a malformed record stop the stream with an error."""
+    full = header_schema(header or csv_header(spark, in_dir), schema)
+    reader = spark.readStream.schema(full).options(**CSV_OPTIONS)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    cleaned = transform(reader.csv(in_dir))
+    cleaned = transform(named_columns(reader.csv(in_dir), schema))
     w = (cleaned.writeStream.format("parquet").outputMode("append").option("path", out_dir)
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

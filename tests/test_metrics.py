@@ -31,7 +31,7 @@ def test_auc_matches_pair_count(spark):
     rnd = random.Random(7)
     rows = [(rnd.randint(0, 1), float(rnd.randint(0, 20))) for _ in range(400)]
     df = spark.createDataFrame(rows, "y int, s double")
-    got = evaluate.roc_auc(df, "s", "y", buckets=16).first()[0]
+    got = evaluate.roc_auc(df, "s", "y").first()[0]
     pos = [s for y, s in rows if y == 1]
     neg = [s for y, s in rows if y == 0]
     want = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))

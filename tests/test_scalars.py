@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from staytrail import rules
 from staytrail.functions import arrays, mathfns, strings, timefns
+from staytrail.operators import events
 
 
 def one(spark, col, rows, schema):
@@ -51,8 +52,8 @@ def test_clamp_keeps_null(spark):
 
 def test_convert_units(spark):
     rows = [(678, 98.6), (3581, 154.0), (3582, 352.0), (1394, 70.0), (189, 1.0), (189, 1.01), (211, 80.0)]
-    got = one(spark, mathfns.convert_units("i", "v", rules.UNIT_RULES, rules.FRACTION_INSPIRED_OXYGEN), rows,
-              "i int, v double")
+    df = events.converted(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, itemid int, valuenum double"))
+    got = [r.converted for r in df.orderBy("k").collect()]
     assert got == pytest.approx([37.0, 69.841270, 9.979021, 177.8, 100.0, 1.01, 80.0], abs=1e-6)
 
 
