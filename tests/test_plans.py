@@ -41,3 +41,27 @@ def test_no_window_over_a_whole_entity(spark):
             bucketed = "_b" in part or "_pid" in part
             carry = order.startswith("_bk") or order.startswith("_pid")   # one row per bucket
             assert bucketed or carry, (part, order)
+
+
+def scans_of(df, column: str) -> int:
+    """File scans in the plan whose output holds ``column``."""
+    return len(re.findall(rf"FileScan parquet \[[^\]]*\b{column}#", plan_text(df)))
+
+
+def test_multi_use_stages_are_read_not_recomputed(spark):
+    """What comes after a written stage scans that stage, never the raw tables again."""
+    f = Flow(spark, SF)
+    assert scans_of(f.charts_derived, "event_id") == 0       # charts: from the cleaned stage
+    assert scans_of(f.runs, "event_id") == 0 and scans_of(f.runs, "ts") == 0
+    assert scans_of(f.cohort_base, "o_orderkey") == 0        # the label reads the adults' stage
+    from staytrail.operators import cohort
+    funnel = cohort.attrition(f.v.stays, f.v.patients, dob_cutoff_year=1900)
+    assert scans_of(funnel, "o_orderkey") == 0 and scans_of(funnel, "c_custkey") == 0
+
+
+def test_evaluate_builds_one_score_table(spark):
+    from staytrail.operators import evaluate
+    m = evaluate.evaluate(TestViews(spark, SF).scores, "logit", "y", keys=["lang"])
+    plan = plan_text(m)
+    assert "labels.parquet" not in plan and "documents.parquet" not in plan
+    assert len(re.findall(r"sum\(tp#\d+L?\) windowspecdefinition", plan)) <= 2 and "FileScan parquet" in plan
