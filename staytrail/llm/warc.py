@@ -20,6 +20,7 @@ from .common import bounded_batches, stage
 
 #: fixed value: every record carries the same date, so that archives are reproducible
 DATE = "1970-01-01T00:00:00Z"
+LEVEL = 6  # of payload compression: payloads move twice and are stored once
 HEADERS = "rec_no long, page_id long, sha256 string, n_bytes long, record_type string, header binary"
 PAYLOADS = "sha256 string, payload binary"
 RECORDS = ("page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
@@ -91,7 +92,7 @@ def write_archive(pages: DataFrame, path: str, min_payload: int = 0) -> None:
      .mapInArrow(headers, HEADERS).write.parquet(f"{path}/headers"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressor = zstandard.ZstdCompressor(level=3)
+        compressor = zstandard.ZstdCompressor(level=LEVEL)
         for b in batches:
             data = [p.as_py() for p in b.column(0)]
             yield pa.RecordBatch.from_arrays([
