@@ -1,13 +1,12 @@
-"""Shared helpers of the training-data operators: the cluster's shared folder, stage tables, distributed ranks."""
+"""Shared helpers of the training-data operators: stage tables, batches, hash buckets, distributed ranks."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize, scratch_path
+
 #: fixed value: a word is a maximal run of characters other than ASCII white space
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,28 +14,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, as a URI and unchanged.  Where it is unset, a temporary
-    folder is used in local mode only; on a cluster a missing setting is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="llm-stages-"))
-    return spark.conf.get("spark.checkpoint.dir")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"
+    return scratch_path(spark, f"llm-{name}")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: its lineage is cut, and a lost executor costs no
     recomputation of what came before."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return materialize(df, f"llm-{name}")
 
 
 def bounded_batches(spark: SparkSession) -> None:
