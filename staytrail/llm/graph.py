@@ -11,8 +11,8 @@ from .common import stage
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every node of ``edges`` (a, b): root is the smallest id of its component.
 
-    Stars are taken with a minimum per node (combined before the exchange) and a join back on the node; a hub's rows
-    are split by adaptive skew joins.  Loops and repeated edges are harmless; no edges give an empty result.
+    Stars are taken with a minimum per node (combined before the exchange), which is written, and a join back on the
+    node: both sides of it are dealt anew, so that adaptive skew joins can split a hub's rows.  Loops and repeated edges are harmless; no edges give an empty result.
     """
     pairs = edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs = stage(pairs, "edges")
@@ -20,9 +20,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = stage(least, "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stage(large, "large-star")
-        root = large.groupBy("u").agg(F.min("v").alias("m"))
+        root = stage(large.groupBy("u").agg(F.min("v").alias("m")), "root")
         small = (large.join(root, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(root.withColumnRenamed("m", "v")).distinct())
         pairs = stage(small, "small-star")
