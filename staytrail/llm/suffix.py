@@ -33,7 +33,7 @@ GRAM = 32
 MOST_STRINGS = 128          # strings in a segment at most
 HOT_KEYS = 50_000           # a key with more segments is dealt out by its single strings
 HOT_MOST = 1_000_000        # so many hot keys (8 bytes each) are sent to every task at most
-BUCKET_BYTES = 1 << 21      # bytes of segments in a bucket, about
+BUCKET_BYTES = 1 << 19      # bytes of segments in a bucket, about: many small ones fill the tasks evenly
 COMBINE_BYTES = 48 << 20    # segments that a task holds back to combine equal ones
 BROADCAST_ROWS = 500_000    # keys (16 bytes each) that may be broadcast to thin out texts before they move
 RUN = np.dtype([("key", "<u8"), ("start", "<u4"), ("n", "<u2"), ("places", "<u2")])
