@@ -73,9 +73,9 @@ def _parsed(docs: DataFrame) -> DataFrame:
     return packed.select("text_id", F.explode(F.arrays_zip("line", "template")).alias("x")).select("text_id", "x.line", "x.template")
 
 
-def recurring_templates(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
+def recurring_templates(parsed: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     """(template) of all templates in at least ``min_texts`` distinct texts."""
-    each = _parsed(docs).select("template", "text_id").distinct()  # dealt by template and text: no template is hot
+    each = parsed.select("template", "text_id").distinct()  # dealt by template and text: no template is hot
     return each.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_texts).select("template")
 
 
@@ -88,9 +88,10 @@ def dedup_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     columns are ignored; an empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
-    common = stage(recurring_templates(docs, min_texts), "templates")
+    parsed = stage(_parsed(docs), "lines")
+    common = stage(recurring_templates(parsed, min_texts), "templates")
     few = common.count() <= BROADCAST_ROWS
-    hits = _parsed(docs).join(F.broadcast(common) if few else common, "template").select("text_id", "line")
+    hits = parsed.join(F.broadcast(common) if few else common, "template").select("text_id", "line")
     hits = stage(hits.groupBy("text_id").agg(F.collect_set("line").alias("dropped")), "dropped-lines")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,5 +107,6 @@ def dedup_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
                                              ["doc_id", "n_lines", "n_dropped", "dropped", "kept"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_id"))
-    return texts.join(hits, "text_id", "left").select("doc_id", "text", "dropped").mapInArrow(
+    # hits grow with the corpus, so texts are dealt by hash at every size; adaptive skew joins split a group of copies
+    return texts.join(hits.hint("merge"), "text_id", "left").select("doc_id", "text", "dropped").mapInArrow(
         apply, "doc_id long, n_lines long, n_dropped long, dropped array<int>, kept string")
