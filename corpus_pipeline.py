@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.85 or more)."""
-    return minhash.dedup_rows(docs)
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more)."""
+    return minhash.dedup_rows(docs, threshold=(80, 100))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Near-duplicate removal by min-max hashing.
 
-Every distinct shingle set gets, under each of PERMUTATIONS hash functions, its smallest and its largest value: two
+Every distinct shingle set gets, under each of some 120 to 160 hash functions, its smallest and its largest value: two
 values for one evaluation, agreeing between two sets with the probability of their Jaccard similarity.  Bands of
 them give buckets.  Members of a bucket are tied to its smallest member, and connected sets of such ties are blocks:
 no candidate pair leaves its block.  Inside a block links are confirmed on the full shingle sets, each set against
@@ -10,6 +10,7 @@ of pivots, each tested against all members where they lie.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +23,8 @@ from .common import bounded_batches, stage
 from .graph import components
 
 WORDS = 5             # words in a shingle
-THRESHOLD = (85, 100)  # link if 100 * intersection >= 85 * union
-BANDS, ROWS = 40, 8   # a pair at similarity 0.85 shares no band with probability (1 - 0.85**8)**40 < 4e-6
-PERMUTATIONS = BANDS * ROWS // 2  # each gives two values
+THRESHOLD = (80, 100)  # link if 100 * intersection >= 80 * union
+MISS = 4e-6           # a pair at the threshold shares no band with at most this probability
 BLOCK_SHINGLES = 4_000_000   # a block with more is not gathered in one task
 ROUND_PIVOTS, ROUND_SHINGLES = 256, 4_000_000  # pivots of one round over large blocks
 BROADCAST_ROWS = 500_000     # keys (28 bytes each) that may be broadcast instead of moving texts
@@ -68,18 +68,25 @@ def shingle_set(text: str | None, memo: _WordHash, words: int = WORDS) -> np.nda
     return np.unique(_mixed(h))
 
 
-def band_hashes(x: np.ndarray) -> list[int]:
-    """BANDS hashes of the min-max signature of a set."""
-    a = _odd(PERMUTATIONS, 7)[:, None]
-    low = np.full(PERMUTATIONS, 2**64 - 1, np.uint64)
-    high = np.zeros(PERMUTATIONS, np.uint64)
+def banding(threshold=THRESHOLD) -> tuple[int, int]:
+    """(bands, values in a band): 41 of 6 at 0.8, 40 of 8 at 0.85; half of a band's values are minima."""
+    t = threshold[0] / threshold[1]
+    rows = 8 if t >= 0.85 else 6
+    return math.ceil(math.log(MISS) / math.log1p(-min(t, 1 - 1e-9) ** rows)), rows
+
+
+def band_hashes(x: np.ndarray, bands: int, rows: int) -> list[int]:
+    """Hashes of the bands of a set's min-max signature; each hash function gives two values."""
+    functions = bands * rows // 2
+    a = _odd(functions, 7)[:, None]
+    low = np.full(functions, 2**64 - 1, np.uint64)
+    high = np.zeros(functions, np.uint64)
     for i in range(0, len(x), 512):
         y = a * x[i:i + 512]
         np.minimum(low, y.min(axis=1), out=low)
         np.maximum(high, y.max(axis=1), out=high)
-    half = ROWS // 2
-    values = np.concatenate([low.reshape(BANDS, half), high.reshape(BANDS, half)], axis=1)
-    h = (_mixed(values) * _odd(ROWS, 9)).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    values = np.concatenate([low.reshape(bands, rows // 2), high.reshape(bands, rows // 2)], axis=1)
+    h = (_mixed(values) * _odd(rows, 9)).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)
     return _mixed(h).view(np.int64).tolist()
 
 
@@ -88,6 +95,7 @@ def signatures(docs: DataFrame, threshold=THRESHOLD) -> DataFrame:
     bounded_batches(docs.sparkSession)
     num, den = threshold
     least = -(-num // (den - num)) if den > num else 1 << 62  # n / (n + 1) >= num / den from this n on
+    shape = banding(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _WordHash()
@@ -97,7 +105,7 @@ def signatures(docs: DataFrame, threshold=THRESHOLD) -> DataFrame:
                 x = shingle_set(t.as_py(), memo)
                 sizes.append(len(x))
                 ids.append(xxhash.xxh3_128_hexdigest(x.tobytes()))
-                bands.append(band_hashes(x) if len(x) >= least else [])
+                bands.append(band_hashes(x, *shape) if len(x) >= least else [])
             yield pa.RecordBatch.from_arrays([
                 b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.string()),
                 pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "th", "n_shingles", "set_id", "bands"])
@@ -215,7 +223,7 @@ def confirm_large(sets: DataFrame, threshold=THRESHOLD) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold=THRESHOLD) -> DataFrame:
     """Per row of ``docs`` (``doc_id``, ``text``): doc_id, th (xxhash64 of the text), n_shingles, component_id, part.
 
-    Rows with equal shingle sets form a class; classes are linked if 100 * intersection >= 85 * union.  component_id
+    Rows with equal shingle sets form a class; classes are linked if their similarity is ``threshold`` or more.  component_id
     is the smallest doc_id of the connected classes (null if they have none), ``part`` names the component (null for
     rows without words, which are linked with nothing and have their own doc_id as component).  Repeated rows and
     ids share their class; further columns are ignored; an empty table gives an empty result.

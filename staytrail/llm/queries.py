@@ -22,7 +22,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of documents at a similarity of 0.85 of their five-word shingles."""
-    found = minhash.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    found = minhash.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"), threshold=(85, 100))
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

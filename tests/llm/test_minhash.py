@@ -7,7 +7,7 @@ from helpers import DOC, awkward, components, prose, shingles, with_extra
 from staytrail.llm import graph, minhash
 
 
-def brute(rows, num=85):
+def brute(rows, num=80):
     sets = [shingles(t) for _, t, *_ in rows]
     links = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and sets[b]
              and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
@@ -40,14 +40,14 @@ def key(row):
     return tuple(-1 if v is None else v for v in row)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("limit", [4_000_000, 300])
-def test_components(spark, monkeypatch, seed, limit):
+@pytest.mark.parametrize("seed,limit,num", [(1, 4_000_000, 85), (2, 4_000_000, 80), (1, 300, 85), (2, 300, 80)])
+def test_components(spark, monkeypatch, seed, limit, num):
     monkeypatch.setattr(minhash, "BLOCK_SHINGLES", limit)  # at 300 most blocks go through the rounds of pivots
     monkeypatch.setattr(minhash, "ROUND_PIVOTS", 5)
     rows = corpus(seed)
-    got = minhash.near_duplicates(with_extra(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
-    assert sorted(map(key, got)) == sorted(map(key, brute(rows)[0]))
+    found = minhash.near_duplicates(with_extra(spark, rows), threshold=(num, 100))
+    got = found.select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(key, got)) == sorted(map(key, brute(rows, num)[0]))
 
 
 def test_awkward_rows(spark, monkeypatch):
@@ -80,10 +80,11 @@ def test_signature_estimates_similarity():
     rnd = np.random.default_rng(1)
     shared, a, b = (rnd.integers(0, 2**63, n, dtype=np.uint64) for n in (850, 75, 75))
     x, y = np.concatenate([shared, a]), np.concatenate([shared, b])
-    same = sum(p == q for p, q in zip(minhash.band_hashes(x), minhash.band_hashes(y)))
+    assert minhash.banding((80, 100)) == (41, 6) and minhash.banding((85, 100)) == (40, 8)
+    same = sum(p == q for p, q in zip(minhash.band_hashes(x, 40, 8), minhash.band_hashes(y, 40, 8)))
     assert 4 <= same <= 24  # 40 * 0.85 ** 8 = 11 are expected
-    assert minhash.band_hashes(x) == minhash.band_hashes(x[::-1])
-    assert not set(minhash.band_hashes(x)) & set(minhash.band_hashes(a))
+    assert minhash.band_hashes(x, 40, 8) == minhash.band_hashes(x[::-1], 40, 8)
+    assert not set(minhash.band_hashes(a, 40, 8)) & set(minhash.band_hashes(shared, 40, 8))
 
 
 def test_graph(spark):

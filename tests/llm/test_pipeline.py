@@ -33,7 +33,7 @@ def brute(rows, bench):
     kept = [r for r in rows if quality.judge(r[1], c)[6]]
     sets = [shingles(r[1]) for r in kept]
     root = components(len(kept), [(a, b) for a in range(len(kept)) for b in range(a)
-                                  if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])])
+                                  if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
     best = {}
     for i, r in enumerate(kept):
         best[root[i]] = min(best.get(root[i], i), i, key=lambda k: kept[k][0])
