@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cache
 from importlib.metadata import version
 
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, fresh_path, stage, text_or_empty
 
 #: pieces of text whose counts a Python worker remembers at a time
-MEMO = 200_000
+MEMO = 500_000
 CACHE_SCHEMA = "tokenizer string, digest string, n_tokens long"
 
 # A text may be cut before an ASCII space that a letter, digit or mark follows: the byte-level pre-tokenizer always
@@ -61,8 +62,10 @@ def tokenizer_digest(name: str) -> str:
         return hashlib.sha256(f"{library} {version(library)} ".encode() + f.read()).hexdigest()
 
 
+@cache
 def counter(name: str):
-    """A function text -> number of tokens, without begin, end or added special tokens."""
+    """A function text -> number of tokens, without begin, end or added special tokens.  A Python worker loads it once
+    and keeps it, with what it remembers, for all its tasks."""
     path = tokenizer_path(name)
     if path.endswith(".model"):
         import sentencepiece
