@@ -70,6 +70,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 #: scratch folders made by this process, by application id
 _MADE: dict[str, list[str]] = {}
+_ROOTS: set[str] = set()
 
 
 def _hadoop_path(spark: SparkSession, path: str):
@@ -77,12 +78,21 @@ def _hadoop_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """This application's own folder under the shared one; it goes when the application ends."""
+    root = f"{shared_dir(spark).rstrip('/')}/staytrail-scratch/{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        fs, p = _hadoop_path(spark, root)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)  # only takes a path that exists
+        _ROOTS.add(root)
+    return root
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared folder; what is written there goes when
-    the application ends, or before with ``drop_scratch`` or ``scratch_scope``."""
-    path = f"{shared_dir(spark).rstrip('/')}/staytrail-scratch/{name}-{uuid.uuid4().hex[:12]}"
-    fs, p = _hadoop_path(spark, path)
-    fs.deleteOnExit(p)
+    """A new folder name in the application's scratch folder; what is written there
+    goes when the application ends, or before with ``drop_scratch`` or ``scratch_scope``."""
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
