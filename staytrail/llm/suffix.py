@@ -319,7 +319,7 @@ def _segments(texts: DataFrame, hot: np.ndarray, length: int) -> DataFrame:
                         elif first[:2] < (doc, i):
                             copies.append((i, j))
                         else:
-                            out.append((0, *first, None))
+                            out.append((first[0], *first, None))
                             held[k, s] = (doc, i, j)
                 merged: list[list[int]] = []
                 for i, j in copies:
