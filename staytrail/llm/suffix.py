@@ -32,7 +32,7 @@ LENGTH = 100
 GRAM = 32
 MOST_STRINGS = 128          # strings in a segment at most
 HOT_KEYS = 50_000           # a key with more segments is dealt out by its single strings
-HOT_MOST = 1_000_000        # so many hot keys (8 bytes each) are sent to every task at most
+HOT_MOST = 1_000_000        # so many hot keys (8 bytes each) are sent to every task at most, about
 BUCKET_BYTES = 1 << 19      # bytes of segments in a bucket, about: many small ones fill the tasks evenly
 COMBINE_BYTES = 48 << 20    # segments that a task holds back to combine equal ones
 BROADCAST_ROWS = 500_000    # keys (16 bytes each) that may be broadcast to thin out texts before they move
@@ -230,7 +230,7 @@ def _repeated_keys(docs: DataFrame, length: int, hot_keys: int) -> DataFrame:
             yield _by_text(doc[pick], run[pick], 1)
             hot = key[head][total >= hot_keys]
             if len(hot):
-                yield _row(0, None, b"".join((hot.astype("<u8").tobytes(), total[total >= hot_keys].astype("<u8").tobytes())))
+                yield _row(0, None, hot.astype("<u8").tobytes())
 
         for b in batches:
             passed = []
@@ -430,10 +430,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     classes = stage(rows.groupBy("th").agg(F.min("seq").alias("seq")), "classes")
     firsts = stage(rows.join(classes.select("seq"), "seq").select("seq", F.xxhash64("doc_id").alias("dk"), "th", "n_bytes"), "firsts")
 
-    found = stage(_repeated_keys(texts, length, hot_keys), "runs")
-    hot = [np.frombuffer(bytes(r["runs"]), "<u8").reshape(2, -1) for r in found.filter("th is null").toLocalIterator()]
-    hot = np.concatenate(hot, axis=1) if hot else np.empty((2, 0), np.uint64)
-    hot = np.sort(hot[0][np.argsort(hot[1])[::-1][:HOT_MOST]])
+    # a segment holds some 35 strings, so that at most HOT_MOST keys can have more segments than this
+    size = rows.agg(F.sum("n_bytes")).first()[0] or 0
+    found = stage(_repeated_keys(texts, length, max(hot_keys, size // 35 // HOT_MOST)), "runs")
+    hot = [np.frombuffer(bytes(r["runs"]), "<u8") for r in found.filter("th is null").toLocalIterator()]
+    hot = np.sort(np.concatenate(hot)) if hot else np.empty(0, np.uint64)
     runs = stage(found.filter("th is not null").groupBy("th").agg(F.collect_list("runs").alias("lists"))
                  .join(firsts.drop("n_bytes"), "th"), "lists")
     volume = runs.select(F.sum(F.aggregate("lists", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x)))).first()[0] or 0
