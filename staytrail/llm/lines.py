@@ -3,7 +3,7 @@
 Every line is parsed to a fixed depth: its number of words, then its leading words, with variable words (such with
 digits, addresses, identifiers) as wildcards.  Below that leaf the line stands for several templates: its masked
 words as they are, and the same with one of FIELDS runs of words as a wildcard.  A template that occurs in enough
-distinct texts is recurring, and the lines that have one are dropped.
+distinct texts, the fewer the longer it is, is recurring, and the lines that have one are dropped.
 
 All templates of a line follow from the line alone, so the tree is never held anywhere: templates are counted by
 hash, once a text and combined before the exchange.
@@ -24,13 +24,23 @@ from .common import bounded_batches, stage, text_or_empty
 LEADING = 2       # leading words on the path to a leaf
 FIELDS = 4        # runs of words after them that may each be variable
 CONSTANT = 3      # a template needs so many constant words
-MIN_TEXTS = 10    # distinct texts in which a recurring template occurs
+#: (from so many constant words on, distinct texts in which a recurring template occurs), at most four; chance makes
+#: short lines recur, hardly ever long ones
+MIN_TEXTS = ((0, 10), (8, 5), (16, 3), (32, 2))
+WORD_BYTES = 8    # so many bytes count as a constant word at least, for scripts without spaces
 VARIABLE = re.compile(rb"[0-9@]|://|[A-Za-z+/=_-]{24}")
 BROADCAST_ROWS = 2_000_000  # recurring templates (8 bytes each) that may be broadcast
 
 
+def _hash(template: bytes, constant: int, variable: int) -> int:
+    """64-bit hash whose two lowest bits are the place in MIN_TEXTS that the template's constant words reach."""
+    size = max(constant, (len(template) - 4 * variable) // WORD_BYTES)
+    need = sum(size >= least for least, _ in MIN_TEXTS) - 1
+    return (xxhash.xxh3_64_intdigest(template) - 2**63) & ~3 | need
+
+
 def templates(line: bytes) -> list[int]:
-    """64-bit hashes of the line's templates; none for a line without words."""
+    """Hashes of the line's templates; none for a line without words."""
     words = line.split()
     n = len(words)
     if not n:
@@ -41,13 +51,14 @@ def templates(line: bytes) -> list[int]:
     constant = n - masked.count(b"<*>")
     out = []
     if constant >= min(n, CONSTANT):
-        out.append(xxhash.xxh3_64_intdigest(leaf + b"\n" + b" ".join(rest)) - 2**63)
+        out.append(_hash(leaf + b"\n" + b" ".join(rest), constant, n - constant))
     if len(rest) >= FIELDS:
         for k in range(FIELDS):
             i, j = len(rest) * k // FIELDS, len(rest) * (k + 1) // FIELDS
-            if constant - (j - i - rest[i:j].count(b"<*>")) >= max(CONSTANT, n // 2):
+            fixed = constant - (j - i - rest[i:j].count(b"<*>"))
+            if fixed >= max(CONSTANT, n // 2):
                 kept = b" ".join(rest[:i] + [b"<*>"] * (j - i) + rest[j:])
-                out.append(xxhash.xxh3_64_intdigest(leaf + b"\n%d\n" % k + kept) - 2**63)
+                out.append(_hash(leaf + b"\n%d\n" % k + kept, fixed, n - fixed))
     return out
 
 
@@ -73,15 +84,18 @@ def _parsed(docs: DataFrame) -> DataFrame:
     return packed.select("text_id", F.explode(F.arrays_zip("line", "template")).alias("x")).select("text_id", "x.line", "x.template")
 
 
-def recurring_templates(parsed: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
-    """(template) of all templates in at least ``min_texts`` distinct texts."""
+def recurring_templates(parsed: DataFrame, min_texts: int | None = None) -> DataFrame:
+    """(template) of all templates in at least ``min_texts`` distinct texts, by default as MIN_TEXTS says."""
+    by_size = F.element_at(F.array(*(F.lit(n) for _, n in MIN_TEXTS)), F.col("template").bitwiseAND(3).cast("int") + 1)
+    need = by_size if min_texts is None else F.lit(min_texts)
     each = parsed.select("template", "text_id").distinct()  # dealt by template and text: no template is hot
-    return each.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_texts).select("template")
+    return each.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= need).select("template")
 
 
-def dedup_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_texts: int | None = None) -> DataFrame:
     """Per row of ``docs`` (``doc_id``, ``text``): doc_id, n_lines, n_dropped, dropped (line numbers from 0), kept.
 
+    A template recurs in ``min_texts`` distinct texts, by default in as many as MIN_TEXTS asks for its length.
     Lines are split at ``\\n``.  A line without words is never dropped.  ``kept`` is the text without its dropped
     lines, joined by ``\\n``; a null text stays null and has 0 lines.  Equal texts count once for a template, so
     copies of one document don't make its lines recurring; repeated rows and ids are treated alike.  Further

@@ -73,5 +73,23 @@ def test_awkward_rows(spark, monkeypatch):
     assert result(lines.dedup_lines(with_extra(spark, rows), 6)) == brute(rows, 6)
 
 
+def test_long_lines_need_fewer_texts(spark):
+    rnd = random.Random(5)
+    letters = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    unspaced = "".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(120))  # 360 bytes, one word
+    numbers = [" ".join(["total of all"] + [str(rnd.randrange(10**6)) for _ in range(60)]) for _ in range(3)]
+    cases = [(60, 2, True), (20, 2, False), (20, 3, True), (10, 4, False), (10, 5, True), (4, 9, False), (4, 10, True)]
+    rows = []
+    for c, (n, texts, _) in enumerate(cases):
+        line = letters(n)
+        rows += [(100 * c + j, f"{letters(9)}\n{line}", "en", "s", 1) for j in range(texts)]
+    rows += [(2000 + j, f"{letters(9)}\n{unspaced}", "en", "s", 1) for j in range(2)]
+    rows += [(3000 + j, f"{letters(9)}\n{x}", "en", "s", 1) for j, x in enumerate(numbers)]
+    got = {r.doc_id: r.dropped for r in lines.dedup_lines(spark.createDataFrame(rows, DOC)).collect()}
+    assert got[2000] == [1] and got[3000] == []  # three constant words are no long template
+    for c, (n, texts, gone) in enumerate(cases):
+        assert all(got[100 * c + j] == [1] * gone for j in range(texts)), (n, texts)
+
+
 def test_empty(spark):
     assert lines.dedup_lines(spark.createDataFrame([], DOC)).collect() == []
