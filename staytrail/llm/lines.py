@@ -2,7 +2,7 @@
 
 Every line is parsed to a fixed depth: its number of words, then its leading words, with variable words (such with
 digits, addresses, identifiers) as wildcards.  Below that leaf the line stands for several templates: its masked
-words as they are, and the same with one of FIELDS runs of words as a wildcard.  A template that occurs in enough
+words as they are, the same with one of FIELDS runs of words as a wildcard, and its words unmasked.  A template that occurs in enough
 distinct texts, the fewer the longer it is, is recurring, and the lines that have one are dropped.
 
 All templates of a line follow from the line alone, so the tree is never held anywhere: templates are counted by
@@ -23,7 +23,7 @@ from .common import bounded_batches, stage, text_or_empty
 
 LEADING = 2       # leading words on the path to a leaf
 FIELDS = 4        # runs of words after them that may each be variable
-CONSTANT = 3      # a template needs so many constant words
+CONSTANT = 3      # a template with variable words needs so many constant ones
 #: (from so many constant words on, distinct texts in which a recurring template occurs), at most four; chance makes
 #: short lines recur, hardly ever long ones
 MIN_TEXTS = ((0, 10), (8, 5), (16, 3), (32, 2))
@@ -50,6 +50,8 @@ def templates(line: bytes) -> list[int]:
     rest = masked[LEADING:]
     constant = n - masked.count(b"<*>")
     out = []
+    if constant < n:
+        out.append(_hash(b"=%d " % n + b" ".join(words), n, 0))
     if constant >= min(n, CONSTANT):
         out.append(_hash(leaf + b"\n" + b" ".join(rest), constant, n - constant))
     if len(rest) >= FIELDS:

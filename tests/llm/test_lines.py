@@ -91,5 +91,14 @@ def test_long_lines_need_fewer_texts(spark):
         assert all(got[100 * c + j] == [1] * gone for j in range(texts)), (n, texts)
 
 
+def test_verbatim_lines_of_variable_words(spark):
+    same = ["Page 3 of 10", "Copyright 2024 Acme", "https://share.example/x?id=77", "editor@example.org", "17"]
+    rows = [(i, "\n".join([f"own line of text {chr(97 + i)} here", *same, f"Page {i} of 99", f"https://own.example/{i}"]), "en", "s", 1)
+            for i in range(10)]
+    rows.append((50, "Page 3  of\t10\nPage 3 of 11", "en", "s", 1))
+    got = {r.doc_id: r.dropped for r in lines.dedup_lines(spark.createDataFrame(rows, DOC)).collect()}
+    assert all(set(got[i]) >= {1, 2, 3, 4, 5} and not {6, 7} & set(got[i]) for i in range(10)) and got[50] == [0]
+
+
 def test_empty(spark):
     assert lines.dedup_lines(spark.createDataFrame([], DOC)).collect() == []
