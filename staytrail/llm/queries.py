@@ -33,7 +33,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict for every url of pages."""
-    return urls.judge_urls(_table(spark, sf_dir, "pages", "page_id", "url"))
+    return urls.judge_urls(_table(spark, sf_dir, "pages", "page_id", "url"), apart=True)
 
 
 def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:

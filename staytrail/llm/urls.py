@@ -4,7 +4,9 @@ A url gets a host and a path.  Rules (verdict, host, path prefix) judge it if on
 others a tree of path templates is grown per host, level by level over the distinct path shapes: segments that look
 variable (numbers, identifiers) become wildcards row by row; in the tree, rare branches are generalised to ``*`` and
 branches whose labelled shares of bad urls don't differ statistically are merged.  A template is rejected if its
-smoothed share of bad labels is high.  Labels are whatever the caller gives, by default the rules' own verdicts.
+smoothed share of bad labels is high.  With ``apart``, as registered, rare branches too merge only with such of like
+labels, mostly unlabelled branches only with each other, and an unlabelled url counts as half bad, so that a template
+of mostly unjudged urls is never rejected.  Labels are whatever the caller gives, by default the rules' own verdicts.
 """
 
 from __future__ import annotations
@@ -57,8 +59,9 @@ def path_shape(path: str) -> Column:
     return F.when(F.size(segments) > DEPTH, F.concat(short, F.array(F.lit("**")))).otherwise(short)
 
 
-def template_tree(shapes: DataFrame) -> DataFrame:
+def template_tree(shapes: DataFrame, apart: bool = False) -> DataFrame:
     """(host, shape, template, purity, labelled) from distinct (host, shape, n, labelled, bad)."""
+    judged = 2 * F.col("labelled") >= F.col("n") if apart else F.lit(True)
     tree = shapes.withColumn("template", F.lit(""))
     for d in range(DEPTH + 1):
         tree = stage(tree.withColumn("s", F.get("shape", F.lit(d))), "tree")
@@ -69,13 +72,15 @@ def template_tree(shapes: DataFrame) -> DataFrame:
         smooth = (F.col("bad") + 1) / (F.col("labelled") + 2)
         band = (F.when(F.col("labelled") < MIN_LABELLED, F.lit(None)).when(smooth < 0.1, F.lit("good"))
                 .when(smooth < 0.5, F.lit("fair")).when(smooth < 0.9, F.lit("poor")).otherwise(F.lit("bad")))
-        branch = branch.join(node, ["host", "template"]).withColumn("rare", rare).withColumn("band", band)
-        classes = (branch.filter("not rare and band is not null").groupBy("host", "template", "band")
+        few = F.when(2 * F.col("bad") > F.col("labelled"), F.lit("few-bad")).otherwise("few-good") if apart else F.lit(None)
+        branch = (branch.join(node, ["host", "template"]).withColumn("rare", rare)
+                  .withColumn("band", F.when(judged, F.when(F.col("rare"), few).otherwise(band))))
+        classes = (branch.filter("band is not null").groupBy("host", "template", "band")
                    .agg(F.sum("labelled").alias("class_labelled"), F.sum("bad").alias("class_bad")))
         p = F.col("class_bad") / F.col("class_labelled")
         off = F.abs(F.col("bad") / F.col("labelled") - p) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) / F.col("labelled"))
-        name = (F.when(F.col("rare"), F.lit("*")).when(F.col("band").isNotNull() & (off <= Z), F.concat(F.lit("*"), F.col("band")))
-                .otherwise(F.col("s")))
+        name = (F.when(F.col("rare") & F.col("band").isNull(), F.lit("*"))
+                .when(F.col("band").isNotNull() & (off <= Z), F.concat(F.lit("*"), F.col("band"))).otherwise(F.col("s")))
         named = (branch.join(classes, ["host", "template", "band"], "left")
                  .select("host", "template", "s", name.alias("name")))
         tree = (tree.join(named, ["host", "template", "s"], "left")
@@ -83,16 +88,19 @@ def template_tree(shapes: DataFrame) -> DataFrame:
                             .otherwise(F.concat(F.col("template"), F.lit("/"), F.col("name"))))
                 .select("host", "shape", "n", "labelled", "bad", "template"))
     tree = stage(tree, "templates")
-    pure = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    pure = pure.select("host", "template", "labelled", ((F.col("bad") + 1) / (F.col("labelled") + 2)).alias("purity"))
+    pure = tree.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
+    open_ = F.col("n") - F.col("labelled") if apart else F.lit(0)
+    purity = (F.col("bad") + open_ / 2 + 1) / (F.col("labelled") + open_ + 2)
+    pure = pure.select("host", "template", "labelled", purity.alias("purity"))
     return tree.select("host", "shape", "template").join(pure, ["host", "template"])
 
 
-def judge_urls(pages: DataFrame, rules=RULES, bad: Column | None = None) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, bad: Column | None = None, apart: bool = False) -> DataFrame:
     """Per row of ``pages``: page_id, host, path, rule, verdict, template, purity.
 
     ``bad`` labels urls (true, false or null) and may use the columns host, path, rule and rule_verdict; by
-    default a url that a rule blocks is bad and one that it allows is good.  Null urls and such without ``://``
+    default a url that a rule blocks is bad and one that it allows is good.  ``apart`` keeps unlabelled urls out of
+    the verdict of labelled ones' templates.  Null urls and such without ``://``
     have empty host and path and are judged with their kind.  A template without enough labels is allowed.
     Repeated rows and ids are judged alike; an empty table gives an empty result; further columns are ignored.
     """
@@ -103,7 +111,7 @@ def judge_urls(pages: DataFrame, rules=RULES, bad: Column | None = None) -> Data
                  .withColumn("shape", path_shape("path")).withColumn("bad", label), "urls")
     shapes = rows.groupBy("host", "shape").agg(
         F.count("*").alias("n"), F.count("bad").alias("labelled"), F.sum(F.when(F.col("bad"), 1).otherwise(0)).alias("bad"))
-    tree = template_tree(shapes)
+    tree = template_tree(shapes, apart)
     method = F.when((F.col("labelled") >= MIN_LABELLED) & (F.col("purity") >= REJECT), "block").otherwise("allow")
     return rows.drop("bad").join(tree, ["host", "shape"], "left").select(
         "page_id", "host", "path", "rule", F.coalesce("rule_verdict", method).alias("verdict"), "template", "purity")

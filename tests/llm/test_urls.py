@@ -4,7 +4,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from staytrail.llm import urls
+from staytrail.llm import queries, urls
 
 PAGES = "page_id long, url string, html string, host string, rule string, n long"
 ODD = [None, "", "no scheme/at/all", "http://", "http://EXAMPLE.com", "http://Example.COM/en/x", "http://a.example.com/en/", "http://www.example.com/en/1",
@@ -131,5 +131,27 @@ def test_given_labels(spark):
     assert "allow" in {v for _, h, p, *_, v, _ in got if h == "shop.org" and p.startswith("/en/")}
 
 
+def test_registered_query_does_not_judge_pages_by_their_neighbours(spark, tmp_path):
+    """On .net the rules block /es/ and /fr/ and say nothing on the rest, which must not fall with them."""
+    urls_ = [f"https://{h}.example.net/{first}/{i}" for h, n in (("a", 3), ("b", 6), ("c", 40)) for i in range(n)
+             for first in ("es", "fr", "de", "en", f"tag{chr(97 + i % 26)}")]
+    urls_ += [f"https://d.example.net/{first}/{i}" for i in range(6) for first in ("es", "fr")] + ["https://d.example.net/de/3308"]
+    pages(spark, list(enumerate(urls_))).write.parquet(f"{tmp_path}/pages.parquet")
+    out = queries.op4_url_filter(spark, str(tmp_path)).collect()
+    assert len(out) == len(urls_) and {r.verdict for r in out if r.rule is None} == {"allow"}
+    assert {r.verdict for r in out if r.rule} == {"block"}
+
+
+def test_apart_still_rejects_bad_templates(spark):
+    """Bad branches that are mostly labelled go, rare ones together; a mostly unlabelled one stays."""
+    rows = [(i, f"https://shop.org/spam/{i}") for i in range(100)] + [(200 + i, f"https://shop.org/ads/{i}") for i in range(100)]
+    rows += [(400 + i, f"https://shop.org/junk{chr(97 + i % 20)}/{i}") for i in range(40)]
+    rows += [(500 + i, f"https://shop.org/own{chr(97 + i % 20)}/{i}") for i in range(40)]
+    path, end = F.col("path"), F.col("path").substr(-1, 1)
+    bad = F.when(path.rlike("^/(spam|junk)") & (end != "3"), True).when(path.startswith("/ads") & (end == "3"), True)
+    got = {r.page_id: r.verdict for r in urls.judge_urls(pages(spark, rows), bad=bad, apart=True).collect()}
+    assert all(got[i] == ("block" if i < 100 or 400 <= i < 500 and i % 10 != 3 else "allow") for i, _ in rows)  # no label of junkd, junkn
+
+
 def test_empty(spark):
     assert urls.judge_urls(spark.createDataFrame([], PAGES)).collect() == []
