@@ -54,6 +54,16 @@ def parse_header(header: bytes) -> dict[str, str]:
     return dict(x.split(": ", 1) for x in lines)
 
 
+def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
+    """(header fields, block) of the bytes of one whole record."""
+    at = record.index(b"\r\n\r\n") + 4
+    h = parse_header(record[:at])
+    end = at + int(h["Content-Length"])
+    if record[end:] != b"\r\n\r\n":
+        raise ValueError(f"record {h['WARC-Record-ID']} does not fit its header")
+    return h, record[at:end]
+
+
 def write_archive(pages: DataFrame, path: str, min_payload: int = 0) -> None:
     """Archive ``pages`` (``page_id``, ``url``, ``html``; further columns are ignored) under ``path``.
 
@@ -107,7 +117,8 @@ def read_archive(spark: SparkSession, path: str, with_records: bool = True) -> D
     """RECORDS of the archive at ``path``, each rebuilt from its header and payload and parsed again.
 
     A payload whose bytes don't have the stored digest, or a record whose length is not its header's, raises.
-    ``record`` is the exact WARC record (null with ``with_records=False``); payload_bytes and payload_digest are of
+    All columns come from parsing the record's bytes.  ``record`` is the exact WARC record (null with
+    ``with_records=False``, when the bytes are made and parsed but not returned); payload_bytes and payload_digest are of
     the full payload also for revisits, whose own block is empty.
     """
     bounded_batches(spark)
@@ -124,16 +135,18 @@ def read_archive(spark: SparkSession, path: str, with_records: bool = True) -> D
                 data = unpack.decompress(packed)
                 if hashlib.sha256(data).hexdigest() != digest:
                     raise ValueError(f"payload {digest} is damaged")
-                h = parse_header(header)
-                block = b"" if h["WARC-Type"] == "revisit" else data
-                sha1 = base64.b32encode(hashlib.sha1(data).digest()).decode()
-                if int(h["Content-Length"]) != len(block) or h["WARC-Payload-Digest"] != f"sha1:{sha1}":
+                revisit = parse_header(header)["WARC-Type"] == "revisit"
+                record = header + (b"" if revisit else data) + b"\r\n\r\n"
+                h, block = parse_record(record)
+                full = data if revisit else block  # a revisit's payload is that of the record it refers to
+                sha1 = base64.b32encode(hashlib.sha1(full).digest()).decode()
+                if h["WARC-Payload-Digest"] != f"sha1:{sha1}":
                     raise ValueError(f"record {h['WARC-Record-ID']} does not fit its header")
                 url = h.get("WARC-Target-URI")
                 if "WARC-Target-URI-Base64" in h:
                     url = base64.b64decode(h["WARC-Target-URI-Base64"]).decode("utf-8", "surrogatepass")
-                out.append((number(h, "WARC-Page-ID"), len(data), sha1, h["WARC-Type"], number(h, "WARC-Refers-To-Page-ID"),
-                            url, header + block + b"\r\n\r\n" if with_records else None))
+                out.append((number(h, "WARC-Page-ID"), len(full), sha1, h["WARC-Type"], number(h, "WARC-Refers-To-Page-ID"),
+                            url, record if with_records else None))
             cols = list(zip(*out)) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
                 cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()))], names)

@@ -56,5 +56,17 @@ def test_damage_is_noticed(spark, tmp_path):
         warc.read_archive(spark, path).collect()
 
 
+def test_records_are_parsed_without_being_returned(spark, tmp_path):
+    """A header without its empty line only shows when the whole record is parsed."""
+    path = archive(spark, tmp_path, ROWS[:1])
+    rows = [r.asDict() | {"header": bytes(r.header)[:-4] + b"\r\nX: y"} for r in spark.read.parquet(f"{path}/headers").collect()]
+    spark.createDataFrame([tuple(r[c] for c in ("rec_no", "page_id", "sha256", "n_bytes", "record_type", "header")) for r in rows],
+                          warc.HEADERS).write.mode("overwrite").parquet(f"{path}/headers")
+    with pytest.raises(Exception, match="does not fit"):
+        warc.read_archive(spark, path, with_records=False).collect()
+    h, block = warc.parse_record(b"WARC/1.0\r\nContent-Length: 3\r\n\r\na\r\n" + b"\r\n\r\n")
+    assert h["Content-Length"] == "3" and block == b"a\r\n"
+
+
 def test_empty(spark, tmp_path):
     assert warc.read_archive(spark, archive(spark, tmp_path, [])).collect() == []
