@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lines, minhash, mixing, quality, sharding, suffix, tokens, urls, warc
+from . import decontam, lines, minhash, mixing, quality, sharding, suffix, tokens, urls, vectors, warc
 from .common import fresh_path
 
 
@@ -72,6 +72,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        _table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of embeddings: four parts, codebooks of 256 entries refined in four rounds."""
+    return vectors.compress_vectors(_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS sk,
@@ -105,6 +110,47 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
+def _op11_sql(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """Every row against every entry, one chain of tables a round."""
+    ctes = [f"""
+k AS (
+  SELECT vec_id, embedding AS v, label FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+w AS (
+  SELECT len(v) // {parts} AS w FROM k GROUP BY len(v) ORDER BY count(*) DESC, len(v) DESC LIMIT 1),
+r AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, v) - 1 AS r, vec_id, label, v FROM k, w WHERE len(v) = {parts} * w),
+x AS MATERIALIZED (
+  SELECT r, p, list_transform(v[p * w + 1:(p + 1) * w], lambda x: floor({scale} * CAST(x AS DOUBLE))) AS v
+  FROM r, w, range({parts}) t(p)),
+b0 AS MATERIALIZED (SELECT p, r AS e, v AS c FROM x WHERE r < {entries})"""]
+    nearest = """
+a{i} AS MATERIALIZED (
+  SELECT r, x.p, any_value(x.v) AS v,
+         min({{'d': list_dot_product(x.v, x.v) - 2 * list_dot_product(x.v, c) + list_dot_product(c, c), 'e': e}}) AS m
+  FROM x JOIN b{i} b ON x.p = b.p GROUP BY r, x.p)"""
+    for i in range(rounds):
+        ctes.append(nearest.format(i=i))
+        ctes.append(f"""
+s{i} AS (
+  SELECT p, m.e AS e, j, CAST(sum(CAST(v[j] AS BIGINT)) AS BIGINT) AS s, count(*) AS n
+  FROM a{i}, w, range(1, w + 1) t(j) GROUP BY p, m.e, j),
+b{i + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(n.c, b.c) AS c FROM b{i} b LEFT JOIN (
+    SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY j) AS c FROM s{i} GROUP BY p, e) n USING (p, e))""")
+    ctes.append(nearest.format(i=rounds))
+    return "WITH" + ",".join(ctes) + f""",
+f AS (
+  SELECT r, string_agg(printf('%02x', CAST(m.e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY r),
+h AS (
+  SELECT sha256(string_agg(CAST(CAST(c[j] AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, j)) AS h
+  FROM b{rounds}, w, range(1, w + 1) t(j))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM f JOIN r USING (r), h
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_minhash": op2_minhash,
@@ -116,6 +162,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
+    "op11_vector_codes": op11_vector_codes,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_SQL, "op11_vector_codes": _op11_sql()}
