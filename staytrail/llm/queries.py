@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lines, minhash, mixing, quality, sharding, suffix, tokens, urls, vectors, warc
+from . import decontam, lines, minhash, mixing, quality, resample, sharding, suffix, tokens, urls, vectors, warc
 from .common import fresh_path
 
 
@@ -77,6 +77,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.compress_vectors(_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of documents drawn by their likeness to benchmark."""
+    return resample.resample(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "text"))
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS sk,
@@ -110,6 +115,55 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
+#: CRC-32 by the usual byte table, a run's bytes one after the other
+OP12_SQL = r"""
+WITH tab AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)),
+              lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i)),
+d AS (
+  SELECT 'd' AS side, row_number() OVER () AS r, doc_id, text FROM documents
+  UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark),
+w AS MATERIALIZED (
+  SELECT side, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
+f AS MATERIALIZED (
+  SELECT side, r, unnest(w) AS f FROM w
+  UNION ALL SELECT side, r, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w),
+h AS (SELECT DISTINCT f, hex(encode(f)) AS h FROM f),
+y AS (
+  SELECT f, generate_subscripts(range(length(h) // 2), 1) AS j, h FROM h),
+z AS (
+  SELECT f, list(16 * (instr('0123456789ABCDEF', substr(h, CAST(2 * j - 1 AS INTEGER), 1)) - 1)
+                 + instr('0123456789ABCDEF', substr(h, CAST(2 * j AS INTEGER), 1)) - 1 ORDER BY j) AS b FROM y GROUP BY f),
+c AS MATERIALIZED (
+  SELECT f, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[xor(c, x) % 256 + 1])), 4294967295) % 10000 AS k
+  FROM z, tab),
+n AS (
+  SELECT k, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM f JOIN c USING (f) GROUP BY k),
+a AS (SELECT sum(s) + 10000 AS s, sum(t) + 10000 AS t FROM n),
+g AS (
+  SELECT k, CAST(floor(1000 * ln(CAST((n.t + 1) * a.s AS DOUBLE) / CAST((n.s + 1) * a.t AS DOUBLE))) AS BIGINT) AS g FROM n, a),
+m AS (
+  SELECT r, count(*) AS n, CAST(sum(g) AS BIGINT) AS g FROM f JOIN c USING (f) JOIN g USING (k) WHERE side = 'd' GROUP BY r),
+e AS (
+  SELECT w.r, w.doc_id, len(w.w) AS words, coalesce(m.n, 0) AS n_features,
+         CASE WHEN m.n IS NULL THEN 0 ELSE (m.g - ((m.g % m.n) + m.n) % m.n) // m.n END AS weight,
+         list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(1, 9), lambda i:
+           CAST(instr('0123456789abcdef', substr(sha256('7:' || coalesce(CAST(w.doc_id AS VARCHAR), 'null')), CAST(i AS INTEGER), 1)) - 1 AS BIGINT))),
+           lambda q, x: 16 * q + x) AS h
+  FROM w LEFT JOIN m USING (r) WHERE side = 'd'),
+o AS (
+  SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM e),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS k,
+         count(*) FILTER (words >= 20) OVER () AS able FROM o)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+       CASE WHEN words >= 20 AND k <= 25 * able // 100 THEN k END AS rank
+FROM p
+"""
+
+
 def _op11_sql(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
     """Every row against every entry, one chain of tables a round."""
     ctes = [f"""
@@ -163,6 +217,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
     "op11_vector_codes": op11_vector_codes,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_SQL, "op11_vector_codes": _op11_sql()}
+ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_SQL, "op11_vector_codes": _op11_sql(), "op12_importance_resampling": OP12_SQL}
