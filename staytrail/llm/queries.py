@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lines, minhash, mixing, quality, resample, sharding, suffix, tokens, urls, vectors, warc
+from . import decontam, lines, minhash, mixing, quality, resample, sharding, suffix, tokens, toxicity, urls, vectors, warc
 from .common import fresh_path
 
 
@@ -82,6 +82,12 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "text"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from labels."""
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents", "doc_id", "text"),
+                                   _table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS sk,
@@ -218,6 +224,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
     "op11_vector_codes": op11_vector_codes,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_toxicity": op13_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_SQL, "op11_vector_codes": _op11_sql(), "op12_importance_resampling": OP12_SQL}
