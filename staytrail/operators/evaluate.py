@@ -109,29 +109,6 @@ def evaluate(df: DataFrame, logit: str = "logit", y: str = "y", weight: float |
     return acc.join(ranks, keys).select(*order)
 
 
-def fit_baseline(features: DataFrame, static_cols: Sequence[str], label: str = "label", max_iter: int = 50):
-    """Weighted logistic regression on static features (positives weighted by
-    negatives/positives), as a pyspark.ml model."""
-    from pyspark.ml import Pipeline as MLPipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    w = pos_weight(features, label).first()["pos_weight"]
-    train = features.withColumn("_w", F.when(F.col(label) == 1, F.lit(float(w))).otherwise(F.lit(1.0)))
-    stages = [VectorAssembler(inputCols=list(static_cols), outputCol="_x", handleInvalid="keep"),
-              LogisticRegression(featuresCol="_x", labelCol=label, weightCol="_w", maxIter=max_iter,
-                                 rawPredictionCol="_raw", probabilityCol="_prob", predictionCol="_pred_lr")]
-    return MLPipeline(stages=stages).fit(train)
-
-
-def score_with(model, df: DataFrame) -> DataFrame:
-    """Scored rows with a ``logit`` column from a fitted baseline."""
-    from pyspark.ml.functions import vector_to_array
-    out = model.transform(df)
-    raw = vector_to_array(F.col("_raw"))
-    return out.withColumn("logit", F.element_at(raw, 2) - F.element_at(raw, 1)).drop("_x", "_raw", "_prob", "_pred_lr")
-
-
 # -- result tables ------------------------------------------------------------
 
 METRIC_COLUMNS = ["training_losses", "validation_losses", "accuracy_scores", "precision_scores", "roc_auc_scores",

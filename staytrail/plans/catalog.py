@@ -22,6 +22,7 @@ from ..operators import codes as code_ops
 from ..operators import cohort as cohort_ops
 from ..operators import evaluate as eval_ops
 from ..operators import events as event_ops
+from ..operators import logistic
 from ..operators import sequences as seq_ops
 from ..operators import split as split_ops
 from ..operators import windows
@@ -403,13 +404,16 @@ def one_hot_reference_drop(spark, sf):
     return _melt(oh, dummies, "int")
 
 
-@register("select_columns_regex", B("""
+STATIC_SQL = """
 SELECT icustay_id, feature, CAST(value AS DOUBLE) AS value FROM one_hot_long
 UNION ALL SELECT icustay_id, 'los', los FROM cohort
 UNION ALL SELECT icustay_id, 'num_recent_admissions', CAST(num_recent_admissions AS DOUBLE) FROM cohort
 UNION ALL SELECT icustay_id, 'age', age FROM cohort
 UNION ALL SELECT icustay_id, 'pre_icu_los', pre_icu_los FROM cohort
-UNION ALL SELECT icustay_id, 'elective_surgery', CAST(elective_surgery AS DOUBLE) FROM cohort""", "one_hot_long", "cohort"))
+UNION ALL SELECT icustay_id, 'elective_surgery', CAST(elective_surgery AS DOUBLE) FROM cohort"""
+
+
+@register("select_columns_regex", B(STATIC_SQL, "one_hot_long", "cohort"))
 def select_columns_regex(spark, sf):
     oh, _ = _one_hot_long(spark, sf)
     static = split_ops.select_regex(oh.drop("subject_id", "hadm_id", "icustay_id", "intime", "outtime", "gender",
@@ -1075,31 +1079,99 @@ def last_category_features(spark, sf):
     return Flow(spark, sf).last_features
 
 
-def _baseline(spark, sf):
-    f = Flow(spark, sf)
-    feats = materialize(f.features.join(f.last_features, "icustay_id"), "baseline")
-    static = [c for c in feats.columns if c not in ("icustay_id", "subject_id", "label", "split", "dp", "dp_times", "cp",
-                                                    "cp_times")]
-    model = eval_ops.fit_baseline(split_ops.subset(feats, "train"), static, "label")
-    return feats, model
+def _newton_ctes(steps: int = logistic.STEPS, ridge: float = logistic.RIDGE) -> str:
+    """The regression in SQL over a table of non-zero features: every step adds up the system and eliminates it row by
+    row; returns the name of the last table of coefficients."""
+    O.cte("lr_x", ["one_hot_long", "cohort", "last_only", "split"], f"""
+SELECT x.icustay_id, x.feature, CAST(x.value AS DOUBLE) AS v, CAST(c.positive AS DOUBLE) AS y, s.split FROM (
+  {STATIC_SQL}
+  UNION ALL SELECT DISTINCT icustay_id, 'last ' || valuecat, 1.0::DOUBLE FROM last_only WHERE valuecat IN ({', '.join(map(O._q, LAST_LABELS))})
+  UNION ALL SELECT icustay_id, '', 1.0::DOUBLE FROM cohort) x
+JOIN cohort c ON x.icustay_id = c.icustay_id JOIN split s ON c.subject_id = s.subject_id WHERE x.value <> 0""")
+    O.cte("lr_j", ["lr_x"], "SELECT feature, row_number() OVER (ORDER BY feature) AS j FROM (SELECT DISTINCT feature FROM lr_x WHERE split = 'train')")
+    O.cte("lr_w", ["cohort", "split"], """
+SELECT sum(CASE WHEN c.positive THEN 0 ELSE 1 END) / CAST(sum(CASE WHEN c.positive THEN 1 ELSE 0 END) AS DOUBLE) AS w
+FROM cohort c JOIN split s ON c.subject_id = s.subject_id WHERE s.split = 'train'""")
+    O.cte("lr_t", ["lr_x", "lr_j", "lr_w"], """
+SELECT icustay_id, j, v, y, CASE WHEN y = 1 THEN w ELSE 1 END AS cw FROM lr_x JOIN lr_j ON lr_x.feature = lr_j.feature, lr_w
+WHERE split = 'train'""")
+    O.cte("lr_b0", ["lr_j"], "SELECT list(0.0::DOUBLE) AS b FROM lr_j")
+    for k in range(steps):
+        O.cte(f"lr_e{k}", ["lr_t", f"lr_b{k}"], f"""
+SELECT icustay_id, y, cw, 1 / (1 + exp(-sum(v * b[j]))) AS p FROM lr_t, lr_b{k} GROUP BY icustay_id, y, cw""")
+        O.cte(f"lr_h{k}", ["lr_t", f"lr_e{k}", f"lr_b{k}", "lr_j"], f"""
+SELECT a.j AS i, c.j AS j, sum(a.cw * e.p * (1 - e.p) * a.v * c.v) AS h
+FROM lr_t a JOIN lr_t c ON a.icustay_id = c.icustay_id JOIN lr_e{k} e ON a.icustay_id = e.icustay_id GROUP BY a.j, c.j
+UNION ALL SELECT j, j, {ridge}::DOUBLE FROM lr_j WHERE feature <> ''
+UNION ALL SELECT t.j, (SELECT count(*) + 1 FROM lr_j), sum(t.cw * (t.y - e.p) * t.v)
+FROM lr_t t JOIN lr_e{k} e ON t.icustay_id = e.icustay_id GROUP BY t.j
+UNION ALL SELECT j, (SELECT count(*) + 1 FROM lr_j), -{ridge}::DOUBLE * b[j] FROM lr_j, lr_b{k} WHERE feature <> ''""")
+        O.cte(f"lr_m{k}", [f"lr_h{k}", "lr_j"], f"""
+SELECT list(r ORDER BY i) AS m FROM (
+  SELECT i, list(h ORDER BY j) AS r FROM (
+    SELECT g.i, g.j, coalesce(sum(h.h), 0.0::DOUBLE) AS h
+    FROM (SELECT x.j AS i, y.j FROM lr_j x, (SELECT j FROM lr_j UNION ALL SELECT count(*) + 1 FROM lr_j) y) g
+    LEFT JOIN lr_h{k} h ON g.i = h.i AND g.j = h.j GROUP BY g.i, g.j) GROUP BY i)""")
+        O.cte(f"lr_s{k}", [f"lr_m{k}"], f"""
+SELECT 0 AS k, m FROM lr_m{k}
+UNION ALL SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN r
+  ELSE list_transform(r, lambda x, q: x - r[k + 1] * (m[k + 1][q] / m[k + 1][k + 1])) END) FROM lr_s{k} WHERE k < len(m)""")
+        O.RECURSIVE.add(f"lr_s{k}")
+        O.cte(f"lr_b{k + 1}", [f"lr_b{k}", f"lr_s{k}"], f"""
+SELECT list_transform(b, lambda x, i: x + m[i][len(m) + 1] / m[i][i]) AS b FROM lr_b{k}, (SELECT m FROM lr_s{k} WHERE k = len(m))""")
+    O.cte("lr_scored", ["lr_x", "lr_j", f"lr_b{steps}"], f"""
+SELECT icustay_id, y, round(sum(coalesce(v * b[j], 0.0::DOUBLE)), 6) AS logit
+FROM lr_x LEFT JOIN lr_j ON lr_x.feature = lr_j.feature, lr_b{steps} WHERE split = 'test' GROUP BY icustay_id, y""")
+    return "lr_scored"
+
+
+_newton_ctes()
 
 
-@register("static_logistic_baseline", None)
+def _baseline(spark, sf):
+    """(features with the most recent categories, logit of every test stay rounded to 6 places)."""
+    f = Flow(spark, sf)
+    cohort = f.cohort
+    oh = split_ops.one_hot(cohort, f.categories, rules.ONE_HOT_BASELINES)
+    static = split_ops.select_regex(oh.drop("subject_id", "hadm_id", "icustay_id", "intime", "outtime", "gender", "positive"),
+                                    rules.STATIC_PATTERN)
+    cols = static + LAST_LABELS
+    feats = (split_ops.attach_split(oh.withColumn("label", F.col("positive").cast("double")), f.split)
+             .join(f.last_features, "icustay_id").select("icustay_id", "label", "split", *[f"`{c}`" for c in cols]))
+    feats = materialize(feats, "baseline")
+    train = split_ops.subset(feats, "train")
+    beta = logistic.fit(train, cols, "label")
+    scored = logistic.score(split_ops.subset(feats, "test"), cols, beta)
+    return train, scored.select("icustay_id", F.col("label").alias("y"), r6("logit").alias("logit"))
+
+
+@register("static_logistic_baseline", B("SELECT icustay_id, logit FROM lr_scored", "lr_scored"))
 def static_logistic_baseline(spark, sf):
-    """Weighted logistic regression on the static features of the training part;
-    returns the logit of every test stay (rows-only check)."""
-    feats, model = _baseline(spark, sf)
-    return eval_ops.score_with(model, split_ops.subset(feats, "test")).select("icustay_id", "logit")
-
-
-@register("score_and_evaluate", None)
+    """Logit of every test stay by the weighted logistic regression on the static features and the most recent
+    categories of the training part."""
+    return _baseline(spark, sf)[1].select("icustay_id", "logit")
+
+
+@register("score_and_evaluate", B("""
+SELECT a.accuracy, a.f1, r.average_precision, r.roc_auc, a.loss FROM (
+  SELECT round((tp + tn) / CAST(n AS DOUBLE), 6) AS accuracy,
+         round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END, 6) AS f1, round(loss, 6) AS loss
+  FROM (SELECT count(*) AS n, count(*) FILTER (p > 0.5 AND y = 1) AS tp, count(*) FILTER (p <= 0.5 AND y = 0) AS tn,
+               count(*) FILTER (p > 0.5 AND y = 0) AS fp, count(*) FILTER (p <= 0.5 AND y = 1) AS fn,
+               sum((1 - y) * logit + (1 + (w - 1) * y) * (ln(1 + exp(-abs(logit))) + greatest(-logit, 0))) AS loss
+        FROM (SELECT *, 1 / (1 + exp(-logit)) AS p FROM lr_scored, lr_w))) a, (
+  SELECT round(sum((tp - ptp) / n1 * (tp / (tp + fp))), 6) AS average_precision,
+         round(sum((fp - pfp) * (tp + ptp) / 2) / (n1 * n0), 6) AS roc_auc
+  FROM (SELECT *, lag(tp, 1, 0) OVER (ORDER BY logit DESC) AS ptp, lag(fp, 1, 0) OVER (ORDER BY logit DESC) AS pfp,
+               max(tp) OVER () AS n1, max(fp) OVER () AS n0
+        FROM (SELECT DISTINCT logit, CAST(sum(y) OVER (ORDER BY logit DESC) AS DOUBLE) AS tp,
+                     CAST(sum(1 - y) OVER (ORDER BY logit DESC) AS DOUBLE) AS fp FROM lr_scored))
+  GROUP BY n1, n0) r""", "lr_scored", "lr_w"))
 def score_and_evaluate(spark, sf):
-    """All six metrics of the baseline on the test part (one row)."""
-    feats, model = _baseline(spark, sf)
-    scored = eval_ops.score_with(model, split_ops.subset(feats, "test")).withColumnRenamed("label", "y")
-    scored = scored.select("icustay_id", "y", "logit")
-    train_w = eval_ops.pos_weight(split_ops.subset(feats, "train"), "label")
-    return eval_ops.evaluate(scored, "logit", "y", weight=train_w)
+    """All metrics of the baseline on the test part (one row), with the training part's class weight in the loss."""
+    train, scored = _baseline(spark, sf)
+    found = eval_ops.evaluate(scored, "logit", "y", weight=eval_ops.pos_weight(train, "label"))
+    return found.select(*[r6(c).alias(c) for c in ("accuracy", "f1", "average_precision", "roc_auc", "loss")])
 
 
 # =============================================================================

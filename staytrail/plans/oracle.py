@@ -89,6 +89,10 @@ BINNED_IN = "(" + ", ".join(_q(t) for t in rules.BINNED_TYPES) + ")"
 CTES: dict[str, tuple[list[str], str]] = {}
 
 
+#: names of tables that are defined by recursion
+RECURSIVE: set[str] = set()
+
+
 def cte(name: str, deps: list[str], body: str) -> None:
     CTES[name] = (deps, body)
 
@@ -384,4 +388,4 @@ def build(final: str, *names: str) -> str:
         visit(n)
     if not order:
         return final
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order) + "\n" + final
+    return ("WITH RECURSIVE " if any(n in RECURSIVE for n in order) else "WITH ") + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order) + "\n" + final

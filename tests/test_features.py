@@ -53,9 +53,7 @@ def test_sorted_outputs_are_in_order(spark):
 
 
 def test_model_metrics_equal_sql_over_the_exported_scores(spark):
-    feats, model = catalog._baseline(spark, SF)
-    scored = evaluate.score_with(model, split.subset(feats, "test")).select("icustay_id", F.col("label").alias("y"), "logit")
-    train = split.subset(feats, "train")
+    train, scored = catalog._baseline(spark, SF)
     weight = evaluate.pos_weight(train, "label").first()[0]
     got = evaluate.evaluate(scored, "logit", "y", weight=weight).first()
     rows = scored.toPandas()  # noqa: F841  (read by DuckDB)
@@ -70,7 +68,7 @@ def test_model_metrics_equal_sql_over_the_exported_scores(spark):
     assert got.average_precision == pytest.approx(ap, abs=1e-9) and got.roc_auc == pytest.approx(auc, abs=1e-9)
     assert got.accuracy == pytest.approx(acc) and got.f1 == pytest.approx(f1) and got.loss == pytest.approx(loss, rel=1e-6)
     n = duckdb.sql("SELECT count(*), count(DISTINCT icustay_id) FROM rows").fetchall()[0]
-    assert n[0] == n[1] == split.subset(feats, "test").count() > 0
+    assert n[0] == n[1] == catalog.test_subjects(spark, SF).count() > 0
 
 
 def test_attrition_expectations(spark):
