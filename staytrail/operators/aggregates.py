@@ -17,16 +17,22 @@ def value_counts(df: DataFrame, col: str, out: str = "n") -> DataFrame:
     return df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).cast("long").alias(out))
 
 
+#: frequent values, over all columns, up to which they are compared as a literal set without a join
+LITERAL_VALUES = 1000
+
+
 def lump_rare(df: DataFrame, cols: Sequence[str], min_count: int, other: str,
-              materialize_input: bool = True) -> DataFrame:
+              materialize_input: bool = True, literal_values: int = LITERAL_VALUES) -> DataFrame:
     """Replace values seen fewer than ``min_count`` times by ``other``; nulls stay.
 
     One scan counts every listed column (explode of (column, value) pairs, hash
     aggregate with map-side combine, so a hot value is pre-aggregated before the
-    shuffle).  Only the *frequent* values (at most rows / min_count per column)
-    are looked up again, with ``lookup_join``: broadcast when their counted
-    number is small, else dealt by value and salt, so the rows of a hot value
-    are never gathered.
+    shuffle).  The *frequent* values (at most rows / min_count per column) are
+    written once, and a column looks its values up in that table with
+    ``lookup_join``, so the rows of a hot value are never gathered.  Of several
+    columns up to ``literal_values`` frequent values in all are read by the driver
+    instead and become sets in the plan, so that one pass without a join replaces
+    all columns.
 
     The input is read twice (counts, lookup), so by default it is written once
     to the shared folder instead of being recomputed.
@@ -39,12 +45,17 @@ def lump_rare(df: DataFrame, cols: Sequence[str], min_count: int, other: str,
     freq = materialize(pairs.select("_p._c", "_p._v").filter(F.col("_v").isNotNull())
                        .groupBy("_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
                        .filter(F.col("_n") >= F.lit(min_count)), "frequent")
+    lumped = lambda c, kept: F.when(F.col(c).isNull() | kept, F.col(c)).otherwise(F.lit(other)).alias(c)
+    few = freq.select("_c", "_v").limit(literal_values + 1).collect() if len(cols) > 1 else []
+    if 0 < len(few) <= literal_values:
+        sets = {c: [r["_v"] for r in few if r["_c"] == c] for c in cols}
+        return df.select(*[lumped(c, F.col(c).cast("string").isin(sets[c])) if c in sets else c for c in df.columns])
+    rows = {r["_c"]: r["n"] for r in freq.groupBy("_c").agg(F.count(F.lit(1)).alias("n")).collect()}
     out, order = df, df.columns
     for c in cols:
         keep = freq.filter(F.col("_c") == F.lit(c)).select(F.col("_v").alias(c), F.lit(True).alias("_keep"))
-        out = (lookup_join(out, keep, c)
-               .withColumn(c, F.when(F.col(c).isNotNull() & F.col("_keep").isNull(), F.lit(other)).otherwise(F.col(c)))
-               .select(*order))
+        out = lookup_join(out, keep, c, rows=rows.get(c, 0))
+        out = out.select(*[lumped(c, F.col("_keep").isNotNull()) if x == c else x for x in order])
     return out
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import strings, timefns
+from ..functions.timefns import MICROS_PER_DAY, epoch_micros
+from ..session import materialize
 from .aggregates import lump_rare
-from .joins import left_join_many
 
 
 def union_tagged(tables: Mapping[str, DataFrame], code: str = "icd9_code") -> DataFrame:
@@ -33,17 +34,42 @@ def known_by(df: DataFrame, known_at: str = "admittime", as_of: str = "outtime")
     return df.filter(F.coalesce(F.col(known_at) <= F.col(as_of), F.lit(True)))
 
 
+#: width of the time buckets of the history join
+BUCKET_DAYS = 30
+#: bucket of history rows without a time; it lies before all others
+UNTIMED = -2 ** 62
+
+
+def bucket_pairs(asked: DataFrame, hist: DataFrame, key: str) -> DataFrame:
+    """``asked`` (key, _list: buckets of its key, _sb: its own or null) with the rows of ``hist`` (key, _hb) in its own
+    and earlier buckets."""
+    upto = F.filter("_list", lambda b: F.col("_sb").isNull() | (b <= F.col("_sb")))
+    return asked.withColumn("_hb", F.explode(upto)).drop("_list").join(hist, [key, "_hb"])
+
+
 def point_in_time_history(stays: DataFrame, history: DataFrame, key: str = "subject_id",
-                          known_at: str = "admittime", as_of: str = "outtime") -> DataFrame:
-    """Each stay with every history row of its key that was known by the stay's
-    end.  Left equi-join on the key then the as-of filter *after* the join: a stay
-    whose rows are all in the future disappears, a stay without rows keeps one
-    null row.  History rows are deduplicated first, which cannot change the
-    deduplicated result and shrinks the fan-out of the many-to-many join.  The
-    outer join is an inner join plus unmatched stays, so a subject with very
-    many codes can be split by AQE's skew handling."""
-    hist = history.dropDuplicates()
-    return known_by(left_join_many(stays, hist, key), known_at, as_of)
+                          known_at: str = "admittime", as_of: str = "outtime", bucket_days: int = BUCKET_DAYS) -> DataFrame:
+    """Each stay with every history row of its key that was known by the stay's end.
+
+    Rows are kept as by a left join on the key followed by the as-of filter: a stay
+    whose rows are all in the future disappears, a stay without rows keeps one null
+    row, rows or stays without a time match.  History rows are deduplicated first.
+
+    The join is by time bucket.  A key's non-empty buckets are a short list; a stay
+    takes those up to its own from it and meets history by (key, bucket).  Rows of
+    earlier buckets are known without a look at their times, only the stay's own
+    bucket is filtered, and later ones are never joined.  A subject with very many
+    codes is split by its buckets, and further by adaptive skew handling."""
+    bucket = lambda t: F.floor(epoch_micros(t) / F.lit(bucket_days * MICROS_PER_DAY)).cast("long")
+    hist = history.dropDuplicates().withColumn("_hb", F.coalesce(bucket(known_at), F.lit(UNTIMED)))
+    hist = materialize(hist.filter(F.col(key).isNotNull()), "history")
+    lists = hist.groupBy(key).agg(F.collect_set("_hb").alias("_list"))
+    asked = stays.join(lists, key, "left").withColumn("_sb", bucket(as_of))
+    others = [c for c in history.columns if c != key]
+    met = bucket_pairs(asked.filter(F.col("_list").isNotNull()), hist, key)
+    known = met.filter(F.col("_sb").isNull() | (F.col("_hb") < F.col("_sb")) | (F.col(known_at) <= F.col(as_of)))
+    columns = [key, *[c for c in stays.columns if c != key]]
+    return known.select(*columns, *others).unionByName(asked.filter(F.col("_list").isNull()).select(*columns), allowMissingColumns=True)
 
 
 def diag_proc(cohort: DataFrame, diagnoses: DataFrame, procedures: DataFrame, admissions: DataFrame,

@@ -94,9 +94,10 @@ def attrition(stays: DataFrame, patients: DataFrame, *, dob_cutoff_year: int = 2
     """Funnel table: distinct subjects, distinct stays, positives and early deaths
     after each cohort step.
 
-    Stays and patients are joined once and written with their step flags; the
-    adults among them get their label, and the six rows come from one conditional
-    aggregate over all rows."""
+    Stays and patients are joined once and written; the adults among them get
+    their label.  Every row carries its steps as bits, which are or-ed per stay and
+    per subject (combined before the exchange) and counted by step, so that a
+    distinct count costs one row a stay and subject and no row is expanded."""
     df = join_stays_patients(stays, with_birthdate_shift(patients, "dob", dob_cutoff_year))
     df = with_age(df).withColumn("_alive", ~died_in_stay())
     df = df.withColumn("_adult", F.col("_alive") & F.coalesce(F.col("age") >= F.lit(float(rules.MIN_AGE_YEARS)), F.lit(False)))
@@ -106,18 +107,26 @@ def attrition(stays: DataFrame, patients: DataFrame, *, dob_cutoff_year: int = 2
     flags = adults.select(*cols, "positive", "_early", (F.col("positive") | ~F.col("_early")).alias("_eligible"))
     no = F.lit(False)
     flags = flags.unionByName(df.filter("not _adult").select(*cols, no.alias("positive"), no.alias("_early"), no.alias("_eligible")))
-    steps = [("joined", F.lit(True)), ("survived_stay", F.col("_alive")), ("adult", F.col("_adult")), ("positive", F.col("positive")),
-             ("early_death", F.col("_early")), ("eligible", F.col("_eligible"))]
-    aggs = []
-    for i, (name, cond) in enumerate(steps):
-        if name in ("positive", "early_death"):
-            aggs += [F.lit(None).cast("long").alias(f"s{i}"), F.sum(cond.cast("long")).alias(f"n{i}")]
-        else:
-            aggs += [F.countDistinct(F.when(cond, F.col(c))).cast("long").alias(f"{x}{i}") for x, c in (("s", "subject_id"), ("n", "icustay_id"))]
-    one = flags.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(i + 1).alias("step"), F.lit(name).alias("stage"), F.col(f"s{i}").alias("subjects"),
-                              F.col(f"n{i}").alias("stays")) for i, (name, _) in enumerate(steps)])
-    return one.select(F.explode(rows).alias("r")).select("r.*")
+    distinct = {"joined": F.lit(True), "survived_stay": F.col("_alive"), "adult": F.col("_adult"), "eligible": F.col("_eligible")}
+    bits = sum((F.when(cond, 1 << i).otherwise(0) for i, cond in enumerate(distinct.values())), F.lit(0))
+    steps = materialize(flags.groupBy("subject_id", "icustay_id").agg(
+        F.bit_or(bits).alias("bits"), F.sum(F.col("positive").cast("long")).alias("positive"),
+        F.sum(F.col("_early").cast("long")).alias("early_death")), "attrition_steps")
+
+    def counted(key: str) -> DataFrame:
+        """(one row) how many values of ``key`` reach each step."""
+        per_key = steps.filter(F.col(key).isNotNull()).groupBy(key).agg(F.bit_or("bits").alias("bits"))
+        return per_key.agg(*[F.count(F.when(F.col("bits").bitwiseAND(1 << i) != 0, 1)).alias(f"{key}_{name}")
+                             for i, name in enumerate(distinct)])
+
+    one = (steps.agg(F.sum("positive").alias("positive"), F.sum("early_death").alias("early_death"))  # one row each
+           .crossJoin(F.broadcast(counted("subject_id"))).crossJoin(F.broadcast(counted("icustay_id"))))
+    rows = []
+    for i, name in enumerate(["joined", "survived_stay", "adult", "positive", "early_death", "eligible"], 1):
+        subjects = F.col(f"subject_id_{name}") if name in distinct else F.lit(None).cast("long")
+        rows.append(F.struct(F.lit(i).alias("step"), F.lit(name).alias("stage"), subjects.alias("subjects"),
+                             F.col(f"icustay_id_{name}" if name in distinct else name).alias("stays")))
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def expect_counts(funnel: DataFrame, expected: dict[str, tuple[int | None, int]]) -> list[str]:

@@ -29,15 +29,18 @@ def left_join_many(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def lookup_join(df: DataFrame, table: DataFrame, key: str, how: str = "left", broadcast_rows: int | None = None,
-                salts: int = SALTS) -> DataFrame:
+                salts: int = SALTS, rows: int | None = None) -> DataFrame:
     """``df`` joined to ``table`` (one row per ``key``) so that a hot key never lands in one task.
 
     The table is computed once and counted.  If small it is broadcast and the
     rows of ``df`` don't move; beyond that the rows are dealt by key and a salt
     that follows from the row, and each table row is repeated for every salt.
-    Both ways give the same rows; a null key matches nothing."""
-    table = materialize(table, "lookup")
-    if table.count() <= (BROADCAST_ROWS if broadcast_rows is None else broadcast_rows):
+    Both ways give the same rows; a null key matches nothing.  ``rows`` says that
+    ``table`` is written already and how many rows it has."""
+    if rows is None:
+        table = materialize(table, "lookup")
+        rows = table.count()
+    if rows <= (BROADCAST_ROWS if broadcast_rows is None else broadcast_rows):
         return df.join(F.broadcast(table), key, how)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts)))
     spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))

@@ -9,7 +9,7 @@ from .. import rules
 from ..functions import strings, timefns
 from ..functions.arrays import pad_array
 from . import ordered, windows
-from .aggregates import exact_quantile, group_sizes, lump_rare
+from .aggregates import group_sizes, lump_rare
 from ..session import materialize
 from .events import stay_id_from_text
 from .joins import left_join_many, lookup_join
@@ -48,9 +48,11 @@ def sequence_positions(df: DataFrame, key: str, t: str, code: str, width: float
 
 def truncate_sequences(df: DataFrame, key: str, q: float, pos: str = "pos") -> DataFrame:
     """Keep positions below the exact ``q`` quantile of the per-key row counts.
-    The quantile is a one-row broadcast, not a collected scalar."""
-    qdf = exact_quantile(group_sizes(df, key), "n", q, "_q")
-    return df.crossJoin(F.broadcast(qdf)).filter(F.col(pos) < F.col("_q")).drop("_q")
+
+    The quantile is one aggregate over the lengths, whose state is the distinct
+    lengths; its single value becomes a literal, so that the filter reaches the scan."""
+    cut = group_sizes(df, key).agg(F.percentile("n", F.lit(float(q))).alias("q")).first()["q"]
+    return df.filter(F.col(pos) < F.lit(cut))
 
 
 def dictionary_encode(df: DataFrame, code: str, idx: str = "idx") -> tuple[DataFrame, DataFrame]:
@@ -63,63 +65,79 @@ def dictionary_encode(df: DataFrame, code: str, idx: str = "idx") -> tuple[DataF
     vocab = df.select(code).filter(F.col(code).isNotNull()).distinct()
     dictionary = ordered.ranked(vocab, code, "_r").select((F.col("_r") + 1).cast("int").alias(idx), code)
     dictionary = materialize(dictionary, "dictionary")
-    enc = lookup_join(df, dictionary, code).withColumn(idx, F.coalesce(F.col(idx), F.lit(0)))
+    enc = lookup_join(df, dictionary, code, rows=dictionary.count()).withColumn(idx, F.coalesce(F.col(idx), F.lit(0)))
     return enc, dictionary
 
 
 def pad_sequences(entities: DataFrame, df: DataFrame, key: str, pos: str, idx: str, t: str,
-                  codes_out: str, times_out: str) -> DataFrame:
+                  codes_out: str, times_out: str, length: int | None = None) -> DataFrame:
     """Equal-length 0-padded code and time arrays for every entity.  The length
-    is the longest kept sequence, a one-row broadcast.  A null time is 0."""
+    is that of the longest kept sequence (one number, read if not given).  A null time is 0."""
+    if length is None:
+        length = df.agg(F.max(pos) + 1).first()[0]
     seq = df.groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(idx).alias("c"),
                                              F.coalesce(F.col(t), F.lit(0.0)).alias("t")))).alias("_s"))
-    length = df.agg((F.max(pos) + 1).cast("int").alias("_L"))
-    out = (entities.select(key).join(seq, key, "left").crossJoin(F.broadcast(length))
-           .select(key,
-                   pad_array(F.coalesce(F.col("_s.c"), F.array().cast("array<int>")), F.col("_L"), 0).alias(codes_out),
-                   pad_array(F.coalesce(F.col("_s.t"), F.array().cast("array<double>")), F.col("_L"), 0.0)
-                   .alias(times_out)))
-    return out
+    longest = F.lit(length).cast("int")
+    return (entities.select(key).join(seq, key, "left")
+            .select(key,
+                    pad_array(F.coalesce(F.col("_s.c"), F.array().cast("array<int>")), longest, 0).alias(codes_out),
+                    pad_array(F.coalesce(F.col("_s.t"), F.array().cast("array<double>")), longest, 0.0)
+                    .alias(times_out)))
+
+
+def positioned(events: DataFrame, key: str, code: str, t: str, q: float, prefix: str, width: float = 24.0) -> DataFrame:
+    """Events with ``pos``, cut at the ``q`` quantile of lengths; the positions are written once, the cut is a filter
+    on that table."""
+    d = materialize(sequence_positions(events, key, t, code, width), f"{prefix}_positions")
+    return truncate_sequences(d, key, q) if q < 1.0 else d
 
 
 def encoded_sequence(events: DataFrame, key: str, code: str, t: str, q: float, prefix: str,
                      width: float = 24.0) -> tuple[DataFrame, DataFrame]:
-    """Events -> (rows with ``pos`` and ``idx``, code dictionary): positioned, cut at the
-    ``q`` quantile of lengths and encoded.  The positioned table feeds the quantile
-    and the cut, the kept one the vocabulary and the encoding, and the encoded one
-    what comes after: each is computed once."""
-    d = materialize(sequence_positions(events, key, t, code, width), f"{prefix}_positions")
-    if q < 1.0:
-        d = materialize(truncate_sequences(d, key, q), f"{prefix}_kept")
-    enc, dictionary = dictionary_encode(d, code)
-    return materialize(enc, f"{prefix}_encoded"), dictionary
+    """Events -> (rows with ``pos`` and ``idx``, code dictionary): positioned, cut and encoded.  The rows are a lookup
+    over the written positions."""
+    return dictionary_encode(positioned(events, key, code, t, q, prefix, width), code)
 
 
 def sequence_arrays(entities: DataFrame, events: DataFrame, key: str, code: str, t: str, q: float,
                     prefix: str, width: float = 24.0) -> tuple[DataFrame, DataFrame]:
     """Events -> (key, <prefix>, <prefix>_times) padded arrays + code dictionary."""
-    enc, dictionary = encoded_sequence(events, key, code, t, q, prefix, width)
+    kept = positioned(events, key, code, t, q, prefix, width)
+    enc, dictionary = dictionary_encode(kept, code)
     # times are divided by the largest time before collecting (pads are 0 and
     # times are >= 0, so this equals dividing the padded arrays by their max)
-    m = enc.agg(F.max(F.coalesce(F.col(t), F.lit(0.0))).alias("_m"))
-    enc = (enc.crossJoin(F.broadcast(m))
-              .withColumn(t, F.try_divide(F.coalesce(F.col(t), F.lit(0.0)), F.col("_m"))).drop("_m"))
-    arrays = pad_sequences(entities, enc, key, "pos", "idx", t, prefix, f"{prefix}_times")
-    return arrays, dictionary
+    top, length = kept.agg(F.max(F.coalesce(F.col(t), F.lit(0.0))), F.max("pos") + 1).first()
+    enc = enc.withColumn(t, F.try_divide(F.coalesce(F.col(t), F.lit(0.0)), F.lit(top).cast("double")))
+    return pad_sequences(entities, enc, key, "pos", "idx", t, prefix, f"{prefix}_times", length or 0), dictionary
 
 
 def densify_grid(df: DataFrame, entities: DataFrame, key: str, pos: str, fill_cols: dict,
                  length: DataFrame | None = None) -> DataFrame:
-    """Long form of the padded grid: every entity x position 0..L-1, absent cells
-    filled.  L (default: longest sequence in ``df``) is a one-row broadcast and
-    each entity row is expanded locally with ``sequence`` (no cartesian join)."""
-    if length is None:
-        length = df.agg((F.max(pos) + 1).cast("int").alias("_L"))
-    grid = (entities.select(key).crossJoin(F.broadcast(length))
-            .select(key, F.explode(F.sequence(F.lit(0), F.col("_L") - 1)).alias(pos)))
-    out = grid.join(df.select(key, pos, *fill_cols.keys()), [key, pos], "left")
-    return out.na.fill(fill_cols)
+    """Long form of the padded grid: every entity x position 0..L-1, absent cells and nulls
+    filled.  L is by default the longest sequence in ``df``, else the one number in ``length``.
+
+    Entities and cells meet in one aggregate: a key's cells become a sorted array,
+    the gaps between them are filled in that array, and it is unfolded again, so
+    that the grid is never shuffled or joined.  Keys that are no entities are left
+    out; an entity listed twice gets one grid."""
+    n = (length if length is not None else df.agg(F.max(pos) + 1)).first()[0]
+    kinds = dict(df.dtypes)
+    names = list(fill_cols)
+    if not n:
+        return df.select(key, pos, *names).limit(0)
+    cell = F.struct(F.col(pos).cast("int").alias("p"), *[F.col(c).alias(c) for c in names])
+    rows = (df.select(key, cell.alias("_c"), F.lit(None).cast("boolean").alias("_e"))
+            .unionByName(entities.select(key, F.lit(None).cast(f"struct<p:int,{','.join(f'{c}:{kinds[c]}' for c in names)}>").alias("_c"),
+                                         F.lit(True).alias("_e"))))
+    cells = rows.groupBy(key).agg(F.sort_array(F.collect_list("_c")).alias("_s"), F.max("_e").alias("_e")).filter("_e")
+    empty = F.struct(*[F.lit(fill_cols[c]).cast(kinds[c]).alias(c) for c in names])
+    value = lambda e: F.struct(*[F.coalesce(e[c], F.lit(fill_cols[c]).cast(kinds[c])).alias(c) for c in names])
+    last = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get(F.col("_s")["p"], i - 1))
+    parts = F.transform("_s", lambda e, i: F.concat(F.array_repeat(empty, e["p"] - last(i) - 1), F.array(value(e))))
+    behind = F.lit(int(n)) - 1 - F.coalesce(F.try_element_at(F.col("_s")["p"], F.lit(-1)), F.lit(-1))
+    grid = F.concat(F.flatten(parts), F.array_repeat(empty, behind))
+    return cells.select(key, F.posexplode(grid).alias(pos, "_v")).select(key, pos, *[F.col(f"_v.{c}").alias(c) for c in names])
 
 
 def unique_time_grid(df: DataFrame, t: str, out: str = "t_idx", partitions: int | None = None) -> DataFrame:

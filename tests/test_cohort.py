@@ -67,6 +67,14 @@ def test_attrition_monotone(spark):
     assert f["eligible"]["stays"] == 7 and f["early_death"]["stays"] == 1
 
 
+def test_attrition_counts_a_repeated_stay_and_subject_once(spark):
+    stays, pats = frames(spark)
+    once = {r["stage"]: (r["subjects"], r["stays"]) for r in cohort.attrition(stays, pats).collect()}
+    rows = stays.crossJoin(spark.createDataFrame([(1,), (2,)], "copy int")).drop("copy")
+    twice = {r["stage"]: (r["subjects"], r["stays"]) for r in cohort.attrition(rows, pats).collect()}
+    assert all(once[k] == twice[k] for k in ("joined", "survived_stay"))
+
+
 def test_trailing_count_matches_plain_window(spark):
     """Bucketed (hot-key-safe) count equals a plain range window, for several
     shuffle partition counts."""

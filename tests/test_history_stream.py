@@ -22,6 +22,40 @@ def test_history_join(spark):
     assert got == [("S2", None), ("S3", "past")]
 
 
+def history_tables(spark, n=60):
+    import random
+    from datetime import datetime, timedelta
+    rnd = random.Random(2)
+    when = lambda: None if rnd.random() < 0.1 else datetime(2100, 1, 1) + timedelta(hours=rnd.randrange(24 * 200))
+    key = lambda: rnd.choice([None, 1, 1, 1, 1, 2, 3, 4])
+    stays = [(key(), f"S{i}", when()) for i in range(n)] + [(9, "alone", when())]
+    hist = [(key(), f"c{rnd.randrange(30)}", when()) for _ in range(4 * n)] + [(5, "unasked", when())]
+    return stays, hist + hist[:20]
+
+
+def test_history_join_equals_brute_force(spark):
+    stays, hist = history_tables(spark)
+    want = set()
+    for k, s, out in stays:
+        mine = {h for h in hist if h[0] == k and k is not None}
+        want |= {(k, s, out, c, at) for _, c, at in mine if at is None or out is None or at <= out} or ({(k, s, out, None, None)} if not mine else set())
+    left = spark.createDataFrame(stays, "subject_id long, icustay_id string, outtime timestamp_ntz")
+    right = spark.createDataFrame(hist, "subject_id long, icd9_code string, admittime timestamp_ntz")
+    for days in (1, 30, 1000):
+        got = codes.point_in_time_history(left, right, bucket_days=days)
+        assert got.columns == ["subject_id", "icustay_id", "outtime", "icd9_code", "admittime"]
+        rows = [tuple(r) for r in got.collect()]
+        assert set(rows) == want and len(rows) == len(want)
+
+
+def test_no_pair_from_a_later_bucket_is_made(spark):
+    asked = spark.createDataFrame([(1, [1, 2, 3], 2), (2, [5], 4), (3, [7, 8], None)], "k long, _list array<long>, _sb long")
+    hist = spark.createDataFrame([(1, b, x) for b in (1, 2, 3) for x in "ab"] + [(2, 5, "a"), (3, 7, "a"), (3, 8, "b")],
+                                 "k long, _hb long, c string")
+    met = sorted((r.k, r._hb, r.c) for r in codes.bucket_pairs(asked, hist, "k").collect())
+    assert met == [(1, 1, "a"), (1, 1, "b"), (1, 2, "a"), (1, 2, "b"), (3, 7, "a"), (3, 8, "b")]
+
+
 def test_stream_equals_batch(spark):
     rows = [(1, 1, f"{s}.0" if s % 5 else None, item, ts(f"2100-01-0{1 + s % 8} 0{s % 9}:00"), float(v))
             for s, (item, v) in enumerate([(211, 80), (678, 98.6), (198, 2), (198, 12), (3581, 154), (189, 0.5),

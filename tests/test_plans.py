@@ -65,3 +65,9 @@ def test_evaluate_builds_one_score_table(spark):
     plan = plan_text(m)
     assert "labels.parquet" not in plan and "documents.parquet" not in plan
     assert len(re.findall(r"sum\(tp#\d+L?\) windowspecdefinition", plan)) <= 2 and "FileScan parquet" in plan
+
+
+def test_attrition_is_counted_without_expanding_rows(spark):
+    from staytrail.operators import cohort
+    v = TestViews(spark, SF)
+    assert "Expand" not in plan_text(cohort.attrition(v.stays, v.patients, dob_cutoff_year=1900))

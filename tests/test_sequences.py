@@ -75,6 +75,31 @@ def test_densify(spark):
     assert got == [(1, 0, 5), (1, 1, 0), (1, 2, 6), (2, 0, 0), (2, 1, 0), (2, 2, 0)]
 
 
+def test_densify_gaps_nulls_and_strangers(spark):
+    ent = spark.createDataFrame([(1,), (2,), (3,), (3,)], "k long")
+    rows = [(1, 2, 7, None), (3, 0, None, 1.5), (3, 3, 4, 2.0), (9, 1, 8, 8.0)]
+    df = spark.createDataFrame(rows, "k long, pos int, idx int, t double")
+    grid = sequences.densify_grid(df, ent, "k", "pos", {"idx": 0, "t": -1.0})
+    cells = {(r[0], r[1]): r[2:] for r in rows}
+    want = sorted((k, p, *[d if v is None else v for v, d in zip(cells.get((k, p), (None, None)), (0, -1.0))])
+                  for k in (1, 2, 3) for p in range(4))
+    assert sorted(map(tuple, grid.collect())) == want
+    assert sequences.densify_grid(df.limit(0), ent, "k", "pos", {"idx": 0, "t": -1.0}).collect() == []
+    plan = grid._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_lumping_looks_many_values_up_as_it_compares_few(spark):
+    rows = [(i % 7, f"v{i % 5}" if i % 11 else None, "rare" if i == 3 else "often") for i in range(60)]
+    df = spark.createDataFrame(rows, "a int, b string, c string")
+    few = aggregates.lump_rare(df, ["b", "c"], 11, "other")
+    many = aggregates.lump_rare(df, ["b", "c"], 11, "other", literal_values=0)
+    assert few.columns == many.columns == df.columns
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+    assert "Join" not in few._jdf.queryExecution().executedPlan().toString()
+    assert {r.c for r in few.collect()} == {"often", "other"}
+
+
 def test_gender_encoding_optional(spark):
     from pyspark.sql import functions as F
     cohort = spark.createDataFrame(
