@@ -71,7 +71,7 @@ def category_values(df: DataFrame, cols: Sequence[str], max_categories: int = 10
         out[r["c"]].append(r["v"])
     for c, vals in out.items():
         if len(vals) > max_categories:
-            raise ValueError(f"{c}: more than {max_categories} categories")
+            raise ValueError(f"{c}: more than {max_categories} categories for one column each; use index arrays (sparse_features)")
         vals.sort()
     return out
 
@@ -149,6 +149,29 @@ def build_features(cohort: DataFrame, dp_arrays: DataFrame, cp_arrays: DataFrame
     return feats
 
 
+SPARSE_STATIC = ["los", "num_recent_admissions", "age", "pre_icu_los", "elective_surgery"]
+
+
+def sparse_features(cohort: DataFrame, dp_arrays: DataFrame, cp_arrays: DataFrame, seed: int = rules.SPLIT_SEED,
+                    encode_gender: bool = False, cols: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The feature table for any number of categories, and the names of the encoded positions (``idx``, ``feature``).
+
+    As ``build_features``, but the one-hot part is one column ``hot`` with the sorted
+    positions that are 1 (baselines and nulls have none), so that neither the plan
+    nor a row grows with the number of categories and the driver reads none of them."""
+    cols, baselines = list(cols or rules.CATEGORY_COLUMNS), dict(rules.ONE_HOT_BASELINES)
+    if encode_gender:
+        cols, baselines = [*cols, "gender"], baselines | {"gender": "F"}
+    hot, names = one_hot_indices(cohort.select("icustay_id", *cols), cols, {c: v for c, v in baselines.items() if c in cols})
+    split = grouped_split(cohort, "subject_id", rules.SPLIT_CUTS, seed)
+    feats = (cohort.select("icustay_id", "subject_id", F.col("positive").cast("double").alias("label"),
+                           *[F.col(c).cast("double").alias(c) for c in SPARSE_STATIC])
+             .join(hot.select("icustay_id", "hot"), "icustay_id", "left")
+             .join(dp_arrays, "icustay_id", "left").join(cp_arrays, "icustay_id", "left")
+             .join(split, "subject_id", "left"))
+    return feats, names
+
+
 def last_category_features(stays: DataFrame, last_only: DataFrame, labels: Sequence[str],
                            key: str = "icustay_id", category: str = "valuecat") -> DataFrame:
     """(key, one 0/1 column per label): whether the stay's most recent category of some

@@ -404,6 +404,30 @@ def one_hot_reference_drop(spark, sf):
     return _melt(oh, dummies, "int")
 
 
+O.cte("hot_names", ["one_hot_long"], """
+SELECT feature, CAST(row_number() OVER (ORDER BY feature) - 1 AS INTEGER) AS idx
+FROM (SELECT DISTINCT feature FROM one_hot_long WHERE value = 1)""")
+O.cte("hot", ["one_hot_long", "hot_names", "cohort"], """
+SELECT c.icustay_id, coalesce(string_agg(CAST(n.idx AS VARCHAR), ',' ORDER BY n.idx), '') AS hot
+FROM cohort c LEFT JOIN (SELECT * FROM one_hot_long WHERE value = 1) o ON c.icustay_id = o.icustay_id
+LEFT JOIN hot_names n ON o.feature = n.feature GROUP BY c.icustay_id""")
+
+
+@register("one_hot_indices", B("SELECT * FROM hot", "hot"))
+def one_hot_indices(spark, sf):
+    """The encoding as sorted positions (rendered as text), for any number of categories."""
+    hot, _ = split_ops.one_hot_indices(Flow(spark, sf).cohort.select("icustay_id", *rules.CATEGORY_COLUMNS),
+                                       rules.CATEGORY_COLUMNS, rules.ONE_HOT_BASELINES)
+    return hot.select("icustay_id", fmt_ints("hot").alias("hot"))
+
+
+@register("one_hot_names", B("SELECT idx, feature FROM hot_names", "hot_names"))
+def one_hot_names(spark, sf):
+    """The names of the positions."""
+    return split_ops.one_hot_indices(Flow(spark, sf).cohort.select("icustay_id", *rules.CATEGORY_COLUMNS),
+                                     rules.CATEGORY_COLUMNS, rules.ONE_HOT_BASELINES)[1]
+
+
 STATIC_SQL = """
 SELECT icustay_id, feature, CAST(value AS DOUBLE) AS value FROM one_hot_long
 UNION ALL SELECT icustay_id, 'los', los FROM cohort
@@ -1063,6 +1087,18 @@ def build_feature_table(spark, sf):
     return _feature_text(Flow(spark, sf).features)
 
 
+SPARSE_TEXT_SQL = FEATURE_TEXT_SQL.replace("SELECT c.icustay_id,", "SELECT h.hot, round(c.los, 6) AS los, c.icustay_id,", 1).replace(
+    "LEFT JOIN split", "JOIN hot h ON c.icustay_id = h.icustay_id LEFT JOIN split", 1)
+
+
+@register("sparse_feature_table", B(SPARSE_TEXT_SQL, "cohort", "dp_arrays", "cp_arrays", "split", "hot"))
+def sparse_feature_table(spark, sf):
+    """The feature table with index arrays in the place of one-hot columns (arrays rendered as text)."""
+    feats, _ = Flow(spark, sf).sparse_features
+    text = _feature_text(feats)
+    return text.join(feats.select("icustay_id", fmt_ints("hot").alias("hot"), r6("los").alias("los")), "icustay_id")
+
+
 def feature_table(spark, sf):
     """The feature table as the library produces it (array columns)."""
     return Flow(spark, sf).features

@@ -132,3 +132,8 @@ class Flow:
     @cached_property
     def features(self) -> DataFrame:
         return split_ops.build_features(self.cohort, self.dp_arrays[0], self.cp_arrays[0], self.categories)
+
+    @cached_property
+    def sparse_features(self) -> tuple[DataFrame, DataFrame]:
+        """The feature table with index arrays for any number of categories, and the names of the positions."""
+        return split_ops.sparse_features(self.cohort, self.dp_arrays[0], self.cp_arrays[0])

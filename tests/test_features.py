@@ -103,3 +103,23 @@ def test_entry_without_the_llm_part():
     assert out.returncode == 0, out.stderr
     n, sql, found = out.stdout.split()
     assert int(n) >= 100 and int(sql) >= 98 and found == "False"
+
+
+def test_sparse_features_with_thousands_of_categories(spark):
+    n = 5200
+    rows = [(i // 2, i, "F", i % 3 == 0, 1.0, 0, 30.0, 0.1, 0, f"place {i % 5000}", "Medicare" if i % 2 else None,
+             "Single", "White") for i in range(n)]
+    cohort = spark.createDataFrame(rows, "subject_id long, icustay_id long, gender string, positive boolean, los double, "
+                                         "num_recent_admissions long, age double, pre_icu_los double, elective_surgery int, "
+                                         "admission_location string, insurance string, marital_status string, ethnicity string")
+    arrays = cohort.select("icustay_id")
+    with pytest.raises(ValueError):
+        split.category_values(cohort, ["admission_location"])
+    feats, names = split.sparse_features(cohort, arrays, arrays)
+    name = {r.idx: r.feature for r in names.collect()}
+    assert len(name) > 5000 and sorted(name) == list(range(len(name))) and [name[i] for i in range(len(name))] == sorted(name.values())
+    got = {r.icustay_id: {name[i] for i in r.hot} for r in feats.select("icustay_id", "hot").collect()}
+    assert len(got) == n and len(feats.columns) < 15
+    for r in rows[::97]:
+        want = {f"ADMISSION_LOCATION_{r[9]}", "MARITAL_STATUS_Single", "ETHNICITY_White"}
+        assert got[r[1]] == want - {f"{c.upper()}_{v}" for c, v in rules.ONE_HOT_BASELINES.items()}
