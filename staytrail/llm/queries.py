@@ -62,8 +62,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base counts and verdict of the compression bands for every document."""
-    return quality.score_quality(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    """Base counts and verdict of the compression bands, fitted to labelled clean documents, for every document."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return quality.score_quality(docs, quality.limits_of(docs, f"{sf_dir}/labels.parquet"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
