@@ -14,8 +14,8 @@ from staytrail.llm.common import stage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality.keep_quality(docs)
+    """Documents that the quality rules keep, by limits fitted to the labelled ones."""
+    return quality.keep_quality(docs, quality.limits_of(docs, f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
