@@ -6,6 +6,10 @@ windows with at most ERRORS of its length in edits.  By the q-gram lemma such a
 m - q + 1 - k * q grams with the window, all on k + 1 neighbouring diagonals: shared grams are counted in overlapping
 bands of diagonals, and the few regions that reach the bound are aligned in a band.  Row-local over the documents;
 the benchmark is gone through in blocks of bounded size.
+
+Windows for edits are laid every STRIDE characters.  Exact excerpts need no luck with that: every run of WINDOW
+characters of an item, at any offset, is known by its hash and compared.  Items too short for windows are matched whole,
+at word borders and without edits.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +31,8 @@ from .common import bounded_batches
 Q = 12
 WINDOW, STRIDE = 64, 32
 ERRORS = 0.05
-MIN_CHARS = 30             # shorter items name no passage
+MIN_CHARS = 30             # shorter items have no windows; they are matched whole
+MIN_SHORT = Q              # items under so many normalised characters (a word or two) name no passage
 BLOCK_CHARS = 2_000_000    # of the benchmark sent to every task at a time
 
 MATCHES = "doc_id long, item_id long, n_windows long, n_matched long, n_edits long, start long, end long"
@@ -92,20 +98,49 @@ class Index:
     least: np.ndarray  # shared grams needed
     filter: np.ndarray
     shift: np.uint64
+    excerpts: "Excerpts | None" = None
+    short: object = None  # an automaton with item number and id of each short item
+
+
+@dataclass
+class Excerpts:
+    """Every run of WINDOW characters of the items, by hash."""
+    hashes: np.ndarray  # sorted, repeated for each place
+    owner: np.ndarray   # item number of the place
+    offset: np.ndarray  # where it starts in its item
+    texts: dict         # item number -> code points
+    ids: dict           # item number -> item_id
+    filter: np.ndarray
+    shift: np.uint64
 
 
-def build_index(items: list[tuple[int, str | None]]) -> Index:
+def _bitmap(hashes: np.ndarray) -> tuple[np.ndarray, np.uint64]:
+    bits = max(16, int(len(hashes)).bit_length() + 6)
+    shift = np.uint64(64 - bits)
+    bitmap = np.zeros(1 << bits, bool)
+    bitmap[hashes >> shift] = True
+    return bitmap, shift
+
+
+def build_index(items: list[tuple[int, str | None]], complete: bool = False) -> Index:
+    """The index of a block of items; ``complete`` adds excerpts at every offset and short items."""
     ids, windows, owner, total = [], [], [], {}
     hashes, of, offset = [], [], []
+    texts, short = {}, {}
     for number, (item, text) in enumerate(items):
         cp, _ = normalise(text)
         if len(cp) and cp[-1] == 32:
             cp = cp[:-1]
         if len(cp) < MIN_CHARS:
+            if len(cp) and cp[0] == 32:
+                cp = cp[1:]
+            if len(cp) >= MIN_SHORT:
+                short.setdefault(f" {_text(cp)} ", []).append((number, item))
             continue
         last = max(0, len(cp) - WINDOW)
         starts = sorted({*range(0, last + 1, STRIDE), last})
         total[number] = len(starts)
+        texts[number] = cp
         for s in starts:
             part = cp[s:s + WINDOW]
             h = gram_hashes(part)
@@ -114,21 +149,66 @@ def build_index(items: list[tuple[int, str | None]]) -> Index:
             offset.append(np.arange(len(h)))
             ids.append(item)
             owner.append(number)
-            windows.append(part.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"))
-    if not windows:
+            windows.append(_text(part))
+    if windows:
+        h, w, o = np.concatenate(hashes), np.concatenate(of), np.concatenate(offset)
+        order = np.argsort(h, kind="stable")
+        grams, first = np.unique(h[order], return_index=True)
+        m = np.array([len(x) for x in windows])
+        edits = (m * ERRORS).astype(np.int64)
+        index = Index(ids, windows, total, owner, grams, np.append(first, len(h)), w[order], o[order], edits,
+                      m - Q + 1 - edits * Q, *_bitmap(grams))
+    else:
         none = np.empty(0, np.int64)
-        return Index([], [], {}, [], np.empty(0, np.uint64), none, none, none, none, none, np.zeros(2, bool), np.uint64(63))
-    h, w, o = np.concatenate(hashes), np.concatenate(of), np.concatenate(offset)
-    order = np.argsort(h, kind="stable")
-    grams, first = np.unique(h[order], return_index=True)
-    m = np.array([len(x) for x in windows])
-    edits = (m * ERRORS).astype(np.int64)
-    bits = max(16, int(len(grams)).bit_length() + 6)
-    shift = np.uint64(64 - bits)
-    bitmap = np.zeros(1 << bits, bool)
-    bitmap[grams >> shift] = True
-    return Index(ids, windows, total, owner, grams, np.append(first, len(h)), w[order], o[order], edits,
-                 m - Q + 1 - edits * Q, bitmap, shift)
+        index = Index([], [], {}, [], np.empty(0, np.uint64), none, none, none, none, none, np.zeros(2, bool), np.uint64(63))
+    if complete:
+        index.excerpts = _excerpts(texts, dict(enumerate(item for item, _ in items)))
+        if short:
+            index.short = ahocorasick.Automaton()
+            for text, numbers in short.items():
+                index.short.add_word(text, (len(text), numbers))
+            index.short.make_automaton()
+    return index
+
+
+def _text(cp: np.ndarray) -> str:
+    return cp.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def _excerpts(texts: dict, ids: dict) -> Excerpts | None:
+    runs = {n: gram_hashes(cp, WINDOW) for n, cp in texts.items() if len(cp) >= WINDOW}
+    if not runs:
+        return None
+    hashes = np.concatenate(list(runs.values()))
+    owner = np.repeat(np.array(list(runs)), [len(h) for h in runs.values()])
+    offset = np.concatenate([np.arange(len(h)) for h in runs.values()])
+    order = np.argsort(hashes, kind="stable")
+    return Excerpts(hashes[order], owner[order], offset[order], texts, ids, *_bitmap(hashes))
+
+
+def find_excerpts(cp: np.ndarray, found: Excerpts) -> dict[int, tuple[int, int]]:
+    """Item number -> outer bounds of its runs of WINDOW characters that the text holds."""
+    h = gram_hashes(cp, WINDOW)
+    place = np.flatnonzero(found.filter[h >> found.shift]) if len(h) else np.empty(0, np.int64)
+    low, high = (np.searchsorted(found.hashes, h[place], side) for side in ("left", "right"))
+    bounds: dict[int, tuple[int, int]] = {}
+    seen: dict[bytes, tuple[int, int]] = {}
+    for p, a, b in zip(place.tolist(), low.tolist(), high.tolist()):
+        if a == b:
+            continue
+        run = cp[p:p + WINDOW].tobytes()
+        if run in seen:  # a run that was met before: only the bounds of its items grow
+            seen[run] = (seen[run][0], p + WINDOW)
+        else:
+            seen[run] = (p, p + WINDOW)
+    for run, (start, end) in seen.items():
+        key = gram_hashes(np.frombuffer(run, cp.dtype), WINDOW)
+        a, b = (int(np.searchsorted(found.hashes, key, side)[0]) for side in ("left", "right"))
+        for n, o in zip(found.owner[a:b].tolist(), found.offset[a:b].tolist()):
+            if found.texts[n][o:o + WINDOW].tobytes() == run:
+                old = bounds.get(n, (start, end))
+                bounds[n] = min(old[0], start), max(old[1], end)
+    return bounds
 
 
 def banded_distance(pattern: str, text: str, most: int) -> tuple[int, int] | None:
@@ -156,6 +236,8 @@ def banded_distance(pattern: str, text: str, most: int) -> tuple[int, int] | Non
                 best = new[d - 1] + 1
             new[d] = best if best < far else far
         row = new
+        if min(row) == far:
+            return None
     best, at = min(((v, m + d - most) for d, v in enumerate(row) if 0 <= m + d - most <= n), default=(far, 0))
     return (best, at) if best <= most else None
 
@@ -163,9 +245,28 @@ def banded_distance(pattern: str, text: str, most: int) -> tuple[int, int] | Non
 def find_items(text: str | None, index: Index) -> list[tuple]:
     """(item_id, windows, matched, fewest edits, start, end) of each item that contaminates the text; start and end
     are the outer bounds of its matches in the text's characters."""
+    cp, at = normalise(text)
+    found = {n: (item, *rest) for n, item, *rest in _find_windows(cp, index)}
+    if index.excerpts:
+        for n, (begin, end) in find_excerpts(cp, index.excerpts).items():
+            item, windows, matched, _, low, high = found.get(n, (index.excerpts.ids[n], index.total[n], 0, 0, begin, end))
+            found[n] = item, windows, matched, 0, min(low, begin), max(high, end)
+    if index.short and len(cp):
+        lead = int(cp[0] != 32)  # a space before the first word and behind the last
+        for last, (size, numbers) in index.short.iter(" " * lead + _text(cp) + " "):
+            end = min(last - lead, len(cp))
+            begin = last - lead - size + 2
+            for n, item in numbers:
+                low, high = found[n][4:] if n in found else (begin, end)
+                found[n] = item, 1, 1, 0, min(low, begin), max(high, end)
+    return [(item, windows, matched, edits, int(at[begin]), int(at[end - 1]) + 1)
+            for _, (item, windows, matched, edits, begin, end) in sorted(found.items())]
+
+
+def _find_windows(cp: np.ndarray, index: Index) -> list[tuple]:
+    """(item number, item_id, windows, matched, fewest edits, start, end) by windows, in normalised characters."""
     if not index.windows:
         return []
-    cp, at = normalise(text)
     h = gram_hashes(cp)
     place = np.flatnonzero(index.filter[h >> index.shift]) if len(h) else np.empty(0, np.int64)
     if not len(place):
@@ -190,14 +291,18 @@ def find_items(text: str | None, index: Index) -> list[tuple]:
     enough = np.flatnonzero(both >= index.least[w])
     if not len(enough):
         return []
-    whole = cp.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    whole = _text(cp)
+    known_places: dict[tuple[str, str], tuple[int, int] | None] = {}  # repeated wording is aligned once
     found: dict[int, dict[int, int]] = defaultdict(dict)
     bounds: dict[int, list[int]] = {}
     for x, b in zip(w[enough].tolist(), band[enough].tolist()):
         k, pattern = int(index.edits[x]), index.windows[x]
         low = max(0, b * (k + 1) - WINDOW - k)
         high = min(len(whole), (b + 2) * (k + 1) - WINDOW + len(pattern) + k)
-        got = banded_distance(pattern, whole[low:high], k)
+        region = pattern, whole[low:high]
+        if region not in known_places:
+            known_places[region] = banded_distance(*region, k)
+        got = known_places[region]
         if got:
             item = index.owner[x]
             found[item][x] = min(got[0], found[item].get(x, got[0]))
@@ -205,8 +310,8 @@ def find_items(text: str | None, index: Index) -> list[tuple]:
             begin = max(0, end - len(pattern))
             span = bounds.setdefault(item, [begin, end])
             span[0], span[1] = min(span[0], begin), max(span[1], end)
-    return [(index.items[next(iter(ws))], index.total[item], len(ws), min(ws.values()),
-             int(at[bounds[item][0]]), int(at[bounds[item][1] - 1]) + 1) for item, ws in sorted(found.items())]
+    return [(item, index.items[next(iter(ws))], index.total[item], len(ws), min(ws.values()), *bounds[item])
+            for item, ws in sorted(found.items())]
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
@@ -223,9 +328,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """MATCHES: a row for each row of ``docs`` (``doc_id``, ``text``) and each item of ``benchmark`` (``item_id``,
     ``text``) that it holds a passage of.
 
-    n_windows are the item's, n_matched those found, n_edits the fewest of a match; start and end bound the matches
-    in characters of the text.  Clean documents have no row.  Null and empty texts match nothing, nor do items of
-    fewer than MIN_CHARS normalised characters.  Repeated rows and items are reported each (equal items once);
+    n_windows are the item's (a short item counts as one), n_matched those found, n_edits the fewest of a match; start and
+    end bound the matches in characters of the text.  An item known only by an exact excerpt has n_matched 0 and n_edits 0.
+    Clean documents have no row.  Null and empty texts match nothing, nor do items of fewer than MIN_SHORT normalised
+    characters; shorter ones than MIN_CHARS match whole, at word borders.  Repeated rows and items are reported each (equal items once);
     null ids stay null; further columns are ignored; an empty table on either side gives an empty result.
     """
     spark = docs.sparkSession
@@ -234,7 +340,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = spark.createDataFrame([], MATCHES)
     for block in _blocks(benchmark):
-        index = spark.sparkContext.broadcast(build_index(block))
+        index = spark.sparkContext.broadcast(build_index(block, complete=True))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -251,7 +357,7 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bounded_batches(spark)
     text = docs.columns.index("text")
     for block in _blocks(benchmark):
-        index = spark.sparkContext.broadcast(build_index(block))
+        index = spark.sparkContext.broadcast(build_index(block, complete=True))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:

@@ -112,3 +112,44 @@ def test_empty(spark):
     some = spark.createDataFrame([(1, "a text " * 20, "en", "s", 1)], DOC)
     assert decontam.find_contamination(none, bench).collect() == []
     assert decontam.find_contamination(some, bench).collect() == [] and decontam.clean_rows(some, bench).count() == 1
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_excerpts_of_64_characters_are_found_at_every_offset(seed):
+    rnd = random.Random(seed)
+    make = lambda n: "".join(rnd.choice("abcdefghij klm") for _ in range(n))
+    items = [(i, make(250)) for i in range(5)]
+    index = decontam.build_index(items, complete=True)
+    for item, text in items:
+        plain = flat(text).strip()
+        for s in range(len(plain) - 63):
+            excerpt = plain[s:s + 64]
+            got = {m[0] for m in decontam.find_items("before it. " + excerpt + " and behind", index)}
+            assert got == {item}, s
+            if excerpt[0] != " " and excerpt[-1] != " ":
+                (m,) = decontam.find_items("Before it: " + excerpt, index)
+                assert excerpt in ("Before it: " + excerpt)[m[4]:m[5]] and m[3] == 0
+
+
+def test_short_items_are_matched_whole_at_word_borders(spark):
+    bench = [(1, "Who wrote it, and when?"), (2, "yes"), (3, "12345 67890 abc"), (4, " The quick, red fox "), (5, "who WROTE it and when")]
+    texts = ["who wrote it - and WHEN", "somewho wrote it and when", "who wrote it and whenever", "x 12345 67890 abc", "12345 67890 abcd",
+             "yes", "a (the Quick  red fox) b", "", None, "the quick red foxes"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOC)
+    got = decontam.find_contamination(docs, spark.createDataFrame([(*b, None, None) for b in bench], BENCH)).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(0, 1), (0, 5), (3, 3), (6, 4)]
+    assert all((r.n_windows, r.n_matched, r.n_edits) == (1, 1, 0) for r in got)
+    assert {texts[r.doc_id][r.start:r.end] for r in got} == {"who wrote it - and WHEN", "12345 67890 abc", "the Quick  red fox"}
+
+
+def test_complete_results_hold_the_windows_results():
+    docs, items = case(7)
+    plain, complete = decontam.build_index(items), decontam.build_index(items, complete=True)
+    for _, text, *_ in docs:
+        few = {m[0]: m for m in decontam.find_items(text, plain)}
+        many = {m[0]: m for m in decontam.find_items(text, complete)}
+        assert few.keys() <= many.keys()
+        exact = {i for i, x in items if any(flat(x).strip()[s:s + 64] in flat(text) for s in range(max(1, len(flat(x).strip()) - 63)))
+                 and len(flat(x).strip()) >= 64}
+        assert exact <= many.keys()
+        assert many.keys() - few.keys() <= exact | {i for i, x in items if len(flat(x).strip()) < 30}
