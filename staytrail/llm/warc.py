@@ -79,9 +79,10 @@ def write_archive(pages: DataFrame, path: str, min_payload: int = 0) -> None:
                               "url", payload.alias("_p"))
                  .select("rec_no", "page_id", "url", F.octet_length("_p").cast("long").alias("n_bytes"),
                          F.sha1("_p").alias("sha1"), F.sha2("_p", 256).alias("sha256")), "records")
-    # one row a distinct payload: its response (a maximum, combined before the exchange)
+    # one row a distinct payload: its response (a maximum, combined before the exchange); written, so that the join deals
+    # both sides anew and can split the rows of a payload that very many pages share
     large = rows.filter(F.col("n_bytes") >= min_payload)
-    last = large.groupBy("sha256").agg(F.max(F.struct("page_id", "rec_no")).alias("to"))
+    last = stage(large.groupBy("sha256").agg(F.max(F.struct("page_id", "rec_no")).alias("to")), "responses")
     typed = rows.join(last, "sha256", "left").select(
         "*", F.coalesce((F.col("n_bytes") >= min_payload) & (F.col("rec_no") != F.col("to.rec_no")), F.lit(False)).alias("revisit"))
 

@@ -2,6 +2,7 @@ import base64
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from staytrail.llm import warc
 
@@ -70,3 +71,26 @@ def test_records_are_parsed_without_being_returned(spark, tmp_path):
 
 def test_empty(spark, tmp_path):
     assert warc.read_archive(spark, archive(spark, tmp_path, [])).collect() == []
+
+
+def test_rows_of_a_hot_payload_are_split(spark, tmp_path):
+    """Nine pages of ten share a payload: the join to their response splits them over many tasks."""
+    n = 40000
+    pages = (spark.range(0, n, 1, 12).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a.example/"), "id").alias("url"),
+                                   F.when(F.col("id") % 10 > 0, F.lit("the same")).otherwise(F.concat(F.lit("p"), "id")).alias("html")))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.shuffle.partitions": "16",
+                "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.files.maxPartitionBytes": "200k"}
+    old = {k: spark.conf.get(k, None) for k in settings}
+    most = []
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        path = str(tmp_path / "archive")
+        warc.write_archive(pages, path)
+        headers = spark.read.parquet(f"{path}/headers")
+        most = [r["n"] for r in headers.groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n")).collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sum(most) == n and max(most) <= n / 5, sorted(most)[-3:]
