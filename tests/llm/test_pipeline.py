@@ -79,5 +79,5 @@ def test_stages_on_awkward_rows(spark, tmp_path):
 def test_registered():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "MinHash near-dedup", "benchmark decontamination", "mixing", "sharding"]
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    assert numbers == list(range(1, 14)) and set(ORACLE_SQL) <= set(QUERIES)
     assert decontam.MATCHES.startswith("doc_id long, item_id long")
