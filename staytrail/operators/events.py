@@ -208,11 +208,3 @@ def compress_runs(binned: DataFrame, bucket_us: int = timefns.MICROS_PER_DAY) ->
 def last_only(runs: DataFrame) -> DataFrame:
     """Most recent category per (type, stay)."""
     return windows.latest_per_group(runs, ["ce_type", "icustay_id"], "charttime", "valuecat")
-
-
-def charts_outputs(chart_raw: DataFrame, outputs_raw: DataFrame, d_items: DataFrame, stays: DataFrame,
-                   include_bmi: bool = False) -> DataFrame:
-    """Raw chart + output events -> compressed (icustay_id, charttime, valuecat, ce_type)."""
-    charts = replace_with_derived(materialize(clean_chart_events(chart_raw), "chart_clean"))
-    outs = reduce_outputs(outputs_raw, d_items, stays)
-    return compress_runs(materialize(binned_events(charts, outs, include_bmi), "binned"))

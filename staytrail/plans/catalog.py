@@ -52,7 +52,7 @@ def fmt_ints(c: str) -> Column:
     return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
 
 
-def fmt_doubles(c: str) -> Column:
+def fmt_doubles(c: Column | str) -> Column:
     return F.array_join(F.transform(c, lambda x: F.format_string("%.6f", F.bround(x, 6))), ",")
 
 
@@ -788,6 +788,14 @@ def time_delta(spark, sf):
     return d.select("icustay_id", "pos", r6("delta").alias("delta"))
 
 
+@register("time_delta_array", B("SELECT icustay_id, " + O.fmt_list_sql(
+    "list_transform(cp_times, lambda x, i: greatest(x - CASE WHEN i = 1 THEN 0.0::DOUBLE ELSE cp_times[i - 1] END, 0.0::DOUBLE))", True)
+    + " AS deltas FROM cp_arrays", "cp_arrays"))
+def time_delta_array(spark, sf):
+    """Time deltas inside the padded arrays (rendered as text); the fall from the last time to the padding is 0."""
+    return Flow(spark, sf).cp_arrays[0].select("icustay_id", fmt_doubles(arrfn.time_delta_array("cp_times")).alias("deltas"))
+
+
 @register("reverse_sequence", B(f"""
 SELECT icustay_id, {O.fmt_list_sql('list_reverse(cp)')} AS cp_reversed,
        {O.fmt_list_sql('list_reverse(cp_times)', True)} AS cp_times_reversed FROM cp_arrays""", "cp_arrays"))
