@@ -2,15 +2,21 @@
 
 A plain ``Window.partitionBy(key).orderBy(t)`` sends every row of a key to one
 task; a key holding a third of the data would serialise the job.  These
-helpers split each key into ranges of its leading order column (fixed-width
-buckets, so bucket order follows row order) and work in two levels:
+helpers split each key into ranges and work in two levels:
 
-1. inside each (key, bucket) with an ordinary window, and
-2. across buckets through a small per-(key, bucket) table (one row per
-   non-empty bucket: counts, first or last row), prefix-summed or shifted with
-   a window over buckets and joined back on (key, bucket).
+1. inside each (key, range) with an ordinary window, and
+2. across ranges through a small per-(key, range) table (one row per
+   non-empty range: counts, first or last row), prefix-summed or shifted with
+   a window over ranges and joined back on (key, range).
 
-The join and the inner window share the (key, bucket) partitioning, so this
+A range is a fixed-width bucket of the leading order column (bucket order
+follows row order).  The rows of each bucket are counted first; a bucket with
+more than ``BUCKET_ROWS`` rows, such as that of a key whose rows all share one
+time, is cut further by the whole order, ties included, at bounds that Spark
+samples from its rows (``_dealt``).  Only the rows of such buckets are dealt by
+range and written; all others stay as they are.
+
+The join and the inner window share the (key, range) partitioning, so this
 costs one extra aggregation and a join of a table far smaller than the data.
 Results equal the single-window versions exactly (tests compare them).
 """
@@ -27,6 +33,8 @@ from ..functions.timefns import epoch_micros
 from ..session import materialize
 
 LAST_BUCKET = 2 ** 62
+#: rows of a (key, bucket) beyond which it is cut at counted bounds; results don't depend on it
+BUCKET_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -81,26 +89,54 @@ def _keys(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def _join_back(d: DataFrame, small: DataFrame, ks: list[str]) -> DataFrame:
-    """Join a per-(key, bucket) table (columns renamed ``_k<i>``, ``_b``) back."""
+#: a range within a key: the bucket, and the part of a bucket that was cut
+RANGE = ("_bk", "_sub")
+
+
+def _dealt(df: DataFrame, ks: Sequence[str], keys: Sequence[Key], width: float) -> DataFrame:
+    """``df`` with the range of each row as ``_bk`` and ``_sub``, both rising in sort
+    order within a key.  ``_sub`` is 0 but in buckets of more than ``BUCKET_ROWS``
+    rows: these rows are dealt by ranges of (key, order), about half that many rows
+    each, and written, so that all later steps see the same bounds."""
+    d = df.withColumn("_bk", bucket_of(df, keys[0], width))
+    counts = d.groupBy(*ks, "_bk").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BUCKET_ROWS)
+    rows = counts.agg(F.sum("_n")).first()[0]
+    if not rows:
+        return d.withColumn("_sub", F.lit(0))
+    full = materialize(counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(ks)], F.col("_bk").alias("_b")), "full")
     cond = F.col("_bk") == F.col("_b")
     for i, k in enumerate(ks):
         cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return d.join(small, cond).drop("_b", *[f"_k{i}" for i in range(len(ks))])
+    light = d.join(full, cond, "left_anti").withColumn("_sub", F.lit(0))
+    heavy = d.join(full, cond, "left_semi")
+    cut = in_ranges(heavy, [*map(F.col, ks), *[k.order() for k in keys]], -(-2 * rows // BUCKET_ROWS))
+    return light.unionByName(cut.withColumnRenamed("_pid", "_sub"))
+
+
+def _ranges_of(ks: Sequence[str]) -> list[Column]:
+    """Key and range columns of a per-(key, range) table under the names that ``_join_back`` takes."""
+    return [*[F.col(k).alias(f"_k{i}") for i, k in enumerate(ks)], F.col("_bk").alias("_b"), F.col("_sub").alias("_s")]
+
+
+def _join_back(d: DataFrame, small: DataFrame, ks: list[str]) -> DataFrame:
+    """Join a per-(key, range) table (columns renamed by ``_ranges_of``) back."""
+    cond = (F.col("_bk") == F.col("_b")) & (F.col("_sub") == F.col("_s"))
+    for i, k in enumerate(ks):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return d.join(small, cond).drop("_b", "_s", *[f"_k{i}" for i in range(len(ks))])
 
 
 def position(df: DataFrame, key: str | Sequence[str], keys: Sequence[Key], width: float,
              out: str = "pos") -> DataFrame:
     """0-based row number within ``key`` in the order of ``keys`` (a total order)."""
     ks = _keys(key)
-    d = df.withColumn("_bk", bucket_of(df, keys[0], width))
-    counts = d.groupBy(*ks, "_bk").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*ks).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(ks)], F.col("_bk").alias("_b"),
-                         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    d = _dealt(df, ks, keys, width)
+    counts = d.groupBy(*ks, *RANGE).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*ks).orderBy(*RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select(*_ranges_of(ks), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     j = _join_back(d, offs, ks)
-    w = Window.partitionBy(*ks, "_bk").orderBy(*[k.order() for k in keys])
-    return j.withColumn(out, (F.col("_off") + F.row_number().over(w) - 1).cast("int")).drop("_bk", "_off")
+    w = Window.partitionBy(*ks, *RANGE).orderBy(*[k.order() for k in keys])
+    return j.withColumn(out, (F.col("_off") + F.row_number().over(w) - 1).cast("int")).drop(*RANGE, "_off")
 
 
 def neighbour(df: DataFrame, key: str | Sequence[str], keys: Sequence[Key], value: str, width: float, out: str,
@@ -108,19 +144,18 @@ def neighbour(df: DataFrame, key: str | Sequence[str], keys: Sequence[Key], valu
     """``value`` of the next (``following``) or previous row within ``key`` in the
     order of ``keys``; null at the end.  Like lead/lag over the whole key."""
     ks = _keys(key)
-    d = df.withColumn("_bk", bucket_of(df, keys[0], width))
-    w = Window.partitionBy(*ks, "_bk").orderBy(*[k.order() for k in keys])
+    dealt = _dealt(df, ks, keys, width)
+    w = Window.partitionBy(*ks, *RANGE).orderBy(*[k.order() for k in keys])
     shift = F.lead if following else F.lag
-    d = d.withColumn("_in", shift(value).over(w)).withColumn("_has", shift(F.lit(1)).over(w).isNotNull())
+    d = dealt.withColumn("_in", shift(value).over(w)).withColumn("_has", shift(F.lit(1)).over(w).isNotNull())
     rank = _rank_struct(df, keys)
     end = F.min_by(F.col(value), rank) if following else F.max_by(F.col(value), rank)
-    ends = d.groupBy(*ks, "_bk").agg(end.alias("_end"))
-    wb = Window.partitionBy(*ks).orderBy("_bk")
-    cross = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(ks)], F.col("_bk").alias("_b"),
-                        shift("_end").over(wb).alias("_cross"))
+    ends = d.groupBy(*ks, *RANGE).agg(end.alias("_end"))
+    wb = Window.partitionBy(*ks).orderBy(*RANGE)
+    cross = ends.select(*_ranges_of(ks), shift("_end").over(wb).alias("_cross"))
     j = _join_back(d, cross, ks)
     return (j.withColumn(out, F.when(F.col("_has"), F.col("_in")).otherwise(F.col("_cross")))
-             .drop("_bk", "_in", "_has", "_cross"))
+             .drop(*RANGE, "_in", "_has", "_cross"))
 
 
 def running_sum(df: DataFrame, key: str | Sequence[str], keys: Sequence[Key], value: str, width: float, out: str,
@@ -128,19 +163,17 @@ def running_sum(df: DataFrame, key: str | Sequence[str], keys: Sequence[Key], va
     """Sum of ``value`` from the first row of the key up to this row (or, with
     ``suffix``, from this row to the last), in the order of ``keys``."""
     ks = _keys(key)
-    d = df.withColumn("_bk", bucket_of(df, keys[0], width))
-    w = Window.partitionBy(*ks, "_bk").orderBy(*[k.order() for k in keys])
+    w = Window.partitionBy(*ks, *RANGE).orderBy(*[k.order() for k in keys])
     frame = w.rowsBetween(0, Window.unboundedFollowing) if suffix else w.rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_in", F.sum(value).over(frame))
-    tot = d.groupBy(*ks, "_bk").agg(F.sum(value).alias("_tot"))
-    wb = Window.partitionBy(*ks).orderBy("_bk")
+    d = _dealt(df, ks, keys, width).withColumn("_in", F.sum(value).over(frame))
+    tot = d.groupBy(*ks, *RANGE).agg(F.sum(value).alias("_tot"))
+    wb = Window.partitionBy(*ks).orderBy(*RANGE)
     others = wb.rowsBetween(1, Window.unboundedFollowing) if suffix else wb.rowsBetween(Window.unboundedPreceding, -1)
-    carry = tot.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(ks)], F.col("_bk").alias("_b"),
-                       F.sum("_tot").over(others).alias("_carry"))
+    carry = tot.select(*_ranges_of(ks), F.sum("_tot").over(others).alias("_carry"))
     j = _join_back(d, carry, ks)
     return (j.withColumn(out, F.when(F.col("_carry").isNull(), F.col("_in"))
                          .otherwise(F.coalesce(F.col("_in"), F.lit(0)) + F.col("_carry")))
-             .drop("_bk", "_in", "_carry"))
+             .drop(*RANGE, "_in", "_carry"))
 
 
 def fill_nulls(df: DataFrame, key: str | Sequence[str], keys: Sequence[Key], value: str, width: float, out: str,
@@ -148,25 +181,23 @@ def fill_nulls(df: DataFrame, key: str | Sequence[str], keys: Sequence[Key], val
     """Last non-null ``value`` up to this row (forward fill) or, with
     ``backward``, first non-null from this row on, within the key."""
     ks = _keys(key)
-    d = df.withColumn("_bk", bucket_of(df, keys[0], width))
-    w = Window.partitionBy(*ks, "_bk").orderBy(*[k.order() for k in keys])
+    d = _dealt(df, ks, keys, width)
+    w = Window.partitionBy(*ks, *RANGE).orderBy(*[k.order() for k in keys])
     if backward:
         d = d.withColumn("_in", F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
     else:
         d = d.withColumn("_in", F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rank = _rank_struct(df, keys)
-    nn = d.filter(F.col(value).isNotNull())
+    rank = F.when(F.col(value).isNotNull(), _rank_struct(df, keys))
     edge = F.min_by(F.col(value), rank) if backward else F.max_by(F.col(value), rank)
-    ends = nn.groupBy(*ks, "_bk").agg(edge.alias("_end"))
-    allb = d.select(*ks, "_bk").distinct().join(ends, [*ks, "_bk"], "left")
-    wb = Window.partitionBy(*ks).orderBy("_bk")
+    ends = d.groupBy(*ks, *RANGE).agg(edge.alias("_end"))
+    wb = Window.partitionBy(*ks).orderBy(*RANGE)
     if backward:
         c = F.first("_end", ignorenulls=True).over(wb.rowsBetween(1, Window.unboundedFollowing))
     else:
         c = F.last("_end", ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, -1))
-    carry = allb.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(ks)], F.col("_bk").alias("_b"), c.alias("_carry"))
+    carry = ends.select(*_ranges_of(ks), c.alias("_carry"))
     j = _join_back(d, carry, ks)
-    return j.withColumn(out, F.coalesce(F.col("_in"), F.col("_carry"))).drop("_bk", "_in", "_carry")
+    return j.withColumn(out, F.coalesce(F.col("_in"), F.col("_carry"))).drop(*RANGE, "_in", "_carry")
 
 
 def in_ranges(df: DataFrame, order: Sequence[Column], partitions: int | None = None) -> DataFrame:

@@ -6,9 +6,17 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from staytrail.operators import ordered
 from staytrail.operators.ordered import Key, neighbour, position
 
 
+@pytest.fixture(autouse=True, params=[ordered.BUCKET_ROWS, 40])
+def bucket_rows(request, monkeypatch):
+    """Every test runs uncut and with buckets cut from 41 rows on."""
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", request.param)
+    return request.param
+
+
 @pytest.fixture(scope="module")
 def data(spark):
     rnd = random.Random(11)
@@ -71,3 +79,40 @@ def test_ranked_strings(spark):
     got = sorted((r.r, r.c) for r in ranked(vals, "c", "r", 7).collect())
     assert [c for _, c in got] == sorted(f"code{i:05d}" for i in range(0, 3000, 3))
     assert [r for r, _ in got] == list(range(1000))
+
+
+def test_one_time_for_all_rows_is_cut(spark, bucket_rows):
+    """A key whose rows all share one time: ranges follow the tie column, and all helpers stay exact."""
+    from staytrail.operators.ordered import fill_nulls, running_sum
+    n = 2000
+    same = spark.range(n).select(F.lit(7).cast("long").alias("k"), F.lit(1.5).alias("t"), F.format_string("r%05d", "id").alias("id"),
+                                 F.when(F.col("id") % 9 == 0, F.col("id")).alias("v"), (F.col("id") % 5).alias("x"))
+    keys = [Key("t"), Key("id")]
+    dealt = ordered._dealt(same, ["k"], keys, 1.0).groupBy("k", *ordered.RANGE).count().collect()
+    if bucket_rows < n:
+        assert len(dealt) > 20 and max(r["count"] for r in dealt) < n / 10 and sum(r["count"] for r in dealt) == n
+    else:
+        assert len(dealt) == 1
+    d = position(same, "k", keys, 1.0, "p")
+    d = running_sum(d, "k", keys, "x", 1.0, "s")
+    d = neighbour(d, "k", keys, "p", 1.0, "nxt")
+    d = fill_nulls(d, "k", keys, "v", 1.0, "f")
+    rows = sorted(d.collect(), key=lambda r: r.id)
+    assert [r.p for r in rows] == list(range(n))
+    assert [r.nxt for r in rows] == [*range(1, n), None]
+    assert [r.f for r in rows] == [i - i % 9 for i in range(n)]
+    total = 0
+    for r in rows:
+        total += r.x
+        assert r.s == total
+
+
+def test_cut_with_null_key_null_time_and_extra_columns(spark):
+    rows = [(None if i % 2 else 1, None if i % 3 else 0.0, i, f"e{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, t double, id long, extra string")
+    keys = [Key("t", asc=False, nulls_first=True), Key("id", asc=False)]
+    w = Window.partitionBy("k").orderBy(F.col("t").desc_nulls_first(), F.col("id").desc())
+    want = {r.id: (r.p, r.extra) for r in df.select("id", "extra", (F.row_number().over(w) - 1).alias("p")).collect()}
+    assert {r.id: (r.pos, r.extra) for r in position(df, "k", keys, 1.0).collect()} == want
+    empty = position(df.filter("id < 0"), "k", keys, 1.0)
+    assert empty.columns == [*df.columns, "pos"] and empty.count() == 0
