@@ -1,11 +1,10 @@
 """Window operators over keyed, time-ordered rows.
 
 Partitioning notes (for 100 TB scale):
-* ``trailing_count`` partitions by (key, time bucket) instead of key alone: each
-  row is also emitted once into the next bucket as narrow context (key, time),
-  from the same scan, so a hot key is spread over as many tasks as it has
-  buckets, and the result is exact because the frame never reaches further
-  back than one bucket.
+* ``trailing_count`` is the difference of two prefix counts over the distinct
+  (key, time) pairs: within a day from a window per (key, day), across days from
+  one row a day.  Equal times are combined before they move, so a hot key is
+  spread over as many tasks as it has days.
 * ``latest_per_group`` and ``first_per_group`` are ``min_by`` aggregates over a
   struct: partial aggregation runs before the shuffle, so a hot group never lands
   whole in one task (Spark runs them sort-based, as structs can't be updated in
@@ -32,28 +31,36 @@ def trailing_count(df: DataFrame, key: str, ts: str, min_days: int = 1, max_days
     """For each row: rows of the same key whose ``ts`` lies ``min_days``..``max_days``
     *whole* (floored) days earlier.  floor(d) in [a, b] <=> a days <= d < b+1 days.
 
-    One scan: every row is emitted by ``explode`` into its own time bucket and,
-    as a narrow copy (key and time only), into the next k buckets, where k
-    buckets cover the frame; the range window runs per (key, bucket).  The
-    count is exact, and a hot key is split over as many tasks as it has
-    buckets (``bucket_days``, default one frame length: k = 1; smaller buckets
-    split finer at the cost of more copies)."""
-    hi = min_days * MICROS_PER_DAY                   # at least this far back
-    lo = (max_days + 1) * MICROS_PER_DAY - 1         # at most this far back
-    width = (bucket_days or (max_days + 1)) * MICROS_PER_DAY
-    k = -(-lo // width)                              # buckets the frame can reach back
-    others = [c for c in df.columns if c != key]
-    t = epoch_micros(ts)
-    b = F.floor(t / F.lit(width)).cast("long")
-    own = F.struct(F.lit(True).alias("own"), b.alias("bk"))
-    ctx = [F.struct(F.lit(False).alias("own"), (b + i).alias("bk")) for i in range(1, k + 1)]
-    rows = (df.withColumn("_t", t)
-              .withColumn("_x", F.explode(F.when(t.isNull(), F.array(own)).otherwise(F.array(own, *ctx))))
-              .select(key, "_t", F.col("_x.own").alias("_own"), F.col("_x.bk").alias("_b"),
-                      *[F.when(F.col("_x.own"), F.col(c)).alias(c) for c in others]))
-    w = Window.partitionBy(key, "_b").orderBy("_t").rangeBetween(-lo, -hi)
-    counted = rows.withColumn(out, F.when(F.col("_t").isNull(), F.lit(0)).otherwise(F.count("_t").over(w)).cast("long"))
-    return counted.filter("_own").select(*df.columns, out)
+    The count is (rows up to t - a days) minus (rows up to t - (b+1) days), so it
+    depends on the key and t alone.  Rows are counted by (key, t); each such pair
+    goes to the buckets (``bucket_days``, a day by default) of its own time and of
+    both bounds.  A prefix count is what earlier buckets of the key hold, from one
+    row a bucket, plus what the bucket itself holds up to the bound.  Pairs with a
+    count go back to the rows from a written table, so that the rows of a hot pair
+    can be split.  Null keys are one key; a null time counts nothing and is not counted."""
+    near = min_days * MICROS_PER_DAY                 # at least this far back
+    far = (max_days + 1) * MICROS_PER_DAY            # less than this far back
+    width = (bucket_days or 1) * MICROS_PER_DAY
+    times = (df.select(F.col(key).alias("_k"), epoch_micros(ts).alias("_t")).filter(F.col("_t").isNotNull())
+               .groupBy("_k", "_t").agg(F.count(F.lit(1)).alias("_n")))
+    no_rows = F.lit(0).cast("long")
+    marks = F.array(F.struct(F.col("_t").alias("at"), F.col("_n").alias("held"), F.lit(0).alias("sign")),
+                    F.struct((F.col("_t") - near).alias("at"), no_rows.alias("held"), F.lit(1).alias("sign")),
+                    F.struct((F.col("_t") - far).alias("at"), no_rows.alias("held"), F.lit(-1).alias("sign")))
+    at = (times.select("_k", "_t", F.explode(marks).alias("_m")).select("_k", "_t", "_m.*")
+               .withColumn("_b", F.floor(F.col("at") / F.lit(width)).cast("long")))
+    earlier = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = (at.groupBy("_k", "_b").agg(F.sum("held").alias("_h"))
+                 .select(F.col("_k").alias("_k0"), F.col("_b").alias("_b0"),
+                         F.coalesce(F.sum("_h").over(earlier), F.lit(0)).alias("_before")))
+    upto = Window.partitionBy("_k", "_b").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    prefix = (at.withColumn("_in", F.sum("held").over(upto))
+                .join(buckets, (F.col("_b") == F.col("_b0")) & F.col("_k").eqNullSafe(F.col("_k0"))))
+    counts = (prefix.filter("sign != 0").groupBy(F.col("_k"), F.col("_t"))
+                    .agg(F.sum(F.col("sign") * (F.col("_in") + F.col("_before"))).alias("_c")).filter("_c > 0"))
+    found = materialize(counts, "trailing")
+    cond = F.col(key).eqNullSafe(F.col("_k")) & (epoch_micros(ts) == F.col("_t"))
+    return df.join(found, cond, "left").select(*[df[c] for c in df.columns], F.coalesce("_c", no_rows).alias(out))
 
 
 def next_value(df: DataFrame, key: str | Sequence[str], order: Sequence[Key], value: str, out: str,

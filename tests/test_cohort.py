@@ -91,3 +91,33 @@ def test_trailing_count_matches_plain_window(spark):
                windows.trailing_count(df, "subject_id", "outtime", 1, 365, "n", bucket_days).collect()}
         assert got == want
     spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_trailing_count_equals_brute_force(spark):
+    """Null keys are one key, null times count nothing, repeated rows count each, and frame ends are exact."""
+    import random
+    from datetime import timedelta
+    rnd = random.Random(4)
+    zero = ts("2100-01-01 00:00")
+    when = lambda: zero + timedelta(days=rnd.randrange(12), seconds=rnd.choice([0, 0, 1, 43200]))
+    rows = [(rnd.choice([1, 1, 1, 2, None]), i, None if rnd.random() < 0.1 else when()) for i in range(300)]
+    rows += rows[:20]
+    df = spark.createDataFrame(rows, "k long, id long, t timestamp_ntz")
+    for lo, hi, bucket in ((1, 5, None), (0, 3, 1), (2, 2, 4), (1, 365, 30)):
+        got = sorted(((r.k, r.id, r.t, r.n) for r in windows.trailing_count(df, "k", "t", lo, hi, "n", bucket).collect()), key=str)
+        want = [(k, i, t, sum(kk == k and t is not None and tt is not None and lo <= (t - tt).total_seconds() // 86400 <= hi
+                              for kk, _, tt in rows)) for k, i, t in rows]
+        assert got == sorted(want, key=str)
+    assert windows.trailing_count(df.filter("id < 0"), "k", "t").count() == 0
+
+
+def test_trailing_count_of_a_hot_subject_is_dealt_by_day(spark):
+    """200,000 stays of one subject in a year: no (subject, bucket) holds more than a few of them."""
+    n = 200_000
+    df = spark.range(n).select(F.lit(1).alias("k"), F.timestamp_add("SECOND", (F.col("id") * 157).cast("int"),
+                                                                    F.lit("2100-01-01").cast("timestamp_ntz")).alias("t"))
+    got = windows.trailing_count(df, "k", "t", 1, 30, "n").agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    day, frame = 86400 / 157, 31 * 86400 / 157
+    assert abs(got.most - (frame - day)) <= 1
+    lags = [j for j in range(1, n) if 1 <= j * 157 // 86400 <= 30]
+    assert got["all"] == sum(n - j for j in lags)
