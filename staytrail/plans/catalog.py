@@ -116,6 +116,17 @@ def chunked_append_ingest(spark, sf):
     return _chart_ingest(spark, sf, None)
 
 
+@register("mixed_header_ingest", B("SELECT * FROM chart_clean", "chart_clean"))
+def mixed_header_ingest(spark, sf):
+    """Raw chart files in two column orders in one folder, cleaned by the stream of file names."""
+    raw, out, ckpt = (scratch_path(spark, n) for n in ("chart_mixed", "chart_clean", "chart_ckpt"))
+    rows = _as_chart_file(TestViews(spark, sf).chart)
+    later = F.pmod(F.xxhash64("ITEMID", "CHARTTIME", "VALUENUM"), F.lit(2)) == 1
+    files.write_csv(rows.filter(~later).repartition(2), raw)
+    files.write_csv(rows.filter(later).select(*reversed(rows.columns)).repartition(2), raw, mode="append")
+    return ingest.ingest_mixed_once(spark, raw, out, ckpt, CHART_SCHEMA, event_ops.clean_chart_events, 2)
+
+
 @register("stage_table_read", B("SELECT * FROM cohort", "cohort"))
 def stage_table_read(spark, sf):
     path = scratch_path(spark, "cohort_stage")

@@ -1,5 +1,9 @@
 """CSV columns are bound by header name; malformed records are errors in every reader."""
 
+import csv
+import shutil
+from pathlib import Path
+
 import pytest
 from conftest import ts
 from pyspark.sql import functions as F
@@ -63,12 +67,76 @@ def test_reordered_columns_and_missing_column(spark, tmp_path):
         files.read_events_csv(spark, raw, CHART_SCHEMA)
 
 
-def test_files_with_different_headers_raise(spark, tmp_path):
-    raw = write(tmp_path / "two", ROWS)
-    swapped = ["SUBJECT_ID", "ROW_ID", *CHART_HEADER[2:]]
-    write(tmp_path / "two", ROWS, swapped, "b.csv")
-    with pytest.raises(Exception, match="header"):
-        files.read_events_csv(spark, raw, CHART_SCHEMA).collect()
+def mixed(spark, raw, out, ckpt, per_trigger=None):
+    done = ingest.ingest_mixed_once(spark, raw, out, ckpt, CHART_SCHEMA, events.clean_chart_events, per_trigger)
+    return sorted((r.icustay_id, r.charttime, r.ce_type, round(r.valuenum, 9)) for r in done.collect())
+
+
+def turned(rows):
+    """The rows and the header with their columns from last to first."""
+    cells = [next(csv.reader([r])) for r in rows]
+    quoted = [",".join(f'"{x}"' if "," in x else x for x in reversed(c)) for c in cells]
+    return quoted, CHART_HEADER[::-1]
+
+
+def test_files_with_different_headers_are_read_by_name(spark, tmp_path):
+    raw = write(tmp_path / "two", ROWS[:1])
+    write(tmp_path / "two", *turned(ROWS[1:]), "b {x} 100%25+[1].csv")  # the name has no meaning as a pattern or a code
+    (tmp_path / "two" / "empty.csv").write_text("")
+    (tmp_path / "two" / "blank.csv").write_text("\n\n")
+    one = write(tmp_path / "one", ROWS)
+    want = clean(files.read_events_csv(spark, one, CHART_SCHEMA))
+    assert len(want) == 2 and clean(files.read_events_csv(spark, raw, CHART_SCHEMA)) == want
+    assert sorted(len(f) for f in files.csv_headers(spark, raw).values()) == [1, 1]
+    assert clean(read_table(spark, raw, TABLES["chart"][1])) == want
+    for per_trigger in (1, None):
+        assert mixed(spark, raw, scratch_path(spark, "out"), scratch_path(spark, "ckpt"), per_trigger) == want
+
+
+def test_mixed_stream_goes_on_with_new_files_and_counts_each_once(spark, tmp_path):
+    raw = write(tmp_path / "feed", ROWS[:1])
+    out, ckpt = scratch_path(spark, "out"), scratch_path(spark, "ckpt")
+    assert [r[2] for r in mixed(spark, raw, out, ckpt)] == ["HEART_RATE"]
+    write(tmp_path / "feed", *turned(ROWS[1:]), "b.csv")
+    both = mixed(spark, raw, out, ckpt)
+    assert [r[2] for r in both] == ["HEART_RATE", "BODY_TEMPERATURE"]
+    # a batch that runs again replaces its own rows
+    last = max(int(p.name) for p in (Path(ckpt) / "commits").glob("[0-9]*"))
+    undone = scratch_path(spark, "ckpt")
+    shutil.copytree(ckpt, undone, ignore=lambda d, names: [str(last), f".{last}.crc"] if d.endswith("commits") else [])
+    assert last == 1 and mixed(spark, raw, out, undone) == both
+    (tmp_path / "feed" / "c.csv").write_text("")
+    assert mixed(spark, raw, out, ckpt) == both
+
+
+def test_a_missing_column_or_bad_record_in_one_of_two_headers_raises(spark, tmp_path):
+    raw = write(tmp_path / "few", ROWS)
+    write(tmp_path / "few", ["1,2"], ["SUBJECT_ID", "ITEMID"], "b.csv")
+    with pytest.raises(ValueError, match="valuenum"):
+        files.read_events_csv(spark, raw, CHART_SCHEMA)
+    raw = write(tmp_path / "bad", ROWS)
+    write(tmp_path / "bad", *turned([ROWS[0].replace("80,80,", "80,eighty,")]), "b.csv")
+    with pytest.raises(Exception, match="MALFORMED|FAILED_READ|malformed"):
+        clean(files.read_events_csv(spark, raw, CHART_SCHEMA))
+    with pytest.raises(Exception, match="MALFORMED|FAILED_READ|malformed|terminated with"):
+        mixed(spark, raw, scratch_path(spark, "out"), scratch_path(spark, "ckpt"))
+    with pytest.raises(ValueError, match="no header"):
+        files.read_events_csv(spark, write_empty(tmp_path), CHART_SCHEMA)
+
+
+def write_empty(tmp_path):
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "a.csv").write_text("")
+    return str(tmp_path / "none")
+
+
+def test_header_read_leaves_settings_and_other_separators(spark, tmp_path):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "a.csv").write_text("b;a\n2;1\n")
+    (tmp_path / "b.csv").write_text('"a";"b"\n3;4\n')
+    got = files.read_events_csv(spark, str(tmp_path), "a int, b int", options={"sep": ";"})
+    assert sorted(map(tuple, got.collect())) == [(1, 2), (3, 4)]
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
 
 
 def test_metric_history_appends_and_numbers(spark):
