@@ -6,9 +6,9 @@ Each registered query is executed in full with the no-op sink (every row is
 produced, nothing is collected to the driver), BENCH_REPEATS times (3 by
 default); its time is the median, from the raw tables each time, and its
 scratch tables are deleted in between.  ``chart_rows_per_s`` is the rate of the
-chart-event cleaner over the raw chart rows repeated 1, 10 and 100 times and
-written as Parquet before, so that its growth with size can be read.  Prints
-one JSON line.
+chart-event stage from CSV files in the raw layout (15 columns) to a Parquet
+table, over the raw chart rows repeated 1, 10 and 100 times, so that its growth
+with size can be read.  Prints one JSON line.
 """
 
 from __future__ import annotations
@@ -48,6 +48,7 @@ def main() -> None:
     from staytrail.plans import catalog
     from staytrail.plans.views import TestViews
     from staytrail.session import drop_scratch, get_session, scratch_path
+    from staytrail.sources.files import read_events_csv, write_csv, write_stage
 
     spark = get_session(f"local[{cpus}]", int(cpus) * 2,
                         extra={"spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g"})
@@ -69,13 +70,14 @@ def main() -> None:
     rates = {}
     chart = TestViews(spark, sf_dir).chart
     for n in (1, 10, 100):
-        path = scratch_path(spark, "bench_chart")
-        chart.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(n)))).drop("_n").repartition(int(cpus) * 2).write.parquet(path)
-        rows = spark.read.parquet(path).count()
+        path, out = scratch_path(spark, "bench_chart"), scratch_path(spark, "bench_clean")
+        many = chart.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(n)))).drop("_n")
+        write_csv(catalog.as_chart_file(many).repartition(int(cpus) * 2), path)
+        rows = chart.count() * n
         runs = []
         for _ in range(repeats):
             t = time.time()
-            consume(clean_chart_events(spark.read.parquet(path)))
+            write_stage(clean_chart_events(read_events_csv(spark, path, catalog.CHART_SCHEMA)), out)
             runs.append(time.time() - t)
         rates[str(rows)] = round(rows / median(runs))
         drop_scratch(spark)

@@ -96,7 +96,7 @@ CHART_HEADER = ["ROW_ID", "SUBJECT_ID", "HADM_ID", "ICUSTAY_ID", "ITEMID", "CHAR
                 "VALUEUOM", "WARNING", "ERROR", "RESULTSTATUS", "STOPPED"]
 
 
-def _as_chart_file(chart: DataFrame) -> DataFrame:
+def as_chart_file(chart: DataFrame) -> DataFrame:
     """The rows in the layout of a raw chart file: all its columns, unused ones as some text or empty."""
     have = {c.upper() for c in chart.columns}
     fill = {"ROW_ID": F.lit("1"), "VALUE": F.lit("as, text"), "VALUEUOM": F.lit("bpm")}
@@ -106,7 +106,7 @@ def _as_chart_file(chart: DataFrame) -> DataFrame:
 
 def _chart_ingest(spark, sf, per_trigger):
     raw, out, ckpt = (scratch_path(spark, n) for n in ("chart_raw", "chart_clean", "chart_ckpt"))
-    files.write_csv(_as_chart_file(TestViews(spark, sf).chart).repartition(4), raw)
+    files.write_csv(as_chart_file(TestViews(spark, sf).chart).repartition(4), raw)
     return ingest.ingest_once(spark, raw, out, ckpt, CHART_SCHEMA, event_ops.clean_chart_events, per_trigger)
 
 
@@ -120,7 +120,7 @@ def chunked_append_ingest(spark, sf):
 def mixed_header_ingest(spark, sf):
     """Raw chart files in two column orders in one folder, cleaned by the stream of file names."""
     raw, out, ckpt = (scratch_path(spark, n) for n in ("chart_mixed", "chart_clean", "chart_ckpt"))
-    rows = _as_chart_file(TestViews(spark, sf).chart)
+    rows = as_chart_file(TestViews(spark, sf).chart)
     later = F.pmod(F.xxhash64("ITEMID", "CHARTTIME", "VALUENUM"), F.lit(2)) == 1
     files.write_csv(rows.filter(~later).repartition(2), raw)
     files.write_csv(rows.filter(later).select(*reversed(rows.columns)).repartition(2), raw, mode="append")
