@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, stage, text_or_empty
@@ -64,33 +64,44 @@ def templates(line: bytes) -> list[int]:
     return out
 
 
+#: two hashes of a text, 96 bits together: texts of one first hash are still told apart
+TEXT = ("text_id", "text_check")
+
+
+def _text_key() -> list[Column]:
+    return [F.xxhash64("text").alias("text_id"), F.hash("text").alias("text_check")]
+
+
 def _parsed(docs: DataFrame) -> DataFrame:
-    """(text_id, line, template) for all templates of all lines; copies of a text may come once a task."""
+    """(text_id, text_check, line, template) for all templates of all lines; copies of a text may come once a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for b in batches:
-            ids, lines, found = [], [], []
-            for h, t in zip(b.column(0).to_pylist(), b.column(1)):
-                if h in seen:
+            ids, checks, lines, found = [], [], [], []
+            for h, c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if (h, c) in seen:
                     continue
-                seen.add(h)
+                seen.add((h, c))
                 own = [(i, x) for i, line in enumerate(t.as_py().encode("utf-8", "surrogatepass").split(b"\n")) for x in templates(line)]
                 if own:
                     ids.append(h)
+                    checks.append(c)
                     lines.append([i for i, _ in own])
                     found.append([x for _, x in own])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.list_(pa.int32())),
-                                              pa.array(found, pa.list_(pa.int64()))], ["text_id", "line", "template"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(checks, pa.int32()), pa.array(lines, pa.list_(pa.int32())),
+                 pa.array(found, pa.list_(pa.int64()))], [*TEXT, "line", "template"])
 
-    packed = docs.select(F.xxhash64("text"), text_or_empty()).mapInArrow(run, "text_id long, line array<int>, template array<long>")
-    return packed.select("text_id", F.explode(F.arrays_zip("line", "template")).alias("x")).select("text_id", "x.line", "x.template")
+    packed = docs.select(*_text_key(), text_or_empty()).mapInArrow(
+        run, "text_id long, text_check int, line array<int>, template array<long>")
+    return packed.select(*TEXT, F.explode(F.arrays_zip("line", "template")).alias("x")).select(*TEXT, "x.line", "x.template")
 
 
 def recurring_templates(parsed: DataFrame, min_texts: int | None = None) -> DataFrame:
     """(template) of all templates in at least ``min_texts`` distinct texts, by default as MIN_TEXTS says."""
     by_size = F.element_at(F.array(*(F.lit(n) for _, n in MIN_TEXTS)), F.col("template").bitwiseAND(3).cast("int") + 1)
     need = by_size if min_texts is None else F.lit(min_texts)
-    each = parsed.select("template", "text_id").distinct()  # dealt by template and text: no template is hot
+    each = parsed.select("template", *TEXT).distinct()  # dealt by template and text: no template is hot
     return each.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= need).select("template")
 
 
@@ -107,8 +118,8 @@ def dedup_lines(docs: DataFrame, min_texts: int | None = None) -> DataFrame:
     parsed = stage(_parsed(docs), "lines")
     common = stage(recurring_templates(parsed, min_texts), "templates")
     few = common.count() <= BROADCAST_ROWS
-    hits = parsed.join(F.broadcast(common) if few else common, "template").select("text_id", "line")
-    hits = stage(hits.groupBy("text_id").agg(F.collect_set("line").alias("dropped")), "dropped-lines")
+    hits = parsed.join(F.broadcast(common) if few else common, "template").select(*TEXT, "line")
+    hits = stage(hits.groupBy(*TEXT).agg(F.collect_set("line").alias("dropped")), "dropped-lines")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -122,7 +133,7 @@ def dedup_lines(docs: DataFrame, min_texts: int | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)],
                                              ["doc_id", "n_lines", "n_dropped", "dropped", "kept"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *_text_key())
     # hits grow with the corpus, so texts are dealt by hash at every size; adaptive skew joins split a group of copies
-    return texts.join(hits.hint("merge"), "text_id", "left").select("doc_id", "text", "dropped").mapInArrow(
+    return texts.join(hits.hint("merge"), list(TEXT), "left").select("doc_id", "text", "dropped").mapInArrow(
         apply, "doc_id long, n_lines long, n_dropped long, dropped array<int>, kept string")

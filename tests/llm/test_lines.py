@@ -2,6 +2,7 @@ import random
 import re
 
 from helpers import DOC, awkward, prose, with_extra
+from pyspark.sql import functions as F
 
 from staytrail.llm import lines
 
@@ -102,3 +103,15 @@ def test_verbatim_lines_of_variable_words(spark):
 
 def test_empty(spark):
     assert lines.dedup_lines(spark.createDataFrame([], DOC)).collect() == []
+
+
+def test_texts_of_one_first_hash_are_told_apart(spark, monkeypatch):
+    """With a first hash that is the same for all texts, the second one alone keeps every text's lines its own."""
+    shared = "all rights to this very page stay with its many authors"
+    rows = [(i, f"only text {chr(97 + i)} says {chr(97 + i) * 3} here\n" * (i % 3) + shared) for i in range(14)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((r.doc_id, r.dropped, r.kept) for r in lines.dedup_lines(df, 10).collect())
+    assert [d for _, d, _ in want] == [[i % 3] for i in range(14)]
+    second = lambda: [F.lit(1).cast("long").alias("text_id"), F.hash("text").alias("text_check")]
+    monkeypatch.setattr(lines, "_text_key", second)
+    assert sorted((r.doc_id, r.dropped, r.kept) for r in lines.dedup_lines(df, 10).collect()) == want
