@@ -120,7 +120,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", cache: s
     narrow = stage(keyed.select("doc_id", "digest", F.octet_length("_t").cast("long").alias("n_bytes"), "_r"), "digests")
     misses = narrow.groupBy("digest").agg(F.min("_r").alias("_r")).join(read_cache(spark, cache, kind), "digest", "left_anti")
     # a miss names one row (or repeats of it): copies don't meet in the exchange, as the row's hash is part of the key
-    texts = keyed.select("digest", "_r", "_t").join(misses.hint("shuffle_hash"), ["digest", "_r"], "left_semi")
+    texts = keyed.select("digest", "_r", "_t").join(misses, ["digest", "_r"], "left_semi")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer)
