@@ -6,8 +6,8 @@ length, as short texts carry the frame's overhead and long ones profit from thei
 code point, so that letters of several bytes don't read as repetition.  Base rules (few words, many repeated
 three-word windows) come first.  Row-local: one pass, no shuffle.
 
-Limits follow the corpus: ``fit_limits`` takes them as quantiles of the ratios of a bounded sample of documents that are
-labelled clean.  Where there are no labels, or too few of a length, neutral limits hold.
+Limits follow the corpus: ``fit_limits`` takes them as quantiles of the ratios of all documents that are labelled clean, but
+for the fifth of the ids that is left for checks.  Where there are no labels, or too few of a length, neutral limits hold.
 """
 
 from __future__ import annotations
@@ -23,13 +23,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, stage
 
 LEVEL = 3
 CHUNK = 4096
-#: fitting: documents labelled clean that are looked at, at most; share of their ratios beyond each limit, what is added
-#: to the limits; rows that a band needs by itself and with its neighbours
-LABELLED, BEYOND, BELOW, ABOVE, ALONE, TOGETHER = 20_000, 0.001, 0.005, 0.05, 500, 50
+#: fitting: share of the ratios beyond each limit, what is added to the limits; rows that a band needs by itself and with
+#: its neighbours
+BEYOND, BELOW, ABOVE, ALONE, TOGETHER = 0.001, 0.005, 0.05, 500, 50
+#: ids of documents labelled clean up to which they are broadcast; beyond, ratios of all documents are joined to them
+BROADCAST_IDS = 500_000
 #: lengths in bytes at which fitted bands start: two an octave, from 256 bytes to a megabyte
 EDGES = tuple(round(256 * 2 ** (k / 2)) for k in range(25))
 
@@ -120,11 +122,12 @@ def judge(text: str | None, compressor: zstandard.ZstdCompressor, limits: Limits
     return n, chars, symbols, dup, repeated, failed, kept, whole, bad, len(found)
 
 
-def fit_limits(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Limits:
+def fit_limits(docs: DataFrame, labels: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> Limits:
     """Limits from documents of ``docs`` (doc_id, text) that ``labels`` (doc_id, quality) calls clean (quality 1).
 
-    Of the labelled ids whose CRC-32 modulo 5 is not 0 (the rest is left for checks) at most about ``bound`` are drawn
-    by a hash of the id and broadcast; documents that the base rules reject don't count.  A band's limits are the
+    All labelled ids whose CRC-32 modulo 5 is not 0 count (the rest is left for checks), but for documents that the base
+    rules reject.  Up to ``broadcast_ids`` ids are broadcast to the documents; beyond, all documents are measured and
+    only their ratios move to the ids, never their texts.  Both ways give the same rows.  A band's limits are the
     BEYOND and 1 - BEYOND quantiles of its ratios, BELOW less and ABOVE more; a band with fewer than ALONE rows is taken
     together with its neighbours, one with fewer than TOGETHER even so keeps the neutral limits.  Ratios are rounded
     to four places, so that the quantiles are exact and their state is small.  Null ids and labels don't count; an id
@@ -133,17 +136,21 @@ def fit_limits(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Lim
     bounded_batches(docs.sparkSession)
     clean = (labels.select("doc_id", "quality").filter("doc_id is not null and quality is not null").groupBy("doc_id")
              .agg(F.min("quality").alias("q")).filter("q = 1").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
+    clean = stage(clean.select("doc_id"), "clean")
     n = clean.count()
     if not n:
         return NEUTRAL
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) < F.lit(int(min(1.0, bound / n) * (1 << 30)))
-    sample = docs.select("doc_id", "text").join(F.broadcast(clean.filter(draw).select("doc_id")), "doc_id")  # about ``bound`` rows
+    texts = docs.select("doc_id", "text")
+    few = n <= broadcast_ids
+    if few:
+        texts = texts.join(F.broadcast(clean), "doc_id", "left_semi")  # ``broadcast_ids`` rows at most
+    names = ["doc_id", "kind", "band", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=LEVEL)
         for b in batches:
             out = []
-            for t in b.column(0):
+            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                 text = t.as_py()
                 words, _, _, _, repeated = base_counts(text)
                 if words < MIN_WORDS or 100 * repeated > MAX_REPEAT_PERCENT * words:
@@ -151,13 +158,15 @@ def fit_limits(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Lim
                 data = text.encode("utf-8", "surrogatepass")
                 found = chunk_ratios(data, compressor)
                 whole, density = len(compressor.compress(data)) / len(data), len(text) / len(data)
-                out.append(("whole", bisect_right(EDGES, len(data)) - 1, whole / density, whole))
+                out.append((i, "whole", bisect_right(EDGES, len(data)) - 1, whole / density, whole))
                 kind = sum(len(found) >= c[0] for c in NEUTRAL.chunks) - 1
-                out += [("chunk", kind, x / density, x) for x in found]
+                out += [(i, "chunk", kind, x / density, x) for x in found]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(
-                (pa.string(), pa.int32(), pa.float64(), pa.float64()))], ["kind", "band", "low", "high"])
+                (b.column(0).type, pa.string(), pa.int32(), pa.float64(), pa.float64()))], names)
 
-    found = sample.select("text").mapInArrow(run, "kind string, band int, low double, high double")
+    found = texts.mapInArrow(run, f"doc_id {dict(texts.dtypes)['doc_id']}, kind string, band int, low double, high double")
+    if not few:
+        found = found.join(clean, "doc_id", "left_semi")
     own = F.struct(F.col("band"), F.lit(True).alias("own"))
     near = [F.struct((F.col("band") + i).alias("band"), F.lit(False).alias("own")) for i in (-1, 0, 1)]
     pooled = found.select("kind", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), F.explode(F.array(own, *near)).alias("b"))

@@ -170,6 +170,34 @@ def test_limits_are_quantiles_of_clean_ratios(spark):
         assert abs(limits.whole[k][1] - (low - quality.BELOW)) < 1e-6, edge[k]
 
 
+def test_all_labelled_rows_count(spark):
+    """Limits are the quantiles of every clean row, also of more than 20,000."""
+    rnd = random.Random(10)
+    words = prose(rnd, 400, 300).split()
+    docs = [(i, " ".join(rnd.choices(words, k=rnd.randrange(55, 200))), "en", "s", 1)
+            for i in range(26_000)]
+    limits = quality.fit_limits(spark.createDataFrame(docs, DOC), spark.createDataFrame([(d[0], 1, 0) for d in docs], LABELS))
+    c, by = zstandard.ZstdCompressor(level=quality.LEVEL), {}
+    for i, text, *_ in docs:
+        if zlib.crc32(str(i).encode()) % 5 and not brute(text)[5]:
+            k = max(j for j, e in enumerate(quality.EDGES) if e <= len(text))
+            by.setdefault(k, []).append(round(len(c.compress(text.encode())) / len(text), 4))
+    assert sum(map(len, by.values())) > 20_000
+    for k, found in by.items():
+        if len(found) >= quality.ALONE:
+            at = quality.BEYOND * (len(found) - 1)
+            found.sort()
+            low = found[int(at)] + (found[int(at) + 1] - found[int(at)]) * (at - int(at))
+            assert abs(limits.whole[k][1] - (low - quality.BELOW)) < 1e-6, k
+
+
+def test_joined_ratios_give_what_broadcast_ids_give(spark):
+    docs, labels = labelled(600, seed=11)
+    docs, labels = spark.createDataFrame([*docs, docs[1], (None, *docs[1][1:])], DOC), spark.createDataFrame(labels, LABELS)
+    few = quality.fit_limits(docs, labels)
+    assert quality.fit_limits(docs, labels, broadcast_ids=0) == few != quality.NEUTRAL
+
+
 def test_no_labels_give_neutral_limits(spark, tmp_path):
     docs = spark.createDataFrame(awkward(), DOC)
     assert quality.fit_limits(docs, spark.createDataFrame([], LABELS)) == quality.NEUTRAL
