@@ -19,14 +19,19 @@ range and written; all others stay as they are.
 The join and the inner window share the (key, range) partitioning, so this
 costs one extra aggregation and a join of a table far smaller than the data.
 Results equal the single-window versions exactly (tests compare them).
+
+Only keys with more than ``BUCKET_ROWS`` rows need that.  All others are one range
+each, as large as a bucket may be: their rows move once, by the key alone, so that
+further steps by the key find them together, and nothing is joined back.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.timefns import epoch_micros
@@ -126,10 +131,33 @@ def _join_back(d: DataFrame, small: DataFrame, ks: list[str]) -> DataFrame:
     return d.join(small, cond).drop("_b", "_s", *[f"_k{i}" for i in range(len(ks))])
 
 
+def _by_size(df: DataFrame, ks: Sequence[str], keys: Sequence[Key], whole: Callable[[DataFrame, WindowSpec], DataFrame],
+             ranged: Callable[[DataFrame], DataFrame], like: DataFrame | None) -> DataFrame:
+    """``whole`` of the rows whose key has up to ``BUCKET_ROWS`` rows, each key one range (numbered by its hash) and in
+    one place, and ``ranged`` of all others.  ``like`` is an earlier input with the same rows a key, of which ``df`` is the result:
+    keys are counted there, and the rows lie together already."""
+    counts = (df if like is None else like).groupBy(*ks).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BUCKET_ROWS)
+    full = materialize(counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(ks)]), "full")
+    window = Window.partitionBy(*ks, "_bk").orderBy(*[k.order() for k in keys])
+
+    def each(d: DataFrame) -> DataFrame:
+        d = (d.repartition(*ks) if like is None else d).withColumn("_bk", F.pmod(F.xxhash64(*ks), F.lit(1 << 20)))
+        return whole(d, window).drop("_bk")
+
+    if full.isEmpty():
+        return each(df)
+    cond = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(ks)])
+    return each(df.join(full, cond, "left_anti")).unionByName(ranged(df.join(full, cond, "left_semi")))
+
+
 def position(df: DataFrame, key: str | Sequence[str], keys: Sequence[Key], width: float,
-             out: str = "pos") -> DataFrame:
+             out: str = "pos", like: DataFrame | None = None) -> DataFrame:
     """0-based row number within ``key`` in the order of ``keys`` (a total order)."""
-    ks = _keys(key)
+    number = lambda d, w: d.withColumn(out, (F.row_number().over(w) - 1).cast("int"))
+    return _by_size(df, _keys(key), keys, number, lambda d: _position(d, _keys(key), keys, width, out), like)
+
+
+def _position(df: DataFrame, ks: list[str], keys: Sequence[Key], width: float, out: str) -> DataFrame:
     d = _dealt(df, ks, keys, width)
     counts = d.groupBy(*ks, *RANGE).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*ks).orderBy(*RANGE).rowsBetween(Window.unboundedPreceding, -1)
@@ -140,10 +168,15 @@ def position(df: DataFrame, key: str | Sequence[str], keys: Sequence[Key], width
 
 
 def neighbour(df: DataFrame, key: str | Sequence[str], keys: Sequence[Key], value: str, width: float, out: str,
-              following: bool = True) -> DataFrame:
+              following: bool = True, like: DataFrame | None = None) -> DataFrame:
     """``value`` of the next (``following``) or previous row within ``key`` in the
     order of ``keys``; null at the end.  Like lead/lag over the whole key."""
-    ks = _keys(key)
+    shifted = lambda d, w: d.withColumn(out, (F.lead if following else F.lag)(value).over(w))
+    return _by_size(df, _keys(key), keys, shifted, lambda d: _neighbour(d, _keys(key), keys, value, width, out, following), like)
+
+
+def _neighbour(df: DataFrame, ks: list[str], keys: Sequence[Key], value: str, width: float, out: str,
+               following: bool) -> DataFrame:
     dealt = _dealt(df, ks, keys, width)
     w = Window.partitionBy(*ks, *RANGE).orderBy(*[k.order() for k in keys])
     shift = F.lead if following else F.lag
@@ -159,12 +192,21 @@ def neighbour(df: DataFrame, key: str | Sequence[str], keys: Sequence[Key], valu
 
 
 def running_sum(df: DataFrame, key: str | Sequence[str], keys: Sequence[Key], value: str, width: float, out: str,
-                suffix: bool = False) -> DataFrame:
+                suffix: bool = False, like: DataFrame | None = None) -> DataFrame:
     """Sum of ``value`` from the first row of the key up to this row (or, with
     ``suffix``, from this row to the last), in the order of ``keys``."""
-    ks = _keys(key)
-    w = Window.partitionBy(*ks, *RANGE).orderBy(*[k.order() for k in keys])
-    frame = w.rowsBetween(0, Window.unboundedFollowing) if suffix else w.rowsBetween(Window.unboundedPreceding, 0)
+    total = lambda d, w: d.withColumn(out, F.sum(value).over(_frame(w, suffix)))
+    return _by_size(df, _keys(key), keys, total, lambda d: _running_sum(d, _keys(key), keys, value, width, out, suffix), like)
+
+
+def _frame(w: WindowSpec, suffix: bool) -> WindowSpec:
+    """From this row to the last, or from the first to this one."""
+    return w.rowsBetween(0, Window.unboundedFollowing) if suffix else w.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _running_sum(df: DataFrame, ks: list[str], keys: Sequence[Key], value: str, width: float, out: str,
+                 suffix: bool) -> DataFrame:
+    frame = _frame(Window.partitionBy(*ks, *RANGE).orderBy(*[k.order() for k in keys]), suffix)
     d = _dealt(df, ks, keys, width).withColumn("_in", F.sum(value).over(frame))
     tot = d.groupBy(*ks, *RANGE).agg(F.sum(value).alias("_tot"))
     wb = Window.partitionBy(*ks).orderBy(*RANGE)

@@ -140,19 +140,23 @@ def first_n(df: DataFrame, key: str, order: str, tie: str, n: int) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def time_delta(df: DataFrame, key: str, pos: str, t: str, out: str = "delta", width: float = 64.0) -> DataFrame:
-    """t minus the previous t of the key (the first keeps its own t), clamped at 0."""
-    d = ordered.neighbour(df, key, [Key(pos)], t, width, "_prev_t", following=False)
+def time_delta(df: DataFrame, key: str, pos: str, t: str, out: str = "delta", width: float = 64.0,
+               like: DataFrame | None = None) -> DataFrame:
+    """t minus the previous t of the key (the first keeps its own t), clamped at 0.
+    ``like``: see ``ordered``; the earlier rows that ``df`` was made from by key."""
+    d = ordered.neighbour(df, key, [Key(pos)], t, width, "_prev_t", following=False, like=like)
     return d.withColumn(out, F.greatest(F.col(t) - F.coalesce("_prev_t", F.lit(0.0)), F.lit(0.0))).drop("_prev_t")
 
 
 def exp_decay_recency(df: DataFrame, key: str, pos: str, delta: str, group: str, x: str | None = None,
-                      rate: float = 1.0, out: str = "recency", width: float = 64.0) -> DataFrame:
+                      rate: float = 1.0, out: str = "recency", width: float = 64.0,
+                      like: DataFrame | None = None) -> DataFrame:
     """Recency weight per (key, group): sum of x_i * exp(-rate * sum of deltas from
     step i to the end of the sequence).  Equals what an exponentially decayed
-    state accumulates from each input.  The suffix sum is two-level."""
+    state accumulates from each input.  The suffix sum is two-level for a long key.
+    ``like``: see ``ordered``; the earlier rows that ``df`` was made from by key."""
     xv = F.lit(1.0) if x is None else F.col(x)
-    d = ordered.running_sum(df, key, [Key(pos)], delta, width, "_s", suffix=True)
+    d = ordered.running_sum(df, key, [Key(pos)], delta, width, "_s", suffix=True, like=like)
     d = d.withColumn("_w", xv * F.exp(-F.greatest(F.col("_s") * F.lit(rate), F.lit(0.0))))
     return d.groupBy(key, group).agg(F.sum("_w").alias(out))
 

@@ -116,3 +116,19 @@ def test_cut_with_null_key_null_time_and_extra_columns(spark):
     assert {r.id: (r.pos, r.extra) for r in position(df, "k", keys, 1.0).collect()} == want
     empty = position(df.filter("id < 0"), "k", keys, 1.0)
     assert empty.columns == [*df.columns, "pos"] and empty.count() == 0
+
+
+def test_rows_of_ordinary_keys_move_once(spark, data, bucket_rows):
+    """Positions, deltas and recency of one key: one exchange of the rows, and the same results with hot keys."""
+    from staytrail.operators import windows
+    d = windows.sequence_position(data.withColumn("t", F.coalesce("t", F.lit(0.0))), "k", "t", "id")
+    d = windows.time_delta(d, "k", "pos", "t", "delta", like=data)
+    r = windows.exp_decay_recency(d, "k", "pos", "delta", "c", None, 0.01, like=data)
+    if bucket_rows > 600:
+        assert r._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    w = Window.partitionBy("k").orderBy("pos")
+    plain = d.select("k", "pos", "c", "t").withColumn("x", F.greatest(F.col("t") - F.coalesce(F.lag("t").over(w), F.lit(0.0)), F.lit(0.0)))
+    plain = plain.withColumn("s", F.sum("x").over(w.rowsBetween(0, Window.unboundedFollowing)))
+    want = {(x.k, x.c): x.w for x in plain.groupBy("k", "c").agg(F.sum(F.exp(-0.01 * F.col("s"))).alias("w")).collect()}
+    got = {(x.k, x.c): x.recency for x in r.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
