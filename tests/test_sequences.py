@@ -27,6 +27,35 @@ def test_lump_encode_pad(spark):
     assert q == pytest.approx(2.8)
 
 
+def test_uncut_arrays_meet_once(spark):
+    """Arrays of all events: positions by number equal those by code, and rows move by key once."""
+    rows = [(1, "b", 2.0), (1, "a", 2.0), (1, None, 2.0), (1, "a", None), (2, "c", 0.5), (4, None, None), (9, "d", 4.0)]
+    df = spark.createDataFrame(rows, "k long, code string, t double")
+    ent = spark.createDataFrame([(1,), (2,), (3,), (4,)], "k long")
+    arr, dictionary = sequences.sequence_arrays(ent, df, "k", "code", "t", 1.0, "dp")
+    assert arr._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # rows and entities, by key
+    assert sorted((r.idx, r.code) for r in dictionary.collect()) == [(1, "a"), (2, "b"), (3, "c"), (4, "d")]
+    got = {r.k: (r.dp, r.dp_times) for r in arr.collect()}
+    assert got == {1: ([0, 1, 2, 1], [0.5, 0.5, 0.5, 0.0]), 2: ([3, 0, 0, 0], [0.125, 0.0, 0.0, 0.0]),
+                   3: ([0] * 4, [0.0] * 4), 4: ([0] * 4, [0.0] * 4)}
+
+
+def test_wide_rows_do_not_move(spark):
+    """The split is looked up before the arrays come in: nothing is dealt by subject after that."""
+    cohort = spark.createDataFrame([(1, 10, True, "x"), (1, 11, False, None), (2, 20, False, "y"), (None, 30, True, "x")],
+                                   "subject_id long, icustay_id long, positive boolean, insurance string")
+    for c in (*split.SPARSE_STATIC, "admission_location", "marital_status", "ethnicity"):
+        cohort = cohort.withColumn(c, F.lit(1.0) if c in split.SPARSE_STATIC else F.lit("z"))
+    dp = spark.createDataFrame([(10, [1, 2]), (20, [3, 0])], "icustay_id long, dp array<int>")
+    cp = spark.createDataFrame([(11, [7]), (30, [8])], "icustay_id long, cp array<int>")
+    feats, _ = split.sparse_features(cohort, dp, cp)
+    assert feats.columns[:3] == ["subject_id", "icustay_id", "label"] and feats.columns[-3:] == ["dp", "cp", "split"]
+    assert {r.icustay_id: (r.dp, r.cp) for r in feats.collect()} == {10: ([1, 2], None), 11: (None, [7]), 20: ([3, 0], None), 30: (None, [8])}
+    plan = feats._jdf.queryExecution().optimizedPlan().toString()
+    first_join = plan[plan.index("Join"):].split("\n")[0]
+    assert "icustay_id" in first_join and "subject_id" not in first_join
+
+
 def test_lump_keeps_nulls_and_hot_values(spark):
     rows = [("hot",)] * 50 + [("rare",)] + [(None,)]
     df = spark.createDataFrame(rows, "c string")
