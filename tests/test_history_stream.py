@@ -48,6 +48,30 @@ def test_history_join_equals_brute_force(spark):
         assert set(rows) == want and len(rows) == len(want)
 
 
+def test_hot_keys_join_by_bucket_and_give_the_same_rows(spark):
+    stays, hist = history_tables(spark)
+    left = spark.createDataFrame(stays, "subject_id long, icustay_id string, outtime timestamp_ntz")
+    right = spark.createDataFrame(hist, "subject_id long, icd9_code string, admittime timestamp_ntz")
+    want = sorted(map(str, codes.point_in_time_history(left, right).collect()))
+    for pairs in (0, 500):  # all keys with both, then key 1 alone
+        assert sorted(map(str, codes.point_in_time_history(left, right, hot_pairs=pairs).collect())) == want
+
+
+def test_known_rows_move_once_and_are_distinct_by_stay(spark):
+    """Known rows are compared where they were joined: no row moves by stay and code; ids of two keys are compared all the same."""
+    stays, hist = history_tables(spark)
+    right = spark.createDataFrame(hist, "subject_id long, icd9_code string, admittime timestamp_ntz")
+    for rows in (stays, stays + [(2, "S1", None), (None, "S2", None), (3, "S1", None)]):
+        left = spark.createDataFrame(rows, "subject_id long, icustay_id string, outtime timestamp_ntz")
+        known = codes.point_in_time_history(left, right)
+        got = codes.distinct_known(known, left, ["icustay_id", "icd9_code"])
+        assert got.columns == ["icustay_id", "icd9_code"]
+        found = [tuple(r) for r in got.collect()]
+        assert sorted(found, key=str) == sorted({(r.icustay_id, r.icd9_code) for r in known.collect()}, key=str)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert ("hashpartitioning(icustay_id" in plan) == (rows is not stays)
+
+
 def test_no_pair_from_a_later_bucket_is_made(spark):
     asked = spark.createDataFrame([(1, [1, 2, 3], 2), (2, [5], 4), (3, [7, 8], None)], "k long, _list array<long>, _sb long")
     hist = spark.createDataFrame([(1, b, x) for b in (1, 2, 3) for x in "ab"] + [(2, 5, "a"), (3, 7, "a"), (3, 8, "b")],
