@@ -126,3 +126,46 @@ def test_clinical_csv_sources_give_same_cohort(spark):
         x = sorted(map(tuple, getattr(a, stage).collect()), key=str)
         y = sorted(map(tuple, getattr(b, stage).collect()), key=str)
         assert x == y and len(x) > 0
+
+
+def code_tables(spark, shared=False):
+    """Stays of 7 subjects, their codes by admission, and the admissions; S00 belongs to two subjects if ``shared``."""
+    from datetime import datetime, timedelta
+    day = lambda d: datetime(2100, 1, 1) + timedelta(days=d)
+    stays = [(s, f"S{s}{i}", day(20 * i + 5)) for s in range(7) for i in range(6)] + ([(2, "S00", day(30))] if shared else [])
+    adms = [(100 * s + i, day(20 * i), day(20 * i + 4 + i % 3)) for s in range(7) for i in range(6)]
+    rows = [(s, 100 * s + i, f" C{(3 * s + i * j) % 11} ") for s in range(6) for i in range(6) for j in range(5)]
+    return (spark.createDataFrame(stays, "subject_id long, icustay_id string, outtime timestamp_ntz"),
+            spark.createDataFrame(rows, "subject_id long, hadm_id long, icd9_code string"),
+            spark.createDataFrame(adms, "hadm_id long, admittime timestamp_ntz, dischtime timestamp_ntz"))
+
+
+def test_steps_by_stay_need_no_exchange_where_codes_lie_by_subject(spark, monkeypatch):
+    """Known codes are dealt by counted pairs and written by subject; positions and the first rows of a stay are taken
+    there, and give what plain windows over the stay give."""
+    from collections import defaultdict
+
+    from staytrail.operators import sequences, windows
+    monkeypatch.setattr(codes, "PART_PAIRS", 50)
+    for shared in (False, True):
+        stays, rows, adms = code_tables(spark, shared)
+        df, keys = codes.diag_proc_by_subject(stays, rows, rows, adms, min_count=20)
+        assert keys == (["icustay_id"] if shared else ["subject_id", "icustay_id"])
+        like = None if shared else df
+        first = windows.first_n(df, keys, "days_to_out", "icd9_code", 3)
+        pos = sequences.sequence_positions(df, keys, "days_to_out", "icd9_code", like=like)
+        if not shared:
+            for d in (first, pos):
+                assert "Exchange hashpartitioning" not in d._jdf.queryExecution().toString()
+            pairs = 6 * 6 * 6 * 5 * 2  # of the six subjects with codes
+            assert first.rdd.getNumPartitions() == -(-pairs // 50)
+        by_stay = defaultdict(list)
+        for r in codes.diag_proc(stays, rows, rows, adms, min_count=20).collect():
+            by_stay[r.icustay_id].append(((r.days_to_out is None, r.days_to_out or 0.0), r.icd9_code or "", tuple(r)))
+        want = {s: [t for *_, t in sorted(v)] for s, v in by_stay.items()}
+        assert len(want) == 42 and any(len(v) > 20 for v in want.values())
+        got = defaultdict(list)
+        for r in pos.select(*codes.KNOWN, "pos").orderBy("pos").collect():
+            got[r.icustay_id].append(tuple(r)[:3])
+        assert got == want
+        assert sorted(map(str, map(tuple, first.select(*codes.KNOWN).collect()))) == sorted(str(t) for v in want.values() for t in v[:3])
