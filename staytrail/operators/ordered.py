@@ -131,12 +131,13 @@ def _join_back(d: DataFrame, small: DataFrame, ks: list[str]) -> DataFrame:
     return d.join(small, cond).drop("_b", "_s", *[f"_k{i}" for i in range(len(ks))])
 
 
-def _by_size(df: DataFrame, ks: Sequence[str], keys: Sequence[Key], whole: Callable[[DataFrame, WindowSpec], DataFrame],
-             ranged: Callable[[DataFrame], DataFrame], like: DataFrame | None) -> DataFrame:
-    """``whole`` of the rows whose key has up to ``BUCKET_ROWS`` rows, each key one range (numbered by its hash) and in
+def by_size(df: DataFrame, ks: Sequence[str], keys: Sequence[Key], whole: Callable[[DataFrame, WindowSpec], DataFrame],
+             ranged: Callable[[DataFrame], DataFrame], like: DataFrame | None, most: int | None = None) -> DataFrame:
+    """``whole`` of the rows whose key has up to ``most`` (``BUCKET_ROWS``) rows, each key one range (numbered by its hash) and in
     one place, and ``ranged`` of all others.  ``like`` is an earlier input with the same rows a key, of which ``df`` is the result:
     keys are counted there, and the rows lie together already."""
-    counts = (df if like is None else like).groupBy(*ks).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BUCKET_ROWS)
+    most = BUCKET_ROWS if most is None else most
+    counts = (df if like is None else like).groupBy(*ks).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most)
     full = materialize(counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(ks)]), "full")
     window = Window.partitionBy(*ks, "_bk").orderBy(*[k.order() for k in keys])
 
@@ -154,7 +155,7 @@ def position(df: DataFrame, key: str | Sequence[str], keys: Sequence[Key], width
              out: str = "pos", like: DataFrame | None = None) -> DataFrame:
     """0-based row number within ``key`` in the order of ``keys`` (a total order)."""
     number = lambda d, w: d.withColumn(out, (F.row_number().over(w) - 1).cast("int"))
-    return _by_size(df, _keys(key), keys, number, lambda d: _position(d, _keys(key), keys, width, out), like)
+    return by_size(df, _keys(key), keys, number, lambda d: _position(d, _keys(key), keys, width, out), like)
 
 
 def _position(df: DataFrame, ks: list[str], keys: Sequence[Key], width: float, out: str) -> DataFrame:
@@ -172,7 +173,7 @@ def neighbour(df: DataFrame, key: str | Sequence[str], keys: Sequence[Key], valu
     """``value`` of the next (``following``) or previous row within ``key`` in the
     order of ``keys``; null at the end.  Like lead/lag over the whole key."""
     shifted = lambda d, w: d.withColumn(out, (F.lead if following else F.lag)(value).over(w))
-    return _by_size(df, _keys(key), keys, shifted, lambda d: _neighbour(d, _keys(key), keys, value, width, out, following), like)
+    return by_size(df, _keys(key), keys, shifted, lambda d: _neighbour(d, _keys(key), keys, value, width, out, following), like)
 
 
 def _neighbour(df: DataFrame, ks: list[str], keys: Sequence[Key], value: str, width: float, out: str,
@@ -196,7 +197,7 @@ def running_sum(df: DataFrame, key: str | Sequence[str], keys: Sequence[Key], va
     """Sum of ``value`` from the first row of the key up to this row (or, with
     ``suffix``, from this row to the last), in the order of ``keys``."""
     total = lambda d, w: d.withColumn(out, F.sum(value).over(_frame(w, suffix)))
-    return _by_size(df, _keys(key), keys, total, lambda d: _running_sum(d, _keys(key), keys, value, width, out, suffix), like)
+    return by_size(df, _keys(key), keys, total, lambda d: _running_sum(d, _keys(key), keys, value, width, out, suffix), like)
 
 
 def _frame(w: WindowSpec, suffix: bool) -> WindowSpec:

@@ -1,7 +1,8 @@
 """Window operators over keyed, time-ordered rows.
 
 Partitioning notes (for 100 TB scale):
-* ``trailing_count`` is the difference of two prefix counts over the distinct
+* ``trailing_count`` of a key with up to ``WINDOW_ROWS`` rows is one range window.
+  For other keys it is the difference of two prefix counts over the distinct
   (key, time) pairs: within a day from a window per (key, day), across days from
   one row a day.  Equal times are combined before they move, so a hot key is
   spread over as many tasks as it has days.
@@ -26,21 +27,42 @@ from . import ordered
 from .ordered import Key
 
 
+#: rows of a key up to which its trailing counts are one window, whose frames are counted row by row
+WINDOW_ROWS = 256
+
+
 def trailing_count(df: DataFrame, key: str, ts: str, min_days: int = 1, max_days: int = 365,
                    out: str = "n_recent", bucket_days: int | None = None) -> DataFrame:
     """For each row: rows of the same key whose ``ts`` lies ``min_days``..``max_days``
     *whole* (floored) days earlier.  floor(d) in [a, b] <=> a days <= d < b+1 days.
 
+    Rows of keys with up to ``WINDOW_ROWS`` rows move once, by the key; all others (all, with
+    ``bucket_days``) are counted by ``_prefix_counts``.  Null keys are one key; a null time
+    counts nothing and is not counted."""
+    prefix = lambda d: _prefix_counts(d, key, ts, min_days, max_days, out, bucket_days)
+    if bucket_days or max_days < min_days:
+        return prefix(df)
+    near, far = min_days * MICROS_PER_DAY, (max_days + 1) * MICROS_PER_DAY
+    counted = lambda d, w: d.withColumn(out, F.count("_trail").over(w.rangeBetween(1 - far, -near))).drop("_trail")
+    timed = df.withColumn("_trail", epoch_micros(ts))
+    return ordered.by_size(timed, [key], [Key("_trail")], counted, prefix, None, WINDOW_ROWS)
+
+
+def _prefix_counts(df: DataFrame, key: str, ts: str, min_days: int, max_days: int, out: str,
+                   bucket_days: int | None) -> DataFrame:
+    """``trailing_count`` for keys of any size.
+
     The count is (rows up to t - a days) minus (rows up to t - (b+1) days), so it
     depends on the key and t alone.  Rows are counted by (key, t); each such pair
     goes to the buckets (``bucket_days``, a day by default) of its own time and of
     both bounds.  A prefix count is what earlier buckets of the key hold, from one
     row a bucket, plus what the bucket itself holds up to the bound.  Pairs with a
     count go back to the rows from a written table, so that the rows of a hot pair
-    can be split.  Null keys are one key; a null time counts nothing and is not counted."""
+    can be split."""
     near = min_days * MICROS_PER_DAY                 # at least this far back
     far = (max_days + 1) * MICROS_PER_DAY            # less than this far back
     width = (bucket_days or 1) * MICROS_PER_DAY
+    df = df.drop("_trail")
     times = (df.select(F.col(key).alias("_k"), epoch_micros(ts).alias("_t")).filter(F.col("_t").isNotNull())
                .groupBy("_k", "_t").agg(F.count(F.lit(1)).alias("_n")))
     no_rows = F.lit(0).cast("long")

@@ -121,3 +121,20 @@ def test_trailing_count_of_a_hot_subject_is_dealt_by_day(spark):
     assert abs(got.most - (frame - day)) <= 1
     lags = [j for j in range(1, n) if 1 <= j * 157 // 86400 <= 30]
     assert got["all"] == sum(n - j for j in lags)
+
+
+def test_trailing_count_moves_rows_of_ordinary_keys_once(spark, monkeypatch):
+    """Keys with few rows are one range window, without a prefix count joined back; larger ones beside them count the same."""
+    df = (spark.range(400).select((F.col("id") % 7).alias("k"), "id", F.timestamp_add("HOUR", (F.col("id") * 37 % 2400).cast("int"),
+                                                                                    F.lit("2100-01-01").cast("timestamp_ntz")).alias("t"))
+          .withColumn("k", F.when(F.col("id") < 300, F.lit(0)).when(F.col("k") > 5, None).otherwise(F.col("k")))
+          .withColumn("t", F.when(F.col("id") % 23 != 0, F.col("t"))))
+    want = sorted(map(str, windows.trailing_count(df, "k", "t", 1, 30, "n", bucket_days=1).collect()))
+    assert any("n=0" not in r for r in want)
+    for most in (0, 50, 256, 1000):
+        monkeypatch.setattr(windows, "WINDOW_ROWS", most)
+        got = windows.trailing_count(df, "k", "t", 1, 30, "n")
+        assert got.columns == ["k", "id", "t", "n"]
+        assert sorted(map(str, got.collect())) == want
+    plan = windows.trailing_count(df, "k", "t", 1, 30, "n")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
