@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import strings, timefns
 from ..functions.mathfns import flag_to_int
-from ..session import materialize
-from . import windows
+from ..session import materialize, materialize_by
+from . import ordered, windows
 from .ordered import Key
 from .aggregates import lump_rare
 
@@ -65,12 +65,13 @@ def eligible(df: DataFrame, positive: str = "positive", dod: str = "dod", out: s
 def next_gap_label(df: DataFrame, key: str = "subject_id", start: str = "intime", end: str = "outtime",
                    tie: str = "icustay_id", within_days: int = rules.READMIT_WITHIN_DAYS,
                    gap: str = "days_to_next", label: str = "positive",
-                   bucket_us: int = 30 * timefns.MICROS_PER_DAY) -> DataFrame:
+                   bucket_us: int = 30 * timefns.MICROS_PER_DAY, like: DataFrame | None = None) -> DataFrame:
     """Whole days from this stay's end to the start of the next-ending stay of the
     same key; label = gap <= ``within_days`` (no next stay -> False).  The next
     stay is found per (key, 30-day range of end time) plus a carry across
-    ranges, so a key with very many stays is not one task."""
-    nxt = windows.next_value(df, key, [Key(end), Key(tie, asc=False)], start, "_next_start", width=bucket_us)
+    ranges, so a key with very many stays is not one task.  ``like``: see
+    ``ordered``; ``df`` itself if its rows lie by key already."""
+    nxt = windows.next_value(df, key, [Key(end), Key(tie, asc=False)], start, "_next_start", width=bucket_us, like=like)
     return (nxt.withColumn(gap, timefns.whole_days_between(end, "_next_start"))
                .withColumn(label, F.coalesce(F.col(gap) <= F.lit(within_days), F.lit(False)))
                .drop("_next_start"))
@@ -78,14 +79,19 @@ def next_gap_label(df: DataFrame, key: str = "subject_id", start: str = "intime"
 
 def link_stays_patients(stays: DataFrame, patients: DataFrame, *, dob_cutoff_year: int = 2000,
                         keep_dod: bool = False) -> DataFrame:
-    """Stays x patients -> survivors, trailing count, adults, label, eligible."""
+    """Stays x patients -> survivors, trailing count, adults, label, eligible.
+
+    Stays are counted by subject first.  If none has very many, they move by the
+    subject once and the adults are written where they lie, for their label."""
+    parts = ordered.parts_by(stays.filter(F.col("subject_id").isNotNull()), "subject_id")
     df = join_stays_patients(stays, with_birthdate_shift(patients, "dob", dob_cutoff_year))
     df = exclude_died_in_stay(df)
     df = windows.trailing_count(df, "subject_id", "outtime", rules.RECENT_MIN_DAYS, rules.RECENT_MAX_DAYS,
-                                out="num_recent_admissions")
+                                out="num_recent_admissions", parts=parts)
+    df = min_age(with_age(df))
     # the label reads the adults twice (next stay in the range, and across ranges)
-    df = next_gap_label(materialize(min_age(with_age(df)), "adults"))
-    df = eligible(df)
+    adults = materialize_by(df, "adults", "subject_id", parts) if parts else materialize(df, "adults")
+    df = eligible(next_gap_label(adults, like=adults if parts else None))
     drop = ["dob", "days_to_next"] + ([] if keep_dod else ["dod"])
     return df.drop(*drop)
 
@@ -181,8 +187,11 @@ def left_join_first_service(cohort: DataFrame, services: DataFrame, keys: Sequen
     return cohort.join(first, list(keys), "left")
 
 
-def link_admissions(cohort: DataFrame, admissions: DataFrame, min_count: int = rules.RARE_MIN_COUNT) -> DataFrame:
-    df = canonicalise_categories(left_join_admissions(cohort, admissions.drop("dischtime")))
+def with_admissions(cohort: DataFrame, admissions: DataFrame) -> DataFrame:
+    return canonicalise_categories(left_join_admissions(cohort, admissions.drop("dischtime")))
+
+
+def finish_categories(df: DataFrame, min_count: int = rules.RARE_MIN_COUNT) -> DataFrame:
     df = lump_rare(df, rules.CATEGORY_COLUMNS, min_count, rules.RARE_CATEGORY)
     for c in rules.CATEGORY_COLUMNS:
         df = df.withColumn(c, strings.title_case(c))
@@ -190,6 +199,10 @@ def link_admissions(cohort: DataFrame, admissions: DataFrame, min_count: int = r
     return df.drop("admittime")
 
 
+def link_admissions(cohort: DataFrame, admissions: DataFrame, min_count: int = rules.RARE_MIN_COUNT) -> DataFrame:
+    return finish_categories(with_admissions(cohort, admissions), min_count)
+
+
 def link_services(cohort: DataFrame, services: DataFrame, compat: bool = False) -> DataFrame:
     df = left_join_first_service(cohort, services, compat=compat)
     df = df.withColumn("elective_surgery",
@@ -204,8 +217,10 @@ COHORT_COLUMNS = ["subject_id", "hadm_id", "icustay_id", "intime", "outtime", "l
 
 def build_cohort(stays: DataFrame, patients: DataFrame, admissions: DataFrame, services: DataFrame, *,
                  dob_cutoff_year: int = 2000, compat: bool = False) -> DataFrame:
-    """The full labelled cohort, one row per eligible stay."""
+    """The full labelled cohort, one row per eligible stay.
+
+    Admissions and services are joined by the same keys, one after the other, so
+    that the stays move once for both; categories are lumped after that."""
     df = link_stays_patients(stays, patients, dob_cutoff_year=dob_cutoff_year)
-    df = link_admissions(df, admissions)
-    df = link_services(df, services, compat=compat)
-    return df.select(*COHORT_COLUMNS)
+    df = link_services(with_admissions(df, admissions), services, compat=compat)
+    return finish_categories(df).select(*COHORT_COLUMNS)

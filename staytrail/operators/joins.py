@@ -13,7 +13,7 @@ BROADCAST_ROWS = 500_000
 SALTS = 32
 
 
-def left_join_many(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def left_join_many(left: DataFrame, right: DataFrame, key: str, parts: int | None = None) -> DataFrame:
     """``left`` LEFT OUTER JOIN ``right`` USING (``key``), where ``right`` holds
     many rows per key.
 
@@ -22,7 +22,12 @@ def left_join_many(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     whose key has no match (anti-join against the *distinct* right keys, an
     aggregate that collapses a hot key before the shuffle), padded with nulls.
     Same rows and columns as the outer join, including left rows with a null key.
+
+    ``parts`` says that no key has very many rows (``ordered.parts_by``): both sides
+    are dealt into so many parts by the key and meet in the outer join itself.
     """
+    if parts:
+        return left.repartition(parts, key).join(right.repartition(parts, key), key, "left")
     matched = left.join(right, key, "inner")
     unmatched = left.join(right.select(key).distinct(), key, "left_anti")
     return matched.unionByName(unmatched, allowMissingColumns=True)

@@ -40,6 +40,10 @@ from ..session import materialize
 LAST_BUCKET = 2 ** 62
 #: rows of a (key, bucket) beyond which it is cut at counted bounds; results don't depend on it
 BUCKET_ROWS = 1_000_000
+#: rows of a part in which keys lie together
+PART_ROWS = 1_000_000
+#: slots of keys that are counted before single keys are
+SLOTS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -131,18 +135,35 @@ def _join_back(d: DataFrame, small: DataFrame, ks: list[str]) -> DataFrame:
     return d.join(small, cond).drop("_b", "_s", *[f"_k{i}" for i in range(len(ks))])
 
 
+def parts_by(df: DataFrame, key: str) -> int | None:
+    """The number of parts by ``key`` into which rows like those of ``df`` can be dealt, about ``PART_ROWS`` each; None if
+    a key has more than ``BUCKET_ROWS`` rows, so that it must not lie in one part.
+
+    Rows are counted by slots of the key's hash, of which few move; keys only where a slot has too many rows.  Below Spark's
+    number of shuffle partitions, which joins don't go under, the number divides it, so that a task fills one bucket."""
+    slots = df.groupBy(F.pmod(F.xxhash64(key), F.lit(SLOTS)).alias("_slot")).agg(F.count(F.lit(1)).alias("_n"))
+    n = slots.agg(F.sum("_n").alias("rows"), F.max("_n").alias("most")).first()
+    if (n["most"] or 0) > BUCKET_ROWS and not df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BUCKET_ROWS).isEmpty():
+        return None
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, -(-(n["rows"] or 0) // PART_ROWS))
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return next((p for p in range(parts, usual) if usual % p == 0), max(parts, usual))
+
+
 def by_size(df: DataFrame, ks: Sequence[str], keys: Sequence[Key], whole: Callable[[DataFrame, WindowSpec], DataFrame],
-             ranged: Callable[[DataFrame], DataFrame], like: DataFrame | None, most: int | None = None) -> DataFrame:
+             ranged: Callable[[DataFrame], DataFrame], like: DataFrame | None, most: int | None = None,
+             parts: int | None = None) -> DataFrame:
     """``whole`` of the rows whose key has up to ``most`` (``BUCKET_ROWS``) rows, each key one range (numbered by its hash) and in
     one place, and ``ranged`` of all others.  ``like`` is an earlier input with the same rows a key, of which ``df`` is the result:
-    keys are counted there, and the rows lie together already."""
+    keys are counted there, and the rows lie together already; else they are dealt into ``parts`` parts (Spark's number)."""
     most = BUCKET_ROWS if most is None else most
     counts = (df if like is None else like).groupBy(*ks).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most)
     full = materialize(counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(ks)]), "full")
     window = Window.partitionBy(*ks, "_bk").orderBy(*[k.order() for k in keys])
 
     def each(d: DataFrame) -> DataFrame:
-        d = (d.repartition(*ks) if like is None else d).withColumn("_bk", F.pmod(F.xxhash64(*ks), F.lit(1 << 20)))
+        d = (d.repartition(*([parts] if parts else []), *ks) if like is None else d).withColumn("_bk", F.pmod(F.xxhash64(*ks), F.lit(1 << 20)))
         return whole(d, window).drop("_bk")
 
     if full.isEmpty():

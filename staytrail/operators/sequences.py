@@ -12,7 +12,7 @@ from ..functions import strings, timefns
 from ..functions.arrays import pad_array
 from . import ordered, windows
 from .aggregates import group_sizes, lump_rare
-from ..session import materialize
+from ..session import materialize, materialize_by
 from .events import stay_id_from_text
 from .joins import left_join_many, lookup_join
 
@@ -25,21 +25,40 @@ def prescriptions(meds: DataFrame) -> DataFrame:
                     F.col("startdate").alias("charttime"))
 
 
-def left_join_stay_events(stays: DataFrame, events: DataFrame, key: str = "icustay_id") -> DataFrame:
+def left_join_stay_events(stays: DataFrame, events: DataFrame, key: str = "icustay_id",
+                           parts: int | None = None) -> DataFrame:
     """Every stay with its events; stays without events keep one null row (a
-    skew-splittable form of the left outer join)."""
-    return left_join_many(stays, events, key)
+    skew-splittable form of the left outer join; ``parts`` as there)."""
+    return left_join_many(stays, events, key, parts)
+
+
+def charts_prescriptions_by_stay(cohort: DataFrame, chart_outputs: DataFrame, meds: DataFrame,
+                                 min_count: int = rules.RARE_MIN_COUNT) -> tuple[DataFrame, int | None]:
+    """``charts_prescriptions``, and the number of parts by stay in which its rows lie (None with a very long stay).
+
+    Rows are counted by stay first.  If none has very many, stays and events move by
+    the stay once and are written in buckets by it, so that steps by stay need no exchange."""
+    ev = chart_outputs.select("icustay_id", "valuecat", "charttime").unionByName(prescriptions(meds))
+    stays = cohort.select("icustay_id", "outtime")
+    known = ev.select("icustay_id").filter(F.col("icustay_id").isNotNull())  # others meet no stay
+    parts = ordered.parts_by(stays.select("icustay_id").unionByName(known), "icustay_id")
+    d = left_join_stay_events(stays, ev, parts=parts)
+    d = d.select("icustay_id", "valuecat",
+                 timefns.fractional_hours("charttime", "outtime", clamp=True).alias("hours_to_out")).dropDuplicates()
+    d = _written(d, "lump_input", "icustay_id", parts)
+    return lump_rare(d, ["valuecat"], min_count, rules.RARE_CODE, materialize_input=False), parts
 
 
 def charts_prescriptions(cohort: DataFrame, chart_outputs: DataFrame, meds: DataFrame,
                          min_count: int = rules.RARE_MIN_COUNT) -> DataFrame:
     """(icustay_id, valuecat, hours_to_out) for every cohort stay, deduplicated,
     rare categories lumped."""
-    ev = chart_outputs.select("icustay_id", "valuecat", "charttime").unionByName(prescriptions(meds))
-    d = left_join_stay_events(cohort.select("icustay_id", "outtime"), ev)
-    d = d.select("icustay_id", "valuecat",
-                 timefns.fractional_hours("charttime", "outtime", clamp=True).alias("hours_to_out")).dropDuplicates()
-    return lump_rare(d, ["valuecat"], min_count, rules.RARE_CODE)
+    return charts_prescriptions_by_stay(cohort, chart_outputs, meds, min_count)[0]
+
+
+def _written(df: DataFrame, name: str, key: str, parts: int | None) -> DataFrame:
+    """``df`` as a written table, in buckets by ``key`` where its rows lie so in ``parts`` parts."""
+    return materialize_by(df, name, key, parts) if parts else materialize(df, name)
 
 
 def sequence_positions(df: DataFrame, key: str | Sequence[str], t: str, code: str, width: float = 24.0,
@@ -74,56 +93,61 @@ def dictionary_encode(df: DataFrame, code: str, idx: str = "idx") -> tuple[DataF
 
 
 def pad_sequences(entities: DataFrame, df: DataFrame, key: str, pos: str, idx: str, t: str,
-                  codes_out: str, times_out: str, length: int | None = None) -> DataFrame:
+                  codes_out: str, times_out: str, length: int | None = None, parts: int | None = None) -> DataFrame:
     """Equal-length 0-padded code and time arrays for every entity.  The length
-    is that of the longest kept sequence (one number, read if not given).  A null time is 0."""
+    is that of the longest kept sequence (one number, read if not given).  A null time is 0.
+    ``parts``: the rows lie by key in so many parts, to which the entities are dealt."""
     if length is None:
         length = df.agg(F.max(pos) + 1).first()[0]
     seq = df.groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(idx).alias("c"),
                                              F.coalesce(F.col(t), F.lit(0.0)).alias("t")))).alias("_s"))
     longest = F.lit(length).cast("int")
-    return (entities.select(key).join(seq, key, "left")
+    keys = entities.select(key).repartition(parts, key) if parts else entities.select(key)
+    return (keys.join(seq, key, "left")
             .select(key,
                     pad_array(F.coalesce(F.col("_s.c"), F.array().cast("array<int>")), longest, 0).alias(codes_out),
                     pad_array(F.coalesce(F.col("_s.t"), F.array().cast("array<double>")), longest, 0.0)
                     .alias(times_out)))
 
 
-def positioned(events: DataFrame, key: str, code: str, t: str, q: float, prefix: str, width: float = 24.0) -> DataFrame:
+def positioned(events: DataFrame, key: str, code: str, t: str, q: float, prefix: str, width: float = 24.0,
+               parts: int | None = None) -> DataFrame:
     """Events with ``pos``, cut at the ``q`` quantile of lengths; the positions are written once, the cut is a filter
-    on that table."""
-    d = materialize(sequence_positions(events, key, t, code, width), f"{prefix}_positions")
+    on that table.  ``parts``: the events lie by key in so many parts, and so do the positions."""
+    d = sequence_positions(events, key, t, code, width, events if parts else None)
+    d = _written(d, f"{prefix}_positions", key, parts)
     return truncate_sequences(d, key, q) if q < 1.0 else d
 
 
 def encoded_sequence(events: DataFrame, key: str, code: str, t: str, q: float, prefix: str,
-                     width: float = 24.0) -> tuple[DataFrame, DataFrame]:
+                     width: float = 24.0, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Events -> (rows with ``pos`` and ``idx``, code dictionary): positioned, cut and encoded.  The rows are a lookup
     over the written positions."""
-    return dictionary_encode(positioned(events, key, code, t, q, prefix, width), code)
+    return dictionary_encode(positioned(events, key, code, t, q, prefix, width, parts), code)
 
 
 def sequence_arrays(entities: DataFrame, events: DataFrame, key: str, code: str, t: str, q: float,
-                    prefix: str, width: float = 24.0) -> tuple[DataFrame, DataFrame]:
+                    prefix: str, width: float = 24.0, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Events -> (key, <prefix>, <prefix>_times) padded arrays + code dictionary.
 
     Without a cut (``q`` 1) the dictionary is that of all events.  They are encoded first
     and get their positions by number, which rises as the code does, so that texts
-    don't move and a key's rows meet once, for their positions and their array."""
+    don't move and a key's rows meet once, for their positions and their array.
+    ``parts``: the events lie by key in so many parts, so that only the entities move."""
     largest = F.max(F.coalesce(F.col(t), F.lit(0.0)))
     if q < 1.0:
-        kept = positioned(events, key, code, t, q, prefix, width)
+        kept = positioned(events, key, code, t, q, prefix, width, parts)
         enc, dictionary = dictionary_encode(kept, code)
         top, length = kept.agg(largest, F.max("pos") + 1).first()
     else:
         enc, dictionary = dictionary_encode(events, code)
-        enc = sequence_positions(enc.select(key, t, "idx"), key, t, "idx", width)
+        enc = sequence_positions(enc.select(key, t, "idx"), key, t, "idx", width, events if parts else None)
         top, length = events.agg(largest).first()[0], group_sizes(events, key).agg(F.max("n")).first()[0]
     # times are divided by the largest time before collecting (pads are 0 and
     # times are >= 0, so this equals dividing the padded arrays by their max)
     enc = enc.withColumn(t, F.try_divide(F.coalesce(F.col(t), F.lit(0.0)), F.lit(top).cast("double")))
-    return pad_sequences(entities, enc, key, "pos", "idx", t, prefix, f"{prefix}_times", length or 0), dictionary
+    return pad_sequences(entities, enc, key, "pos", "idx", t, prefix, f"{prefix}_times", length or 0, parts), dictionary
 
 
 def densify_grid(df: DataFrame, entities: DataFrame, key: str, pos: str, fill_cols: dict,

@@ -32,11 +32,11 @@ WINDOW_ROWS = 256
 
 
 def trailing_count(df: DataFrame, key: str, ts: str, min_days: int = 1, max_days: int = 365,
-                   out: str = "n_recent", bucket_days: int | None = None) -> DataFrame:
+                   out: str = "n_recent", bucket_days: int | None = None, parts: int | None = None) -> DataFrame:
     """For each row: rows of the same key whose ``ts`` lies ``min_days``..``max_days``
     *whole* (floored) days earlier.  floor(d) in [a, b] <=> a days <= d < b+1 days.
 
-    Rows of keys with up to ``WINDOW_ROWS`` rows move once, by the key; all others (all, with
+    Rows of keys with up to ``WINDOW_ROWS`` rows move once, by the key (into ``parts`` parts, if given); all others (all, with
     ``bucket_days``) are counted by ``_prefix_counts``.  Null keys are one key; a null time
     counts nothing and is not counted."""
     prefix = lambda d: _prefix_counts(d, key, ts, min_days, max_days, out, bucket_days)
@@ -45,7 +45,7 @@ def trailing_count(df: DataFrame, key: str, ts: str, min_days: int = 1, max_days
     near, far = min_days * MICROS_PER_DAY, (max_days + 1) * MICROS_PER_DAY
     counted = lambda d, w: d.withColumn(out, F.count("_trail").over(w.rangeBetween(1 - far, -near))).drop("_trail")
     timed = df.withColumn("_trail", epoch_micros(ts))
-    return ordered.by_size(timed, [key], [Key("_trail")], counted, prefix, None, WINDOW_ROWS)
+    return ordered.by_size(timed, [key], [Key("_trail")], counted, prefix, None, WINDOW_ROWS, parts)
 
 
 def _prefix_counts(df: DataFrame, key: str, ts: str, min_days: int, max_days: int, out: str,
@@ -86,11 +86,11 @@ def _prefix_counts(df: DataFrame, key: str, ts: str, min_days: int, max_days: in
 
 
 def next_value(df: DataFrame, key: str | Sequence[str], order: Sequence[Key], value: str, out: str,
-               width: float) -> DataFrame:
+               width: float, like: DataFrame | None = None) -> DataFrame:
     """Value of the following row of the same key in ``order`` (two-level, see
     ``ordered``; ``width`` is the bucket width of the leading order column, in
-    microseconds for timestamps)."""
-    return ordered.neighbour(df, key, order, value, width, out, following=True)
+    microseconds for timestamps).  ``like``: see ``ordered``."""
+    return ordered.neighbour(df, key, order, value, width, out, following=True, like=like)
 
 
 def _default_width(df: DataFrame, order: Sequence[str], width: float | None) -> float:

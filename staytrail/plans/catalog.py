@@ -374,7 +374,8 @@ def filter_by_type(spark, sf):
 
 @register("truncate_long_sequences", B("SELECT * FROM cp_trunc", "cp_trunc"))
 def truncate_long_sequences(spark, sf):
-    d = materialize(seq_ops.sequence_positions(Flow(spark, sf).cp, "icustay_id", "hours_to_out", "valuecat"), "positions")
+    cp, parts = Flow(spark, sf).cp_by_stay
+    d = materialize(seq_ops.sequence_positions(cp, "icustay_id", "hours_to_out", "valuecat", like=cp if parts else None), "positions")
     return seq_ops.truncate_sequences(d, "icustay_id", rules.CP_QUANTILE)
 
 
@@ -785,7 +786,8 @@ def sequence_position(spark, sf):
 
 
 def _cp_enc(spark, sf) -> DataFrame:
-    enc, _ = seq_ops.encoded_sequence(Flow(spark, sf).cp, "icustay_id", "valuecat", "hours_to_out", rules.CP_QUANTILE, "cp")
+    cp, parts = Flow(spark, sf).cp_by_stay
+    enc, _ = seq_ops.encoded_sequence(cp, "icustay_id", "valuecat", "hours_to_out", rules.CP_QUANTILE, "cp", parts=parts)
     return enc.select("icustay_id", "pos", "idx", F.coalesce("hours_to_out", F.lit(0.0)).alias("t"))
 
 

@@ -106,9 +106,14 @@ class Flow:
         return event_ops.last_only(self.runs)
 
     # stage 6: prescriptions
+    @cached_property
+    def cp_by_stay(self) -> tuple[DataFrame, int | None]:
+        """``cp``, and the number of parts by stay in which its rows lie."""
+        return seq_ops.charts_prescriptions_by_stay(self.cohort, self.runs, self.v.meds)
+
     @cached_property
     def cp(self) -> DataFrame:
-        return seq_ops.charts_prescriptions(self.cohort, self.runs, self.v.meds)
+        return self.cp_by_stay[0]
 
     # stage 7: arrays, split, features
     @cached_property
@@ -119,7 +124,7 @@ class Flow:
     @cached_property
     def cp_arrays(self) -> tuple[DataFrame, DataFrame]:
         return seq_ops.sequence_arrays(self.cohort.select("icustay_id"), self.cp, "icustay_id", "valuecat",
-                                       "hours_to_out", rules.CP_QUANTILE, "cp", width=24.0)
+                                       "hours_to_out", rules.CP_QUANTILE, "cp", width=24.0, parts=self.cp_by_stay[1])
 
     @cached_property
     def split(self) -> DataFrame:
