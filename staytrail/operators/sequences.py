@@ -151,30 +151,42 @@ def sequence_arrays(entities: DataFrame, events: DataFrame, key: str, code: str,
 
 
 def densify_grid(df: DataFrame, entities: DataFrame, key: str, pos: str, fill_cols: dict,
-                 length: DataFrame | None = None) -> DataFrame:
+                 length: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """Long form of the padded grid: every entity x position 0..L-1, absent cells and nulls
     filled.  L is by default the longest sequence in ``df``, else the one number in ``length``.
 
-    Entities and cells meet in one aggregate: a key's cells become a sorted array,
+    Entities and cells meet in one aggregate (in a join where the rows lie, see ``parts``): a key's cells become a sorted array,
     the gaps between them are filled in that array, and it is unfolded again, so
     that the grid is never shuffled or joined.  Keys that are no entities are left
-    out; an entity listed twice gets one grid."""
+    out; an entity listed twice gets one grid.  ``parts``: the rows lie by key in so
+    many parts, to which the entities are dealt."""
     n = (length if length is not None else df.agg(F.max(pos) + 1)).first()[0]
     kinds = dict(df.dtypes)
     names = list(fill_cols)
     if not n:
         return df.select(key, pos, *names).limit(0)
     cell = F.struct(F.col(pos).cast("int").alias("p"), *[F.col(c).alias(c) for c in names])
-    rows = (df.select(key, cell.alias("_c"), F.lit(None).cast("boolean").alias("_e"))
-            .unionByName(entities.select(key, F.lit(None).cast(f"struct<p:int,{','.join(f'{c}:{kinds[c]}' for c in names)}>").alias("_c"),
-                                         F.lit(True).alias("_e"))))
-    cells = rows.groupBy(key).agg(F.sort_array(F.collect_list("_c")).alias("_s"), F.max("_e").alias("_e")).filter("_e")
+    as_array = F.sort_array(F.collect_list("_c")).alias("_s")
+
+    def met(rows: DataFrame, listed: DataFrame) -> DataFrame:
+        no_cell = F.lit(None).cast(f"struct<p:int,{','.join(f'{c}:{kinds[c]}' for c in names)}>").alias("_c")
+        both = (rows.select(key, cell.alias("_c"), F.lit(None).cast("boolean").alias("_e"))
+                .unionByName(listed.select(key, no_cell, F.lit(True).alias("_e"))))
+        return both.groupBy(key).agg(as_array, F.max("_e").alias("_e")).filter("_e").select(key, "_s")
+
+    if parts:  # where the rows lie; a null key equals nothing in a join
+        arrays = df.select(key, cell.alias("_c")).groupBy(key).agg(as_array)
+        listed = entities.select(key).filter(F.col(key).isNotNull()).repartition(parts, key).distinct()
+        cells = listed.join(arrays, key, "left").select(key, F.coalesce("_s", F.array()).alias("_s"))
+        cells = cells.unionByName(met(df.filter(F.col(key).isNull()), entities.filter(F.col(key).isNull())))
+    else:
+        cells = met(df, entities)
     empty = F.struct(*[F.lit(fill_cols[c]).cast(kinds[c]).alias(c) for c in names])
     value = lambda e: F.struct(*[F.coalesce(e[c], F.lit(fill_cols[c]).cast(kinds[c])).alias(c) for c in names])
     last = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get(F.col("_s")["p"], i - 1))
-    parts = F.transform("_s", lambda e, i: F.concat(F.array_repeat(empty, e["p"] - last(i) - 1), F.array(value(e))))
+    pieces = F.transform("_s", lambda e, i: F.concat(F.array_repeat(empty, e["p"] - last(i) - 1), F.array(value(e))))
     behind = F.lit(int(n)) - 1 - F.coalesce(F.try_element_at(F.col("_s")["p"], F.lit(-1)), F.lit(-1))
-    grid = F.concat(F.flatten(parts), F.array_repeat(empty, behind))
+    grid = F.concat(F.flatten(pieces), F.array_repeat(empty, behind))
     return cells.select(key, F.posexplode(grid).alias(pos, "_v")).select(key, pos, *[F.col(f"_v.{c}").alias(c) for c in names])
 
 

@@ -557,9 +557,10 @@ FROM cohort c CROSS JOIN (SELECT CAST(unnest(range(0, (SELECT max(pos) + 1 FROM
 LEFT JOIN cp_enc e ON c.icustay_id = e.icustay_id AND g.pos = e.pos""", "cohort", "cp_enc"))
 def densify_sequence_grid(spark, sf):
     f = Flow(spark, sf)
-    enc, _ = seq_ops.encoded_sequence(f.cp, "icustay_id", "valuecat", "hours_to_out", rules.CP_QUANTILE, "cp")
+    cp, parts = f.cp_by_stay
+    enc, _ = seq_ops.encoded_sequence(cp, "icustay_id", "valuecat", "hours_to_out", rules.CP_QUANTILE, "cp", parts=parts)
     enc = enc.select("icustay_id", "pos", "idx", r6(F.coalesce("hours_to_out", F.lit(0.0))).alias("t"))
-    return seq_ops.densify_grid(enc, f.cohort, "icustay_id", "pos", {"idx": 0, "t": 0.0})
+    return seq_ops.densify_grid(enc, f.cohort, "icustay_id", "pos", {"idx": 0, "t": 0.0}, parts=parts)
 
 
 # =============================================================================

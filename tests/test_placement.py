@@ -78,7 +78,7 @@ def test_events_of_a_stay_move_once(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("q", [1.0, 0.5])
-def test_arrays_of_placed_events_move_entities_only(spark, q):
+def test_arrays_and_grid_of_placed_events_move_entities_only(spark, q):
     stays, chart, meds = stay_tables(spark)
     cp, parts = sequences.charts_prescriptions_by_stay(stays, chart, meds, 2)
     ids = stays.select("icustay_id")
@@ -88,6 +88,12 @@ def test_arrays_of_placed_events_move_entities_only(spark, q):
     assert "ENSURE_REQUIREMENTS" in exchanges(want[0])[0]
     assert sorted(map(str, found[0].collect())) == sorted(map(str, want[0].collect()))
     assert sorted(found[1].collect()) == sorted(want[1].collect())
+    enc, _ = sequences.encoded_sequence(cp, "icustay_id", "valuecat", "hours_to_out", q, "cp", parts=parts)
+    grid = sequences.densify_grid(enc, ids, "icustay_id", "pos", {"idx": 0}, parts=parts)
+    first, *others = exchanges(grid)  # the others are of null keys
+    assert "REPARTITION_BY_NUM" in first and len(others) == 1
+    plain = sequences.densify_grid(enc, ids, "icustay_id", "pos", {"idx": 0})
+    assert rows(grid) == rows(plain)
 
 
 def test_stays_move_once_by_subject_for_count_and_label(spark, monkeypatch):
