@@ -147,3 +147,15 @@ def test_metric_history_appends_and_numbers(spark):
     # the folder of a scratch table ends with a random part, so the pattern takes what stands before the words
     numbered = files.number_epochs(back.withColumn("name", F.col("epoch")), "name")
     assert sorted((r.name, r.epoch, r.model) for r in numbered.collect()) == [("a", 1, "en"), ("b", 2, "en"), ("c", 3, "en")]
+
+
+def test_csv_stage_is_packed_in_bounded_files_and_read_back_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "PACKED_ROWS", 300)
+    rows = spark.createDataFrame([(i, None if i % 7 == 0 else f"code {i % 5}, \"x\"", i / 3) for i in range(1000)],
+                                 "a long, b string, c double").repartition(2)
+    path = str(tmp_path / "stage")
+    files.write_stage(rows, path, fmt="csv")
+    packed = sorted((tmp_path / "stage").glob("part-*"))
+    assert len(packed) == 4 and all(p.name.endswith(".csv.gz") for p in packed)
+    assert [Path(f).name for f in files.csv_headers(spark, path)["a", "b", "c"]] == [p.name for p in packed]
+    assert sorted(files.read_events_csv(spark, path, rows.schema).collect()) == sorted(rows.collect())
