@@ -169,3 +169,31 @@ def test_steps_by_stay_need_no_exchange_where_codes_lie_by_subject(spark, monkey
             got[r.icustay_id].append(tuple(r)[:3])
         assert got == want
         assert sorted(map(str, map(tuple, first.select(*codes.KNOWN).collect()))) == sorted(str(t) for v in want.values() for t in v[:3])
+
+
+def test_known_codes_are_distinct_before_the_rows_grow(spark, monkeypatch):
+    """Overlapping admissions, several with one end, unknown starts and ends, and stays without an end: the rows are
+    those that a comparison of all rows leaves, and the plan compares none of them."""
+    import random
+    from datetime import datetime, timedelta
+    monkeypatch.setattr(codes, "PART_PAIRS", 100)
+    rnd = random.Random(5)
+    day = lambda n: datetime(2150, 1, 1) + timedelta(days=n)
+    some = lambda n: None if rnd.random() < 0.15 else day(n)
+    rows = [(rnd.randrange(5), f"c{rnd.randrange(3)}", some(s := rnd.randrange(30)), some(s + rnd.randrange(4, 12))) for _ in range(400)]
+    rows += rows[:60]
+    history = spark.createDataFrame(rows, "subject_id long, icd9_code string, admittime timestamp_ntz, dischtime timestamp_ntz")
+    listed = [(k % 6, 100 + k, None if k % 9 == 0 else day(rnd.randrange(45))) for k in range(60)] + [(None, 99, day(3)), (7, None, day(3))]
+    stays = spark.createDataFrame(listed, "subject_id long, icustay_id long, outtime timestamp_ntz")
+    asked, hist = codes._in_micros(stays, history)
+    hist, hot, parts = codes._counted(asked, hist, "subject_id", codes.HOT_PAIRS)
+    once = codes._known_once(asked, hist, parts)
+    every = codes.known_codes(stays, history)[0]
+    cols = ["subject_id", *codes.KNOWN]
+    got = sorted(map(str, once.select(*cols).collect()))
+    assert got == sorted(map(str, every.select(*cols).distinct().collect())) and len(got) < every.count()
+    assert hot is None and once.rdd.getNumPartitions() == parts > 8
+    # a stay that is listed twice, or ends too far apart to be told apart as days
+    assert codes._known_once(asked.unionByName(asked.limit(1)), hist, parts) is None
+    monkeypatch.setattr(codes, "EXACT_MICROS", 1)
+    assert codes._known_once(asked, hist, parts) is None

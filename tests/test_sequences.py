@@ -144,3 +144,40 @@ def test_gender_encoding_optional(spark):
     assert "GENDER_M" not in plain.columns and "GENDER_M" in with_g.columns
     assert {r.icustay_id: r.GENDER_M for r in with_g.collect()} == {10: 1.0, 20: 0.0}
     assert "ADMISSION_LOCATION_Emergency_Room_Admit" not in plain.columns
+
+
+def test_arrays_are_made_where_the_rows_lie_without_numbering_them(spark):
+    """Ties, null times and codes, negative times; keys told apart by two columns, by the first of which the rows lie."""
+    from staytrail.session import materialize_by
+    rows = [(k % 3, k, c, t) for k in range(12) for i, (c, t) in enumerate(
+        [("b", 2.0), ("a", 2.0), (None, 1.0), ("c", None), ("a", -1.0), ("b", 0.0), ("b", 2.0)]) if (k + i) % 4]
+    events = spark.createDataFrame(rows, "s long, k long, code string, t double").repartition(4, "s")
+    events = materialize_by(events, "arrays", "s", 4)
+    ent = spark.createDataFrame([(k,) for k in range(14)], "k long")
+    arr, dictionary = sequences.sequence_arrays(ent, events, "k", "code", "t", 1.0, "dp", lie=["s", "k"])
+    plan = arr._jdf.queryExecution().toString()
+    assert "Window" not in plan and "hashpartitioning(s" not in plan
+    idx = {r.code: r.idx for r in dictionary.collect()}
+    assert idx == {"a": 1, "b": 2, "c": 3}
+    want = {}
+    for k in range(14):
+        seq = sorted(((t is None, t or 0.0, idx.get(c, 0)) for _, key, c, t in rows if key == k))
+        want[k] = [x[2] for x in seq], [x[1] / 2.0 for x in seq]
+    longest = max(len(a) for a, _ in want.values())
+    want = {k: (a + [0] * (longest - len(a)), b + [0.0] * (longest - len(b))) for k, (a, b) in want.items()}
+    assert {r.k: (r.dp, r.dp_times) for r in arr.collect()} == want
+
+
+def test_doubles_as_text_are_those_of_single_formats(spark):
+    from pyspark.sql import functions as F
+    from staytrail.plans.catalog import fmt_doubles, fmt_ints
+    nan, inf = float("nan"), float("inf")
+    odd = [[0.0, -0.0, 1e-7, 5e-7, 1.5e-6, 2.5e-6, 0.1234565, 0.1234575, 1 / 3, 0.9999995], [1e8 + 0.1234565, 999999999.9999995, 0.0],
+           [1e9, 0.5, 0.0], [1e300], [-1e-9, -1.5, 0.0, 0.0], [nan, 0.0], [inf, 0.0], [0.5, -inf], [], None, [0.0], [0.0, 0.0], [-0.0],
+           [None, 0.0], [0.0, None], [None], [1.0, None, 0.0], [1.0, 0.0, 2.0, 0.0, -0.0]]
+    df = spark.createDataFrame([(a, None if a is None else [None if x is None else int(i % 3) for i, x in enumerate(a)]) for a in odd],
+                               "a array<double>, b array<int>")
+    one = F.array_join(F.transform("a", lambda x: F.format_string("%.6f", F.bround(x, 6))), ",")
+    ints = F.array_join(F.transform("b", lambda x: x.cast("string")), ",")
+    for r in df.select(fmt_doubles("a").alias("got"), one.alias("want"), fmt_ints("b").alias("got_b"), ints.alias("want_b")).collect():
+        assert r.got == r.want and r.got_b == r.want_b
