@@ -132,3 +132,29 @@ def test_rows_of_ordinary_keys_move_once(spark, data, bucket_rows):
     want = {(x.k, x.c): x.w for x in plain.groupBy("k", "c").agg(F.sum(F.exp(-0.01 * F.col("s"))).alias("w")).collect()}
     got = {(x.k, x.c): x.recency for x in r.collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_placed_rows_are_counted_once_and_sorted_twice_for_recency(spark, data, bucket_rows, monkeypatch):
+    """Positions, deltas and recency of rows that lie by the first of two keys: no exchange, one count of the keys and two sorts,
+    one in each direction; results of plain windows, also with hot keys."""
+    from staytrail.operators import ordered, windows
+    made = []
+    monkeypatch.setattr(ordered, "_full_keys", lambda *a, f=ordered._full_keys: made.append(a) or f(*a))
+    df = data.withColumn("t", F.coalesce("t", F.lit(0.0))).withColumn("s", F.col("id") % 4).repartition(4, "k")
+    placed = ordered.Placed(df, ["k", "s"])
+    d = windows.sequence_position(placed.df, ["k", "s"], "t", "id", like=placed)
+    d = windows.time_delta(d, ["k", "s"], "pos", "t", "delta", like=placed)
+    r = windows.exp_decay_recency(d, ["k", "s"], "pos", "delta", "c", None, 0.01, like=placed)
+    assert len(made) == 1
+    if bucket_rows > 600:
+        plan = r._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 2
+    w = Window.partitionBy("k", "s")
+    plain = df.withColumn("pos", F.row_number().over(w.orderBy("t", "id")))
+    plain = plain.withColumn("x", F.greatest(F.col("t") - F.coalesce(F.lag("t").over(w.orderBy("pos")), F.lit(0.0)), F.lit(0.0)))
+    plain = plain.withColumn("y", F.sum("x").over(w.orderBy("pos").rowsBetween(0, Window.unboundedFollowing)))
+    want = {(x.k, x.s, x.c): x.w for x in plain.groupBy("k", "s", "c").agg(F.sum(F.exp(-0.01 * F.col("y"))).alias("w")).collect()}
+    got = {(x.k, x.s, x.c): x.recency for x in r.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    with pytest.raises(ValueError, match="placed by"):
+        windows.time_delta(d, "k", "pos", "t", "delta", like=placed)
